@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, strip
+from factloom.llm.common import ascii_lower, shared, strip
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
@@ -47,7 +47,8 @@ def _dedup(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     lines = lines.select("doc_id", "mark", "pos", key.alias("key")).where(F.length("key") >= least_chars)
     lines = lines.select("doc_id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     shared_keys = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-    shared_keys = shared_keys.where(F.col("n") >= least_docs).select("h1", "h2", "last")
+    # Written, so that the join reads both sides from exchanges and adaptive execution can split a hot line's rows.
+    shared_keys = shared(shared_keys.where(F.col("n") >= least_docs).select("h1", "h2", "last"))
     drops = lines.join(shared_keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     drops = drops.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drops")).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "drops")
     out = rows.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
