@@ -121,6 +121,7 @@ def shard(docs: DataFrame, shards: int | None = 24, target_bytes: int | None = N
     part = max(1, (total["size"] or 0) // leaves // PARTS)
     groups = d.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"))
     groups = groups.select("g1", "g2", "lang", "source", F.ceil(F.col("bytes") / part).alias("parts"))
+    groups = shared(groups)  # so that the join reads both sides from exchanges, and a hot group's rows can be split
     rows = d.drop("lang", "source").join(groups, ["g1", "g2"])
     # 24 bits of coordinate, 26 of the text's hash, 12 of the part.
     deal = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.least("parts", F.lit(4096)))
