@@ -92,7 +92,8 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         ids = ids.join(levels(messages.where("kind = 'call' and call_id is not null").select("conv_id", "call_id", "after")), ["conv_id", "call_id"], "left")
     else:
         ids = ids.withColumn("level", F.lit(0))
-    out = m.join(ids, ["conv_id", "call_id"], "left")
+    # Written, so that the join reads both sides from exchanges and a hot conversation's rows can be split.
+    out = m.join(shared(ids), ["conv_id", "call_id"], "left")
     kind, called = F.col("kind"), F.col("called").isNotNull()
     status = F.when(kind == "call", F.when(called & F.col("level").isNull(), "cyclic").when(F.col("results") > 0, "answered").otherwise("unanswered")).when(kind == "result", F.when(called, "linked").otherwise("orphan")).otherwise("message")
     pair = lambda k, c: F.concat(F.lit(f'"{k}":'), F.coalesce(c, F.lit("null")))

@@ -85,6 +85,7 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     each = each.select("row", "own", "repo", "s.*")
     held = each.groupBy("hash", "own", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "own").agg(F.count(F.lit(1)).alias("repositories"))
     held = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    held = shared(held)  # so that the join reads both sides from exchanges, and a hot candidate's rows can be split
     judged = each.join(held, "hash").select("row", "kind", "start", "stop", (F.col("owners") == 1).alias("single"))
     added = F.when((F.col("kind") == "live") & F.col("single"), F.struct("start", "kind", "stop"))
     seen = judged.groupBy("row").agg(F.collect_list(added).alias("added"), F.count_if("single").alias("live"), F.count_if(~F.col("single")).alias("copied"))
