@@ -1,0 +1 @@
+"""Evidence about code and its documentation, as DataFrames."""
