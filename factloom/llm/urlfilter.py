@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower
+from factloom.llm.common import ascii_lower, shared
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -47,6 +47,7 @@ def templates(paths: DataFrame, depth: int = 3, siblings: int = 20) -> DataFrame
         t = t.join(rare, ["host", "template", "seg"], "left")
         named = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("seg"))
         t = t.withColumn("parent", F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("template"))).withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", named, F.lit("/")))).drop("seg", "rare")
+        t = shared(t)  # read several times by the next level
     return t.withColumn("template", F.when(F.size("s") > depth, F.concat("template", F.lit("**"))).otherwise(F.col("template"))).drop("s")
 
 
@@ -74,8 +75,8 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None
         known = labels.select(F.col("page_id").cast("bigint").alias("id"), F.col("bad").cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
         marked = marked.join(known, F.col("page_id") == F.col("id"), "left").withColumn("bad", F.coalesce("label", "bad"))
     counts = marked.groupBy("host", F.col("shape").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("marks"))
-    tree = templates(counts)
-    branches = tree.groupBy("host", "parent", "template").agg(F.sum("bad").alias("bad"), F.sum("marks").alias("marks"))
+    tree = templates(shared(counts))  # a row for each host and generalised path; used three times
+    branches = shared(tree.groupBy("host", "parent", "template").agg(F.sum("bad").alias("bad"), F.sum("marks").alias("marks")))
     total = branches.agg(F.sum("bad").alias("bad"), F.sum("marks").alias("marks")).first()
     prior = (total["bad"] or 0) / max(1, total["marks"] or 0)
     order = Window.partitionBy("host", "parent").orderBy(F.col("bad") / F.col("marks"), "template")
