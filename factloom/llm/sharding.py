@@ -42,7 +42,8 @@ def grow(rows: DataFrame, leaves: int, tolerance: float) -> Node:
 
     A node with m leaves is cut along its widest dimension where m // 2 of its m shares of bytes lie below: a weighted
     median (for odd m, the nearest quantile), found by histograms of 1024 bins. Each pass narrows the cut's interval
-    1024-fold until the bin around it is within ``tolerance`` bytes or a single key. To the driver come 1024 sums a node.
+    1024-fold until the bin around it is within ``tolerance`` bytes or a single key. To the driver come 1024 sums a node (with the
+    bins' least and greatest keys, so that sparse intervals narrow faster).
     """
     root = Node(leaves)
     span = rows.agg(*[f(F.shiftright(k, 38)).alias(n + k) for k in DIMENSIONS for n, f in (("a", F.min), ("b", F.max))]).first()
@@ -73,15 +74,17 @@ def grow(rows: DataFrame, leaves: int, tolerance: float) -> Node:
             binned = here.withColumn("value", value).where((F.col("value") >= _of(low)) & (F.col("value") <= _of({k: state[k][1] for k in todo})))
             bins = binned.select("node", "size", F.col("value").alias("v"), _of(low).alias("low"), _of(width).alias("width")).groupBy("node", F.expr("(v - low) div width").alias("bin"))
             by: dict[int, dict[int, int]] = {}
-            for r in bins.agg(F.sum("size").alias("size")).collect():
+            ends = {}
+            for r in bins.agg(F.sum("size").alias("size"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
                 by.setdefault(r["node"], {})[r["bin"]] = r["size"]
+                ends[r["node"], r["bin"]] = r["a"], r["b"]
             for k in list(todo):
-                a, b, before, want = state[k]
+                before, want = state[k][2:]
                 for i in sorted(by[k]):
                     if before + by[k][i] >= want or i == max(by[k]):
                         break
                     before += by[k][i]
-                start, stop = a + i * width[k], min(b, a + (i + 1) * width[k] - 1)
+                start, stop = ends[k, i]
                 state[k] = [start, stop, before, want]
                 if by[k][i] <= tolerance or start == stop:
                     cut = start if want - before < before + by[k][i] - want else stop + 1
