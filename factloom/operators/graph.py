@@ -85,3 +85,15 @@ def intern(rows: DataFrame, column: str, order: str) -> DataFrame:
     """(string, id): dense ids in the order of first appearance. The dictionary is ordered by one window, as ids are dense."""
     first = rows.groupBy(column).agg(F.min(order).alias("first"))
     return first.select(F.col(column).alias("string"), (F.row_number().over(Window.orderBy("first", column)) - 1).alias("id"))
+
+
+def name_census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, n): how many declarations that something contains have each name."""
+    inside = edges.where("kind = 'contains'").select(F.col("dst").alias("node_id")).distinct()
+    return nodes.join(inside, "node_id", "left_semi").groupBy("name").agg(F.count_distinct("node_id").alias("n"))
+
+
+def edges_into(edges: DataFrame, targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file, kind, n): edges into ``targets(node_id)`` (those that couldn't be resolved, say) by the name of their source."""
+    met = edges.join(targets.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    return met.join(nodes.select(F.col("node_id").alias("src"), F.col("name").alias("file")), "src").groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"))

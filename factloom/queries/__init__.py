@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.queries import relational, scalars
+from factloom.queries import relational, scalars, walks  # noqa: F401  walks adds to relational's
 from factloom.queries.inputs import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scalars.QUERIES | relational.QUERIES

@@ -54,13 +54,32 @@ VIEWS = {
         CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN ' ' ELSE 'changed' END AS change_reason, sha256_(CAST(o_orderkey - o_orderkey % 2 AS STRING_)) AS state_hash FROM orders""",
     "sources": """SELECT doc_id AS file, text AS source FROM documents""",
     "headed": """SELECT doc_id AS file, replace(replace(text, '.' || chr(10), '.' || chr(10) || '# API contract '), chr(10) || 'T', chr(10) || '### T') AS source FROM documents""",
+    # walks and imports
+    "commits": """SELECT c_custkey AS "commit", CAST(floor(c_custkey / 2.0) AS BIGINT) AS parent FROM customer WHERE c_custkey > 1 UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey > 5 UNION ALL SELECT 1, NULL""",
+    "commit_pairs": """SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN CAST(floor(o_custkey / 4.0) AS BIGINT) ELSE o_custkey END AS section, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_custkey / 2.0) AS BIGINT) ELSE 1 + (o_custkey * 3) % 140 END AS reference FROM orders""",
+    "configs": """SELECT 'k' || p_partkey AS config, CASE WHEN p_partkey % 13 = 0 THEN 'none' WHEN p_partkey % 7 = 0 THEN NULL ELSE 'k' || CAST(floor(p_partkey / 2.0) AS BIGINT) END AS base, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS value FROM part""",
+    "modtree": """SELECT c_custkey AS module, CASE WHEN c_custkey > 1 THEN CAST(floor(c_custkey / 2.0) AS BIGINT) END AS parent, repeat('a.', CAST(c_custkey % 5 AS INT)) AS scope FROM customer""",
+    "scope_decls": """SELECT o_custkey AS scope, 'n' || (o_orderkey % 20) AS name, o_orderkey AS node FROM orders""",
+    "scope_refs": """SELECT o_orderkey AS ref_id, 1 + (o_custkey * 7) % 150 AS scope, 'n' || (o_orderkey * 3 % 23) AS name FROM orders""",
+    "imports": """SELECT o_orderkey AS id, './src/a' || (o_custkey % 7) || '/m' || (o_orderkey % 9) || CASE WHEN (o_orderkey * 7 + o_custkey) % 4 = 0 THEN '.js' ELSE '.ts' END AS importer,
+        CASE o_orderkey % 8 WHEN 0 THEN './m' || ((o_orderkey * 7 + o_custkey) % 9) WHEN 1 THEN '../a' || ((o_orderkey * 7 + o_custkey) % 7) || '/m' || (o_custkey % 9) || '.js' WHEN 2 THEN '@lib/m' || ((o_orderkey * 7 + o_custkey) % 9) WHEN 3 THEN 'react' WHEN 4 THEN '@app' WHEN 5 THEN './d' || ((o_orderkey * 7 + o_custkey) % 5) WHEN 6 THEN '@lib/deep/x' ELSE '../../src/a1/m1.ts?raw' END AS specifier FROM orders""",
+    "project_files": """SELECT DISTINCT './src/a' || (p_partkey % 7) || '/' || CASE p_partkey % 3 WHEN 0 THEN 'm' || (p_partkey % 9) || '.ts' WHEN 1 THEN 'm' || (p_size % 9) || '.js' ELSE 'd' || (p_size % 5) || '/index.ts' END AS path FROM part""",
+    "aliases": """SELECT n_nationkey AS ordinal, CASE n_nationkey % 3 WHEN 0 THEN './' WHEN 1 THEN './src/a' || (n_nationkey % 7) ELSE './src/' END AS scope_dir, CASE n_nationkey % 4 WHEN 0 THEN '@lib/*' WHEN 1 THEN '@app' WHEN 2 THEN '@lib/deep/*' ELSE '@*' END AS pattern,
+        './src/a' || (n_nationkey % 7) || CASE WHEN n_nationkey % 4 = 1 THEN '/m1' ELSE '/*' END AS t1, './src/a1/../a' || (n_nationkey % 5) || '/*' AS t2 FROM nation""",
+    "labelled": """SELECT 'contains' AS kind, CAST(100 + c_nationkey AS BIGINT) AS src, 1000 + c_custkey AS dst, CAST(NULL AS STRING_) AS label, c_custkey AS seq FROM customer
+        UNION ALL SELECT 'exports', 100 + c_nationkey, 1000 + c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'y' || (c_custkey % 30) END, c_custkey FROM customer
+        UNION ALL SELECT 'imports', 100 + c_custkey % 25, 100 + c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN '*' ELSE 'default as d' || c_custkey || ', ' || chr(123) || ' ' || c_name || ' as z' || (c_custkey % 40) || ' , type ' || c_mktsegment || ' ' || chr(125) END, c_custkey FROM customer""",
+    "bindings": """SELECT o_custkey AS file, 'x' || (o_orderkey % 2) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'value' ELSE 'type' END AS space, o_orderkey * 3 AS node, o_orderkey AS seq FROM orders""",
+    "rust_items": """SELECT 'a' || (c_custkey % 5) || '::b' || (c_custkey % 7) || '::f' || (c_custkey % 97) AS path, c_custkey AS node FROM customer""",
+    # archives
+    "blobs_in": """SELECT doc_id AS file_id, 'p' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN lang || source ELSE text END AS content FROM documents""",
 }
 
 
 def view_sql(name: str, engine: str) -> str:
     text = VIEWS[name]
     if engine == "spark":
-        return re.sub(r'"start"', "`start`", text).replace("sha256_(", "sha2_(").replace("STRING_", "STRING").replace("sha2_(CAST(o_orderkey AS STRING))", "sha2(CAST(o_orderkey AS STRING), 256)").replace("sha2_(CAST(o_orderkey - o_orderkey % 2 AS STRING))", "sha2(CAST(o_orderkey - o_orderkey % 2 AS STRING), 256)")
+        return re.sub(r'"(start|commit)"', r"`\1`", text).replace("sha256_(", "sha2_(").replace("STRING_", "STRING").replace("sha2_(CAST(o_orderkey AS STRING))", "sha2(CAST(o_orderkey AS STRING), 256)").replace("sha2_(CAST(o_orderkey - o_orderkey % 2 AS STRING))", "sha2(CAST(o_orderkey - o_orderkey % 2 AS STRING), 256)")
     return text.replace("sha256_(", "sha256(").replace("STRING_", "VARCHAR")
 
 
