@@ -40,7 +40,7 @@ def offset_violations(offsets: DataFrame, targets: int) -> DataFrame:
     """
     before = offsets.select((F.col("node_id") + 1).alias("node_id"), F.col("offset").alias("before"))
     last = offsets.agg(F.max("node_id").alias("last"))
-    d = offsets.join(before, "node_id", "left").join(F.broadcast(last))  # one row
+    d = offsets.join(before, "node_id", "left").withColumn("last", last.scalar())
     problem = F.when((F.col("node_id") == 0) & (F.col("offset") != 0), "start").when(F.col("offset") < F.col("before"), "falls").when((F.col("node_id") == F.col("last")) & (F.col("offset") != targets), "end")
     return d.select("node_id", problem.alias("problem")).where("problem is not null")
 

@@ -108,3 +108,130 @@ def quota_windows(rows: DataFrame) -> DataFrame:
         .when(~((F.col("resets_at") > F.col("now")) & (F.col("resets_at") > F.col("observed_at"))), "reset_requires_refresh").when(F.col("duration_minutes") <= 0, "invalid_duration")
     )
     return rows.select("id", F.when(error.isNull(), left).alias("remaining_percent"), error.alias("error"))
+
+
+def correction_errors(events: DataFrame) -> DataFrame:
+    """(attempt, sequence, error) of corrections: ``events`` with supersedes, reason, accepted and status; null where valid.
+
+    A correction must name the attempt's latest assessment before it, give a reason, and can't accept a transport that
+    didn't complete.
+    """
+    w = Window.partitionBy("attempt").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("kind").isin("check_end", "check_correction"), F.col("sequence")), ignorenulls=True).over(w)
+    ended = F.first(F.when(F.col("kind") == "finish", F.col("status")), ignorenulls=True).over(w)
+    d = events.withColumn("latest", latest).withColumn("ended", ended).where("kind = 'check_correction'")
+    error = (
+        F.when(F.col("accepted").isNull(), "boolean_acceptance_required").when(F.col("supersedes").isNull() | (F.coalesce(F.trim("reason"), F.lit("")) == ""), "sequence_and_reason_required")
+        .when(F.col("latest").isNull() | (F.col("latest") != F.col("supersedes")), "must_supersede_latest").when(F.col("accepted") & ~F.coalesce(F.col("ended") == "completed", F.lit(False)), "failed_transport")
+    )
+    return d.select("attempt", "sequence", error.alias("error"))
+
+
+def run_summary(events: DataFrame) -> DataFrame:
+    """One row: assigned, attempted, accepted, failed_transport, pending, unverified, and whether the run may close as complete.
+
+    ``events(attempt, sequence, kind, status, accepted)``; the last of a kind counts, corrections over checks.
+    """
+    last = lambda k, c: F.max_by(F.when(F.col("kind") == k, F.struct(F.col(c).alias("v"))), F.when(F.col("kind") == k, F.col("sequence")))
+    a = events.where("attempt is not null").groupBy("attempt").agg(F.bool_or(F.col("kind") == "prepare").alias("prepared"), F.count_if(F.col("kind") == "dispatch").alias("dispatches"), last("finish", "status").alias("done"), last("check_end", "accepted").alias("checked"), last("check_correction", "accepted").alias("corrected"))
+    a = a.withColumn("verdict", F.coalesce("corrected", "checked")["v"]).withColumn("transport", F.when(F.col("done").isNull(), "pending").otherwise(F.col("done")["v"]))
+    p = F.col("prepared")
+    out = a.agg(
+        F.count_if(p).alias("assigned"), F.coalesce(F.sum("dispatches"), F.lit(0)).alias("attempted"), F.count_if(p & F.col("verdict")).alias("accepted"), F.count_if(p & ~F.col("transport").isin("completed", "pending")).alias("failed_transport"),
+        F.count_if(p & (F.col("transport") == "pending")).alias("pending"), F.count_if(p & F.col("verdict").isNull()).alias("unverified"),
+    )
+    return out.withColumn("may_complete", (F.col("assigned") > 0) & (F.col("pending") == 0) & (F.col("unverified") == 0))
+
+
+def reserve(ledger: DataFrame, requests: DataFrame) -> DataFrame:
+    """(work_item_id, requests_used, last_state_sha256): the ledger after a batch of requests: all or none.
+
+    One invalid request leaves the ledger as it is. The number of invalid ones is a scalar subquery.
+    """
+    bad = request_errors(requests, ledger).agg(F.count("error").alias("bad"))
+    new = requests.select("work_item_id", F.col("state_hash").alias("hash"))
+    d = ledger.join(new, "work_item_id", "full_outer").withColumn("bad", bad.scalar())
+    go = (F.col("bad") == 0) & F.col("hash").isNotNull()
+    out = d.select("work_item_id", F.when(go, F.coalesce("requests_used", F.lit(0)) + 1).otherwise(F.col("requests_used")).alias("requests_used"), F.when(go, F.col("hash")).otherwise(F.col("last_state_sha256")).alias("last_state_sha256"))
+    return out.where("requests_used is not null")
+
+
+def advice_basis_errors(rows: DataFrame) -> DataFrame:
+    """(id, error) of ``rows(id, used, previous, reason, state_hash)``: budget and change rules of an advice request."""
+    hash_ = F.coalesce(F.col("previous").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    error = (
+        F.when(F.col("used").isNull() | (F.col("used") < 0), "invalid_advice_count").when(F.col("used") >= 2, "advice_budget_exhausted").when((F.col("used") == 0) & (F.col("previous").isNotNull() | F.col("reason").isNotNull()), "invalid_initial_advice_basis")
+        .when((F.col("used") > 0) & (~hash_ | (F.coalesce(F.trim("reason"), F.lit("")) == "")), "invalid_advice_basis").when((F.col("used") > 0) & (F.col("previous") == F.col("state_hash")), "unchanged_advice_state")
+    )
+    return rows.select("id", error.alias("error"))
+
+
+def cache_hits(accesses: DataFrame, capacity: int) -> DataFrame:
+    """(cache, seq, hit, evicted) of ``accesses(cache, seq, address, size)``: a byte-bounded LRU, one for each ``cache``.
+
+    Caches are independent, so each is replayed in order in one task; what is held at once fits its capacity. An entry
+    larger than the capacity is never held. Of equal last uses the least address goes first.
+    """
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, tuple[int, int]] = {}
+        used, out = 0, []
+        for x in g.sort_values("seq").itertuples(index=False):
+            hit, gone = x.address in held, 0
+            if hit:
+                held[x.address] = (x.seq, held[x.address][1])
+            elif x.size <= capacity:
+                while used + x.size > capacity:
+                    old = min(held, key=lambda k: (held[k][0], k))
+                    used -= held.pop(old)[1]
+                    gone += 1
+                held[x.address] = (x.seq, x.size)
+                used += x.size
+            out.append((x.cache, x.seq, hit, gone))
+        return pd.DataFrame(out, columns=["cache", "seq", "hit", "evicted"])
+
+    kind = accesses.schema["cache"].dataType.simpleString()
+    return accesses.select("cache", "seq", "address", "size").groupBy("cache").applyInPandas(run, f"cache {kind}, seq bigint, hit boolean, evicted int")
+
+
+def hit_rate(hits: DataFrame) -> DataFrame:
+    """(cache, lookups, hits, basis_points): whole hundredths of a percent."""
+    n = hits.groupBy("cache").agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits"))
+    return n.select("cache", "lookups", "hits", F.expr("hits * 10000 div lookups").alias("basis_points"))
+
+
+def questions(tasks: DataFrame, preferences: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(question_id, task, model, criterion): each task in its order with each preferred model and each criterion.
+
+    ``tasks(task, place)``, ``preferences(task, place, model)``, ``criteria(task, place, criterion)`` join on the task.
+    Numbers run on over tasks: a task's first number is the sum of those before it.
+    """
+    p, c = preferences.select("task", F.col("place").alias("m"), "model"), criteria.select("task", F.col("place").alias("k"), "criterion")
+    each = tasks.select("task", F.col("place").alias("t")).join(p, "task").join(c, "task")
+    sizes = each.groupBy("task", "t").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("task", F.coalesce(F.sum("n").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    n = F.row_number().over(Window.partitionBy("task").orderBy("m", "k")) - 1
+    return each.withColumn("n", n).join(base, "task").select(F.concat(F.lit("fit_"), (F.col("base") + F.col("n")).cast("string")).alias("question_id"), "task", "model", "criterion")
+
+
+def plan_errors(assignments: DataFrame, tasks: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(task, model, error) of a plan's assignments: unknown, repeated or unready tasks and models that aren't eligible."""
+    n = assignments.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    d = assignments.join(n, "task").join(tasks.select("task", "ready"), "task", "left").join(eligible.select("task", "model", F.lit(True).alias("fits")), ["task", "model"], "left")
+    error = F.when(F.col("ready").isNull() | (F.col("n") > 1), "unknown_or_duplicate_task").when(~F.col("ready"), "task_not_dispatch_ready").when(F.col("fits").isNull(), "ineligible_model")
+    return d.select("task", "model", error.alias("error")).where("error is not null")
+
+
+def roster_errors(tasks: DataFrame) -> DataFrame:
+    """(task, error) of ``tasks(task, eligible, excluded, required)``: arrays that overlap, or together miss a required model."""
+    both = F.arrays_overlap("eligible", "excluded")
+    rest = F.size(F.array_except("required", F.concat("eligible", "excluded"))) > 0
+    return tasks.select("task", F.when(both, "eligible_and_excluded").when(rest, "roster_not_covered").alias("error")).where("error is not null")
+
+
+def withdrawn(assignments: DataFrame, changed: DataFrame) -> DataFrame:
+    """Assignments with their model and a reason nulled or set where the live state of the model changed since."""
+    c = changed.select("model", F.lit(True).alias("changed")).distinct()
+    d = assignments.join(c, "model", "left")
+    return d.select("task", F.when(F.col("changed").isNull(), F.col("model")).alias("model"), F.when(F.col("changed"), "local_runtime_changed").alias("reason"))

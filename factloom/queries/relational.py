@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import paths
 from factloom.operators import claims, diff, graph, hazards, journal, lines, plan
-from factloom.queries.inputs import load, with_views
+from factloom.queries.inputs import TABLES, load, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +22,7 @@ def query(*views: str, sql: str | None = None) -> Callable:
 
         QUERIES[f.__name__] = run
         if sql is not None:
-            derived = [v for v in views if v not in ("documents", "benchmark", "lineitem", "orders", "customer", "events", "nation", "part")]
+            derived = [v for v in views if v not in TABLES]
             ORACLE_SQL[f.__name__] = with_views(sql, *dict.fromkeys(derived)) if derived else sql
         return f
 
