@@ -19,9 +19,9 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Hash buckets of a text's distinct words and of their 5-letter beginnings (inflected forms share those)."""
+    """Hash buckets of a text's distinct words and of their beginnings of 3 to 5 letters (inflected forms share those)."""
     found = set(WORD.findall((text or "").lower()))
-    found |= {"^" + w[:5] for w in found if len(w) > 5}
+    found |= {"^" + w[:n] for w in found for n in range(3, min(6, len(w)))}
     digest = xxhash.xxh32_intdigest
     return np.unique(np.fromiter((digest(w) & (BUCKETS - 1) for w in found), np.int32, len(found)))
 
