@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -45,8 +47,17 @@ def looks_live(token: str) -> bool:
 
 
 def opaque_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Other tokens that look like credentials, where no base span lies."""
-    return [(m.start(), m.end(), m[0]) for m in OPAQUE.finditer(text) if looks_live(m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in taken)]
+    """Other tokens that look like credentials, where no base span lies.
+
+    ``ends`` has the furthest end of the base spans up to each, so one bisection tells whether any of them reaches a token.
+    """
+    starts, ends = [a for a, *_ in taken], list(accumulate((b for _, _, b, _ in taken), max))
+    out = []
+    for m in OPAQUE.finditer(text):
+        k = bisect_left(starts, m.end())
+        if (k == 0 or ends[k - 1] <= m.start()) and looks_live(m[0]):
+            out.append((m.start(), m.end(), m[0]))
+    return out
 
 
 def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
