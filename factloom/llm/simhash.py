@@ -38,14 +38,18 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint bigint), a row for each row of ``docs``. A null text has no words: zero."""
+    """(doc_id, mark, fingerprint bigint), a row for each row of ``docs``; mark is a hash of the text.
+
+    A null text has no words: zero.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py(), size) for t in b.column(2)], pa.int64())], ["doc_id", "mark", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id bigint, mark bigint, fingerprint bigint")
 
 
 def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
@@ -88,19 +92,26 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     doc_id stay and never name a group unless no other row is in it (then it is null). Repeated rows stay, each
     with the group's id. Other columns of ``docs`` are ignored, whatever their names. Empty in, empty out.
     """
+    named = _named(docs, size)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, mark, fingerprint, component_id) of each row."""
     prints = shared(fingerprints(docs, size))
     first = shared(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(first))
     rooted = first.join(roots, first.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(groups, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(rooted.join(groups, "root").select("fingerprint", "component_id"), "fingerprint")
 
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates: that of the least doc_id.
+    """``docs`` with one document for each group of near-duplicates: that of the least doc_id.
 
-    Of rows with the same doc_id in a group all stay; rows whose doc_id is null stay (they can't be told apart).
+    Rows are told apart by doc_id and text: repeated rows of the kept document all stay, and of a doc_id with several
+    texts each goes with its own group. Rows whose doc_id is null stay (they can't be told apart).
     """
-    gone = near_duplicates(docs, size).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = _named(docs, size).where("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).distinct()
+    same = (F.col("doc_id").cast("bigint") == F.col("of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("of_mark"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

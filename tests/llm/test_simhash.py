@@ -82,3 +82,9 @@ def test_odd_input(odd, none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.keep_one(odd).columns == odd.columns
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 0, 1, 4, 4, 5, 6]
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "wholly other words here"), (3, "WHOLLY other  words here"), (3, "third text")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, "a b c d e"), (2, "wholly other words here"), (3, "third text")]
