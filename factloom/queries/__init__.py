@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.queries import intents, relational, scalars, walks  # noqa: F401  intents and walks add to relational's
+from factloom.queries import evidence, intents, relational, scalars, walks  # noqa: F401  evidence, intents and walks add to relational's
 from factloom.queries.inputs import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scalars.QUERIES | relational.QUERIES

@@ -121,7 +121,7 @@ def typescript(text: str) -> Iterator[tuple]:
                 owners.append((end, name))
         elif w in ("const", "let", "var") and not owners and t.kind(i + 1) == "word":
             yield "variable", after, None, start, t.all[i + 1][3], "export" if exported else None
-        elif after == "(" and w not in NOT_CALLS:
+        elif after == "(" and w not in NOT_CALLS and before != "function" and not (before == "*" and t.get(i - 2) == "function"):
             body = t.match.get(i + 1)
             k = t.body(body + 1, ";,)=") if body is not None else None
             if owners and k is not None and t.get(body + 1) in ("{", ":") and before in ("{", "}", ";", "async", "static", "public", "private", "protected", "readonly", "get", "set", ""):

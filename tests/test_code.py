@@ -32,6 +32,7 @@ def test_typescript_events():
         ("type_alias", "A", None, "export"), ("dynamic_import", "./p/${name}.ts", None, "template"), ("call", "Thing", None, "new"), ("call", "method", None, "member"),
     ):
         assert want in got, want
+    assert sorted(x[1] for x in got if x[0] == "call") == ["Thing", "f", "go", "method"]
     assert not [x for x in got if x[0] == "return_literal" and x[1] in ("g", "helper")] and "gap" not in {x[0] for x in got}
 
 
