@@ -82,9 +82,15 @@ def unique_names(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def intern(rows: DataFrame, column: str, order: str) -> DataFrame:
-    """(string, id): dense ids in the order of first appearance. The dictionary is ordered by one window, as ids are dense."""
-    first = rows.groupBy(column).agg(F.min(order).alias("first"))
-    return first.select(F.col(column).alias("string"), (F.row_number().over(Window.orderBy("first", column)) - 1).alias("id"))
+    """(string, id): dense ids in the order of first appearance (``order`` is a whole number).
+
+    Numbered inside ranges of ``order``, upon the running sum of the ranges' sizes: no task sees all strings.
+    """
+    first = rows.groupBy(column).agg(F.min(order).cast("bigint").alias("first")).withColumn("part", F.expr("first div 4096"))
+    sizes = first.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("first", column))
+    return first.withColumn("place", place).join(base, "part").select(F.col(column).alias("string"), (F.col("base") + F.col("place") - 1).alias("id"))
 
 
 def name_census(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ VIEWS = {
         WHEN 13 THEN '####### too deep' WHEN 14 THEN 'Architecture decision records' WHEN 15 THEN 'name:src/x.ts:' || c_nationkey WHEN 16 THEN 'Contract: `bad ref#f` returns `1`' WHEN 17 THEN 'cargo test' ELSE '```a`b' END AS line FROM customer""",
     "claims2": """SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 12 WHEN 0 THEN '.' WHEN 1 THEN 'none' WHEN 2 THEN './Read-Only/' WHEN 3 THEN 'src/a' || (l_partkey % 5) WHEN 4 THEN 'src/a' || (l_partkey % 5) || '/b' WHEN 5 THEN '../other/x'
         WHEN 6 THEN '' WHEN 7 THEN '/abs' WHEN 8 THEN 'src/../lib' WHEN 9 THEN '../../z' WHEN 10 THEN 'C:/x' ELSE ' src ' END AS a,
-        CASE l_suppkey % 9 WHEN 0 THEN 'src' WHEN 1 THEN 'src/a' || (l_suppkey % 5) WHEN 2 THEN '/' WHEN 3 THEN '../other' WHEN 4 THEN 'lib/x/' WHEN 5 THEN 'no-write' WHEN 6 THEN 'a/..' WHEN 7 THEN 'src/a' || (l_suppkey % 5) || '/b/c' ELSE '../other/x/y' END AS b FROM lineitem WHERE l_linenumber <= 3""",
+        CASE l_suppkey % 9 WHEN 0 THEN 'src' WHEN 1 THEN 'src/a' || (l_suppkey % 5) WHEN 2 THEN '/' WHEN 3 THEN '../other' WHEN 4 THEN 'lib/x/' WHEN 5 THEN 'no-write' WHEN 6 THEN 'a/..' WHEN 7 THEN 'src/a' || (l_suppkey % 5) || '/b/c' ELSE '../other/x/y' END AS b FROM lineitem""",
     "codes": """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'other' END AS severity,
         CASE o_orderkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'unverified' WHEN 3 THEN 'stale' WHEN 4 THEN 'unknown' ELSE 'unsupported' END AS status,
         CASE o_orderkey % 8 WHEN 0 THEN 'document_excluded' WHEN 1 THEN 'unsupported_syntax' WHEN 2 THEN 'unresolved_reference' WHEN 3 THEN 'contract_source_read_failed' WHEN 4 THEN 'unsupported_contract_target' WHEN 5 THEN 'code_reference_unverifiable' WHEN 6 THEN 'unsupported_reference_language' ELSE 'x' END AS diagnostic,
@@ -39,7 +39,7 @@ VIEWS = {
     "edges": """SELECT 'contains' AS kind, CAST(n_nationkey AS BIGINT) AS seq, CAST(n_regionkey AS BIGINT) AS src, CAST(100 + n_nationkey AS BIGINT) AS dst FROM nation
         UNION ALL SELECT 'contains', c_custkey, 100 + c_nationkey, 1000 + c_custkey FROM customer UNION ALL SELECT 'contains', o_orderkey, 1000 + o_custkey, 10000000 + o_orderkey FROM orders
         UNION ALL SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'calls' ELSE 'type_ref' END, o_orderkey, 10000000 + o_orderkey, 1000 + (o_custkey * 7) % 100 FROM orders""",
-    "spans": """SELECT l_orderkey * 10 + l_linenumber AS id, 'f' || (l_orderkey % 500) AS file, CAST(l_linenumber * 10 + l_orderkey % 1000 AS BIGINT) AS "start", CAST(l_linenumber * 10 + l_orderkey % 1000 + l_quantity AS BIGINT) AS stop, l_suppkey % 10 AS agent, l_linenumber % 3 = 0 AS consumed FROM lineitem""",
+    "spans": """SELECT l_orderkey * 10 + l_linenumber AS id, 'f' || l_orderkey AS file, CAST(l_linenumber * 10 + l_partkey % 40 AS BIGINT) AS "start", CAST(l_linenumber * 10 + l_partkey % 40 + l_quantity AS BIGINT) AS stop, l_suppkey % 10 AS agent, l_linenumber % 3 = 0 AS consumed FROM lineitem""",
     "references_": """SELECT o_orderkey * 10 AS reference_id, o_custkey AS claim_id, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'src/' || o_orderkey || '.ts' END AS target FROM orders""",
     "observations": """SELECT o_orderkey * 10 AS reference_id, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'a' || (o_orderkey % 20) END AS section_change, 'a' || (o_custkey % 20) AS reference_change,
         CASE WHEN o_orderkey % 20 = o_custkey % 20 THEN 'same_change' WHEN o_orderkey % 41 = 0 THEN 'section_before_reference' ELSE 'reference_before_section' END AS change_order FROM orders WHERE o_orderkey % 31 <> 0""",

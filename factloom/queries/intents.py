@@ -10,6 +10,7 @@ from factloom.queries.relational import query
 from factloom.queries.scalars import _SCOPES
 
 c = F.col
+k = F.col("o_orderkey")
 
 
 @query("orders", sql="SELECT o_orderkey AS intent_id, 'writeback' AS stage, 'raw_stale_source' AS reason, 's' || (o_orderkey % 3) || '/t' || (o_orderkey % 2) AS evidence FROM orders WHERE o_orderkey % 3 <> o_custkey % 5 % 3 OR o_orderkey % 2 <> o_custkey % 5 % 2")
@@ -28,11 +29,12 @@ def epoch_stalls(li: DataFrame) -> DataFrame:
     return hazards.epoch_stalls(r, w)
 
 
-@query("claims2", sql=_SCOPES + """, m AS (SELECT id, ka, fa, ha, starts_with(fa || '/', '/..') AS x FROM h WHERE id % 7 = 0), o2 AS (SELECT id, kb, fb, hb FROM h WHERE id % 7 = 1)
-SELECT DISTINCT m.id AS intent_id, o2.id AS other_id FROM m JOIN o2 ON m.id % 3 <> o2.id % 3 AND CASE WHEN ka = 'none' OR kb = 'none' THEN false WHEN ka IS NULL OR kb IS NULL THEN true WHEN 'repo' IN (ka, kb) THEN 'cross' NOT IN (ka, kb) WHEN ka = 'cross' AND kb = 'cross' THEN ha <> hb OR starts_with(fb || '/', fa || '/') OR starts_with(fa || '/', fb || '/') WHEN 'cross' IN (ka, kb) THEN false ELSE starts_with(fb || '/', fa || '/') OR starts_with(fa || '/', fb || '/') END""")
+@query("claims2", sql=_SCOPES + """, m AS (SELECT DISTINCT a, ka, fa, ha FROM h), o2 AS (SELECT DISTINCT b, kb, fb, hb FROM h)
+SELECT m.a AS intent_id, o2.b AS other_id FROM m, o2 WHERE CASE WHEN ka = 'none' OR kb = 'none' THEN false WHEN ka IS NULL OR kb IS NULL THEN true WHEN 'repo' IN (ka, kb) THEN 'cross' NOT IN (ka, kb) WHEN ka = 'cross' AND kb = 'cross' THEN ha <> hb OR starts_with(fb || '/', fa || '/') OR starts_with(fa || '/', fb || '/') WHEN 'cross' IN (ka, kb) THEN false ELSE starts_with(fb || '/', fa || '/') OR starts_with(fa || '/', fb || '/') END""")
 def claim_conflicts(d: DataFrame) -> DataFrame:
-    side = lambda k, x: d.where(c("id") % 7 == k).select(c("id").alias("intent_id"), (c("id") % 3).alias("agent"), c(x).alias("claim"))
-    return hazards.claim_conflicts(side(1, "b"), side(0, "a"))
+    """Between the distinct claims, so that many intents with the same claim make no pairs."""
+    side = lambda x: d.select(c(x).alias("intent_id"), F.lit(x).alias("agent"), c(x).alias("claim")).distinct()
+    return hazards.claim_conflicts(side("b"), side("a"))
 
 
 @query("claims2", sql=_SCOPES + " SELECT id AS intent_id, 'writeback' AS stage, 'unparseable_write_scope' AS reason, a AS evidence FROM h WHERE ka IS NULL")
@@ -49,13 +51,13 @@ def precision_stalls(o: DataFrame) -> DataFrame:
     return hazards.precision_stalls(o.select(k.alias("intent_id"), F.when(k % 2 == 0, "autonomous_write").otherwise("preview_only").alias("mode"), (k % 3 != 0).alias("ready"), F.when(k % 5 == 0, "p").alias("profile"), F.when(k % 7 == 0, F.array(F.lit("unverified"), F.lit("ambiguous"))).otherwise(F.array().cast("array<string>")).alias("blockers"), tiers.alias("tiers")))
 
 
-_HIT = """SELECT DISTINCT l_orderkey AS intent_id, c_custkey AS evidence_id, ['verified', 'stale', 'contradicted', 'unverified'][c_custkey % 4 + 1] AS status, 'e' || (c_custkey % 3) AS epoch FROM lineitem JOIN customer ON l_partkey % 150 IN (c_custkey % 150, (c_custkey + 7) % 150) WHERE c_custkey % 4 <> 0 AND l_linenumber <= 2"""
+_HIT = """SELECT DISTINCT l_orderkey AS intent_id, c_custkey AS evidence_id, ['verified', 'stale', 'contradicted', 'unverified'][c_custkey % 4 + 1] AS status, 'e' || (c_custkey % 3) AS epoch FROM lineitem JOIN customer ON l_partkey IN (c_custkey, c_custkey + 7) WHERE c_custkey % 4 <> 0"""
 
 
 def _hit(li: DataFrame, cu: DataFrame) -> DataFrame:
     k = c("c_custkey")
-    e = cu.select(k.alias("evidence_id"), F.get(F.array(*map(F.lit, hazards.DOC_REASONS)), (k % 4).cast("int")).alias("status"), F.concat(F.lit("e"), k % 3).alias("epoch"), F.array(k % 150, (k + 7) % 150).alias("files"))
-    return hazards.affected(li.where("l_linenumber <= 2").select(c("l_orderkey").alias("intent_id"), (c("l_partkey") % 150).alias("file")), e)
+    e = cu.select(k.alias("evidence_id"), F.get(F.array(*map(F.lit, hazards.DOC_REASONS)), (k % 4).cast("int")).alias("status"), F.concat(F.lit("e"), k % 3).alias("epoch"), F.array(k, k + 7).alias("files"))
+    return hazards.affected(li.select(c("l_orderkey").alias("intent_id"), c("l_partkey").alias("file")), e)
 
 
 @query("lineitem", "customer", sql=_HIT)
@@ -145,9 +147,10 @@ def run_summary(j: DataFrame) -> DataFrame:
     return journal.run_summary(_corrections(j))
 
 
-@query("requests", "ledger", sql="SELECT coalesce(l.work_item_id, r.work_item_id) AS work_item_id, coalesce(l.requests_used, 0) + CASE WHEN r.work_item_id IS NULL THEN 0 ELSE 1 END AS requests_used, coalesce(r.state_hash, l.last_state_sha256) AS last_state_sha256 FROM ledger l FULL JOIN (SELECT * FROM requests WHERE expected_used = 0 AND previous_state_sha256 IS NULL AND length(work_item_id) % 2 = 0 AND substr(work_item_id, 2)::BIGINT % 3 = 0) r ON r.work_item_id = l.work_item_id")
+@query("requests", "ledger", sql="SELECT work_item_id, requests_used, last_state_sha256 FROM ledger UNION ALL SELECT work_item_id, 1, state_hash FROM requests r WHERE expected_used = 0 AND previous_state_sha256 IS NULL AND change_reason IS NULL AND work_item_id NOT IN (SELECT work_item_id FROM ledger)")
 def ledger_reserve(r: DataFrame, ledger: DataFrame) -> DataFrame:
-    return journal.reserve(ledger, r.where("expected_used = 0 and previous_state_sha256 is null and length(work_item_id) % 2 = 0 and cast(substr(work_item_id, 2) as bigint) % 3 = 0"))
+    new = r.where("expected_used = 0 and previous_state_sha256 is null and change_reason is null").join(ledger, "work_item_id", "left_anti")
+    return journal.reserve(ledger, new)
 
 
 @query("requests", "ledger", sql="SELECT work_item_id, requests_used, last_state_sha256 FROM ledger")
@@ -180,10 +183,12 @@ def questions(cu: DataFrame, n: DataFrame, r: DataFrame) -> DataFrame:
     return journal.questions(t, p, k)
 
 
-@query("lineitem", "orders", sql="""SELECT task, model, error FROM (SELECT l.l_orderkey AS task, l.l_suppkey % 3 AS model, CASE WHEN o.o_orderkey IS NULL OR count(*) OVER (PARTITION BY l.l_orderkey) > 1 THEN 'unknown_or_duplicate_task' WHEN o.o_orderkey % 4 = 0 THEN 'task_not_dispatch_ready' WHEN l.l_suppkey % 3 = 2 THEN 'ineligible_model' END AS error FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderkey % 9 <> 0 WHERE l.l_linenumber = 1) WHERE error IS NOT NULL""")
-def plan_errors(li: DataFrame, o: DataFrame) -> DataFrame:
-    t = o.where("o_orderkey % 9 <> 0").select(c("o_orderkey").alias("task"), (c("o_orderkey") % 4 != 0).alias("ready"))
-    return journal.plan_errors(li.where("l_linenumber = 1").select(c("l_orderkey").alias("task"), (c("l_suppkey") % 3).alias("model")), t, t.select("task", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("model")))
+@query("orders", "customer", sql="""SELECT task, model, error FROM (SELECT o_orderkey AS task, o_orderkey % 3 AS model, CASE WHEN c_custkey IS NULL OR o_orderkey % 10 = 0 THEN 'unknown_or_duplicate_task' WHEN o_orderkey % 4 = 0 THEN 'task_not_dispatch_ready' WHEN o_orderkey % 3 = 2 THEN 'ineligible_model' END AS error
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 9 <> 0, (SELECT unnest([0, 1]) AS twice) WHERE twice = 0 OR o_orderkey % 10 = 0) WHERE error IS NOT NULL""")
+def plan_errors(o: DataFrame, cu: DataFrame) -> DataFrame:
+    t = o.join(cu.where("c_custkey % 9 <> 0"), c("o_custkey") == c("c_custkey"), "left_semi").select(k.alias("task"), (k % 4 != 0).alias("ready"))
+    a = o.select(k.alias("task"), (k % 3).alias("model"), F.explode(F.sequence(F.lit(0), F.when(k % 10 == 0, 1).otherwise(0))))
+    return journal.plan_errors(a.drop("col"), t, t.select("task", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("model")))
 
 
 @query("orders", sql="SELECT o_orderkey AS task, CASE WHEN o_orderkey % 3 = 0 THEN 'eligible_and_excluded' ELSE 'roster_not_covered' END AS error FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 = 0")

@@ -216,24 +216,24 @@ def unproven_claims(o: DataFrame, c: DataFrame) -> DataFrame:
     return claims.unproven(v, c.select(F.col("c_custkey").alias("claim_id"), F.when(F.col("c_custkey") % 4 == 0, "api_contract").otherwise("requirement").alias("kind")))
 
 
-@query("spans", sql='SELECT DISTINCT file, "start", stop FROM spans s WHERE agent < 5 AND NOT EXISTS (SELECT 1 FROM spans k WHERE k.agent = 7 AND k.file = s.file AND k."start" < s.stop AND s."start" < k.stop)')
+@query("spans", sql='SELECT DISTINCT file, "start", stop FROM spans s WHERE NOT consumed AND NOT EXISTS (SELECT 1 FROM spans k WHERE k.consumed AND k.file = s.file AND k."start" < s.stop AND s."start" < k.stop)')
 def unlinked_subjects(s: DataFrame) -> DataFrame:
-    return claims.unlinked(s.where("agent < 5").select("file", "start", "stop"), s.where("agent = 7"))
+    return claims.unlinked(s.where("not consumed").select("file", "start", "stop"), s.where("consumed"))
 
 
 # Hazards
 
-_PAIRS = 'SELECT w.file, w.id AS a_id, r.id AS b_id, w."start" AS a_start, r."start" AS b_start, w.agent AS wa, r.agent AS ra, r.consumed FROM spans w JOIN spans r ON w.file = r.file AND w."start" < r.stop AND r."start" < w.stop WHERE w.agent = 1 AND r.agent <= 2'
+_PAIRS = 'SELECT w.file, w.id AS a_id, r.id AS b_id, w."start" AS a_start, r."start" AS b_start, w.agent AS wa, r.agent AS ra, r.consumed FROM spans w JOIN spans r ON w.file = r.file AND w."start" < r.stop AND r."start" < w.stop'
 
 
 @query("spans", sql=f"SELECT file, a_id, b_id, a_start, b_start FROM ({_PAIRS})")
 def span_overlaps(s: DataFrame) -> DataFrame:
-    return hazards.overlaps(s.where("agent = 1"), s.where("agent <= 2"))
+    return hazards.overlaps(s, s)
 
 
 @query("spans", sql=f"SELECT file, a_id AS write_id, b_id AS read_id FROM ({_PAIRS}) WHERE wa <> ra AND NOT consumed")
 def write_after_read(s: DataFrame) -> DataFrame:
-    return hazards.write_after_read(s.where("agent = 1"), s.where("agent <= 2"))
+    return hazards.write_after_read(s, s)
 
 
 @query("orders", sql="SELECT o_orderkey AS intent_id, 'f' || o_custkey AS file, CASE WHEN o_custkey % 3 = 0 THEN 'missing_source' ELSE 'stale_hash' END AS reason FROM orders WHERE o_custkey % 3 = 0 OR o_orderkey % 5 <> o_custkey % 5")

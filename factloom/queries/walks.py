@@ -66,9 +66,9 @@ def graph_name_census(n: DataFrame, e: DataFrame) -> DataFrame:
     return graph.name_census(n, e)
 
 
-@query("nodes", "edges", sql="SELECT b.name AS file, e.kind, count(*) AS n FROM edges e JOIN nodes a ON a.node_id = e.dst JOIN nodes b ON b.node_id = e.src WHERE a.name LIKE '%9' GROUP BY ALL")
+@query("nodes", "edges", sql="SELECT b.name AS file, e.kind, count(*) AS n FROM edges e JOIN nodes a ON a.node_id = e.dst JOIN nodes b ON b.node_id = e.src WHERE a.kind = 'class' GROUP BY ALL")
 def graph_calls_into(n: DataFrame, e: DataFrame) -> DataFrame:
-    return graph.edges_into(e, n.where("name like '%9'"), n)
+    return graph.edges_into(e, n.where("kind = 'class'"), n)
 
 
 # Imports
@@ -111,9 +111,9 @@ _NAMED = """, bound AS (SELECT DISTINCT dst, unnest(regexp_extract_all(label, '(
 every AS (SELECT name, node_id FROM nodes WHERE kind IN ('function', 'class') UNION SELECT label, dst FROM labelled WHERE kind = 'exports' UNION SELECT b.name, n.node_id FROM bound b JOIN labelled e ON e.kind = 'contains' AND e.src = b.dst JOIN nodes n ON n.node_id = e.dst AND n.name = b.exported WHERE b.name <> b.exported)"""
 
 
-@query("nodes", "labelled", sql=_NAMED + " SELECT name, node_id FROM every WHERE name IS NOT NULL AND NOT starts_with(name, 'o')")
+@query("nodes", "labelled", sql=_NAMED + " SELECT name, node_id FROM every WHERE name IS NOT NULL")
 def declarations_named(n: DataFrame, e: DataFrame) -> DataFrame:
-    names = n.select("name").union(e.select("label")).union(e.select(F.explode(imports.bound_names(F.col("label")))).select("col.local")).where("not startswith(name, 'o')")
+    names = n.select("name").union(e.select("label")).union(e.select(F.explode(imports.bound_names(F.col("label")))).select("col.local"))
     return imports.declarations_named(names, n, e)
 
 
