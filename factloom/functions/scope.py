@@ -94,3 +94,19 @@ def allows(have: Column, want: Column) -> Column:
     """Arrays of claims: every wanted scope but no-write is covered by one that is had."""
     wanted = F.filter(want, lambda c: F.coalesce(parse(c)["kind"] != "none", F.lit(True)))
     return F.forall(wanted, lambda r: F.exists(have, lambda a: F.coalesce(covers(parse(a), parse(r)), F.lit(False))))
+
+
+def writes_nothing(claims: Column) -> Column:
+    """Of an array of claims: whether all of them (or none at all) are claims of no writes."""
+    return F.forall(claims, lambda c: F.coalesce(parse(c)["kind"] == "none", F.lit(False)))
+
+
+def crosses(claims: Column) -> Column:
+    """Whether one of the claims leaves the repository."""
+    return F.exists(claims, lambda c: F.coalesce(parse(c)["kind"] == "cross", F.lit(False)))
+
+
+def first_overlap(left: Column, right: Column) -> Column:
+    """struct(left, right): the first pair of readable claims that overlap, in the order of the left ones, then the right; else null."""
+    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    return F.get(F.filter(pairs, lambda p: overlap_if_readable(p["left"], p["right"])), F.lit(0))

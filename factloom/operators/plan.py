@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Signals by priority, and what each adds to a score.
 SIGNALS = ("diagnostic", "test", "truth_gap", "dirty_hunk", "caller", "callee", "type_ref", "import", "export", "docs", "declaration", "graph_distance")
+WEIGHTS = {"diagnostic": 100, "test": 90, "truth_gap": 80, "dirty_hunk": 75, "caller": 65, "callee": 60, "type_ref": 55, "import": 45, "export": 40, "declaration": 35, "docs": 30, "graph_distance": 25}
+# End of fixed values.
 
 
 def signal_priority(c: Column) -> Column:
@@ -15,10 +18,17 @@ def signal_priority(c: Column) -> Column:
     return out
 
 
+def signal_weight(c: Column) -> Column:
+    out = F.lit(0)
+    for k, v in WEIGHTS.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
+
+
 def merge(candidates: DataFrame) -> DataFrame:
-    """One row for each task and address: least decision and distance, greatest score and 5 more for each further signal."""
+    """One row for each task and address: least decision and distance; the greatest score, the weights of all its signals and 5 for each further one."""
     out = candidates.groupBy("task", "file", "start", "stop").agg(F.min("decision").alias("decision"), F.min("distance").alias("distance"), F.max("score").alias("top"), F.array_sort(F.collect_set("signal")).alias("signals"), F.min(signal_priority(F.col("signal"))).alias("priority"))
-    return out.withColumn("score", F.col("top") + 5 * F.greatest(F.size("signals") - 1, F.lit(0))).drop("top")
+    return out.withColumn("score", F.col("top") + F.aggregate("signals", F.lit(0), lambda a, x: a + signal_weight(x)) + 5 * F.greatest(F.size("signals") - 1, F.lit(0))).drop("top")
 
 
 ORDER = ("decision", "priority", "distance", "score desc", "file", "start", "stop")

@@ -256,7 +256,7 @@ def dedup_stalls(li: DataFrame) -> DataFrame:
 # Plans
 
 _MERGED = """, p AS (SELECT *, list_position(['diagnostic', 'test', 'truth_gap', 'dirty_hunk', 'caller', 'callee', 'type_ref', 'import', 'export', 'docs'], signal) - 1 AS priority FROM candidates),
-m AS (SELECT task, file, "start", stop, min(decision) AS decision, min(distance) AS distance, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals, min(priority) AS priority, max(score) + 5 * (count(DISTINCT signal) - 1) AS score FROM p GROUP BY task, file, "start", stop),
+m AS (SELECT task, file, "start", stop, min(decision) AS decision, min(distance) AS distance, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals, min(priority) AS priority, max(score) + sum(DISTINCT CASE signal WHEN 'diagnostic' THEN 100 WHEN 'test' THEN 90 WHEN 'caller' THEN 65 WHEN 'import' THEN 45 ELSE 30 END)::BIGINT + 5 * (count(DISTINCT signal) - 1) AS score FROM p GROUP BY task, file, "start", stop),
 o AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY decision, priority, distance, score DESC, file, "start", stop) AS place FROM m)"""
 
 
