@@ -11,12 +11,12 @@ from factloom.queries.relational import query
 from factloom.sources import code
 
 c = F.col
-k = F.col("o_orderkey")
 _KINDS = ("requirement", "doc_page", "api_contract", "code_reference", "doc_section")
 _NODES = "n AS (SELECT 'e' || o_orderkey AS evidence_id, 'f' || (o_custkey % 9) AS file, ['requirement', 'doc_page', 'api_contract', 'code_reference', 'doc_section'][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN 'p' || (o_custkey % 4) END AS parent, CASE WHEN o_orderkey % 3 = 0 THEN 't' || o_custkey END AS target, CASE WHEN o_orderkey % 4 = 0 THEN 's' END AS symbol, o_orderpriority AS title FROM orders)"
 
 
 def _nodes(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     name = lambda p, x: F.concat(F.lit(p), x)
     return o.select(
         name("e", k).alias("evidence_id"), name("f", c("o_custkey") % 9).alias("file"), F.get(F.array(*map(F.lit, _KINDS)), (k % 5).cast("int")).alias("kind"), F.when(k % 7 != 0, name("p", c("o_custkey") % 4)).alias("parent"),
@@ -37,12 +37,14 @@ def claims_and_facts(o: DataFrame) -> DataFrame:
 SELECT n.evidence_id, CASE WHEN {_CLAIM} THEN 'doc_claim' ELSE 'doc_fact' END AS kind, CASE WHEN {_CLAIM} THEN coalesce(got, 'unverified') ELSE 'decoded' END AS proof_status, CASE WHEN NOT {_CLAIM} THEN 'high' WHEN got = 'stale' THEN 'low' WHEN got = 'verified' THEN 'high' ELSE 'medium' END AS confidence FROM n LEFT JOIN v ON v.evidence_id = n.evidence_id
 UNION ALL SELECT 'd' || c_custkey, 'doc_diagnostic', 'diagnostic', 'high' FROM customer""")
 def evidence_shapes(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     v = o.where(k % 3 == 1).select(F.concat(F.lit("e"), k).alias("evidence_id"), F.when(k % 2 == 0, "stale").otherwise("verified").alias("status"))
     return evidence.shapes(_nodes(o), cu.select(F.concat(F.lit("d"), "c_custkey").alias("evidence_id")), v)
 
 
 @query("orders", "customer", sql="SELECT DISTINCT unnest(['e' || (o_orderkey % 500), 'x' || (o_custkey % 40), 'y']) AS evidence_id FROM orders UNION SELECT 'x' || c_custkey FROM customer WHERE c_custkey % 3 = 0")
 def all_evidence_ids(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     a = o.select(F.concat(F.lit("e"), k % 500).alias("evidence_id"), F.array(F.concat(F.lit("x"), c("o_custkey") % 40), F.lit("y")).alias("evidence_ids"))
     return evidence.all_ids(a, cu.select(F.when(c("c_custkey") % 3 == 0, F.concat(F.lit("x"), "c_custkey")).alias("evidence_id")))
 
@@ -55,12 +57,14 @@ def graph_freshness(cu: DataFrame) -> DataFrame:
 
 @query("customer", "orders", sql="SELECT c_custkey AS claim_id, CASE WHEN count(o_orderkey) = 0 THEN 'verified' ELSE 'contradicted' END AS status, count(o_orderkey) AS silent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 11 = 0 GROUP BY c_custkey")
 def truth_verdicts(cu: DataFrame, o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return evidence.truth_verdicts(cu.select(c("c_custkey").alias("claim_id")), o.select(c("o_custkey").alias("claim_id"), F.when(k % 11 == 0, "silent_divergence").otherwise("explained").alias("classification")))
 
 
 @query("customer", "orders", sql="""WITH g AS (SELECT o_custkey, bool_or(o_orderkey % 29 = 0) AS bad, bool_or(o_orderkey % 2 = 0) AS yes, list(DISTINCT 'x' || (o_orderkey % 3)) AS more FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey)
 SELECT c_custkey AS claim_id, CASE WHEN bad THEN 'contradicted' WHEN yes AND c_custkey % 3 = 0 THEN 'verified' ELSE ['unverified', 'stale', 'unknown'][c_custkey % 3 + 1] END AS status, array_to_string(list_sort(list_distinct(['c'] || coalesce(more, []))), ',') AS evidence_ids FROM customer LEFT JOIN g ON o_custkey = c_custkey""")
 def apply_contract_checks(cu: DataFrame, o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     v = cu.select(c("c_custkey").alias("claim_id"), F.get(F.array(F.lit("unverified"), F.lit("stale"), F.lit("unknown")), (c("c_custkey") % 3).cast("int")).alias("status"), F.array(F.lit("c")).alias("evidence_ids"))
     checks = o.where(k % 5 == 0).select(c("o_custkey").alias("claim_id"), F.when(k % 29 == 0, "contradicted").when(k % 2 == 0, "verified").otherwise("unknown").alias("status"), F.array(F.concat(F.lit("x"), k % 3)).alias("evidence_ids"))
     # An even multiple of 29 is a contradiction, and contradictions win anyway.
@@ -97,6 +101,7 @@ def known_references(li: DataFrame) -> DataFrame:
   CASE WHEN o_orderkey % 7 = 0 THEN 'invalid_path' WHEN o_custkey % 5 = 0 THEN 'file_not_found' WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_custkey % 6 = 0 THEN 'file_incomplete' WHEN o_orderkey % 3 = 1 AND o_orderkey % 4 = 0 THEN 'symbol_not_found' WHEN o_orderkey % 3 = 2 AND o_orderkey % 4 = 1 THEN 'owner_not_found' WHEN o_orderkey % 3 = 1 THEN 'symbol_ambiguous' END AS reason,
   CASE WHEN o_orderkey % 7 <> 0 AND o_custkey % 5 <> 0 AND o_orderkey % 3 = 2 AND o_custkey % 6 <> 0 AND o_orderkey % 4 <> 1 THEN o_custkey * 10 + 1 END AS node_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
 def resolve_references(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     target = F.concat(F.when(k % 7 == 0, "/").otherwise("./"), F.lit("f"), c("o_custkey"))
     symbol = F.when(k % 3 == 1, F.when(k % 4 == 0, "none").otherwise("g")).when(k % 3 == 2, F.when(k % 4 == 1, "C.g").otherwise("A.g"))
     r = o.join(cu, k.isNotNull() & (c("o_custkey") == c("c_custkey")), "left_semi").select(k.alias("id"), target.alias("target"), symbol.alias("symbol"))
@@ -108,11 +113,13 @@ def resolve_references(o: DataFrame, cu: DataFrame) -> DataFrame:
 
 @query("orders", sql="SELECT DISTINCT unnest([file, target]) AS path FROM (SELECT 'd' || (o_custkey % 50) AS file, 's' || (o_orderkey % 70) AS target FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY 'd' || (o_custkey % 50), o_orderkey LIMIT 64)")
 def history_paths(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return evidence.history_paths(o.select(F.concat(F.lit("d"), c("o_custkey") % 50).alias("file"), F.concat(F.lit("s"), k % 70).alias("target"), k.alias("start"), (k % 3 != 0).alias("resolved")))
 
 
 @query("lineitem", "orders", sql="SELECT o_orderkey AS id, arg_max(l_partkey, l_partkey * 10000 + l_suppkey) AS \"commit\" FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN 2 AND 2 + o_custkey % 3 GROUP BY o_orderkey")
 def line_changes(li: DataFrame, o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     h = li.select(c("l_orderkey").alias("path"), c("l_linenumber").alias("line_no"), c("l_partkey").alias("commit"), (c("l_partkey") * 10000 + c("l_suppkey")).alias("seq"))
     return evidence.line_changes(o.select(k.alias("id"), k.alias("path"), F.lit(2).alias("first"), (2 + c("o_custkey") % 3).cast("int").alias("last")), h)
 
@@ -126,6 +133,7 @@ _DIAG = ("unresolved_reference", "unsupported_syntax", "contract_source_read_fai
 
 
 def _diagnostics(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return o.select(F.get(F.array(*map(F.lit, _DIAG)), (k % 4).cast("int")).alias("code"), F.concat(F.lit("f"), c("o_custkey") % 9).alias("file"), F.concat(F.lit("e"), k).alias("evidence_id"))
 
 
@@ -157,6 +165,7 @@ _REASONS = ("parameter_property_annotation", "return_type_contract", "generic_co
 
 @query("orders", sql=f"SELECT DISTINCT 'f' || (o_custkey % 7) AS file, o_orderkey % 100 AS line_no, CASE WHEN o_orderkey % 10 = 0 THEN 'high' ELSE {list(_LEVELS)}[o_orderkey % 11 + 1] END AS level, CASE WHEN o_orderkey % 10 = 0 THEN 'heritage_contract' ELSE {list(_REASONS)}[o_orderkey % 11 + 1] END AS reason FROM orders WHERE o_orderkey % 10 < 8")
 def pressure_rows(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     text = F.get(F.array(*[F.lit(x.format("Nm").replace("{{", "{")) for x in _LINES]), (k % 11).cast("int"))
     kind = F.when(k % 10 == 0, "extends").when(k % 10 < 8, "type_ref").otherwise("calls")
     return evidence.pressure_rows(o.select(F.concat(F.lit("f"), c("o_custkey") % 7).alias("file"), (k % 100).alias("line_no"), kind.alias("kind"), text.alias("line"), F.lit("Nm").alias("name"), k.alias("seq"))).drop("seq")
@@ -164,6 +173,7 @@ def pressure_rows(o: DataFrame) -> DataFrame:
 
 @query("orders", sql="SELECT DISTINCT 'f' || (o_custkey % 9) AS file, o_orderkey AS line_no, 'b' || (o_orderkey % 5) AS binding, 'go' AS method FROM orders WHERE o_orderkey % 5 IN (0, 2) AND o_custkey % 9 % 2 = 0")
 def service_calls(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     lines = o.select(F.concat(F.lit("f"), c("o_custkey") % 9).alias("file"), k.alias("line_no"), F.concat(F.lit("x = b"), k % 5, F.lit(".go (1) + b"), k % 5, F.lit(".stop")).alias("text"))
     b = lines.where(c("file").isin("f0", "f2", "f4", "f6", "f8")).select("file", F.explode(F.array(F.lit("b0"), F.lit("b2"), F.lit("q"))).alias("binding"))
     return evidence.service_calls(b, lines)
@@ -171,6 +181,7 @@ def service_calls(o: DataFrame) -> DataFrame:
 
 @query("orders", sql="SELECT 'f' || (o_custkey % 9) AS file, o_orderkey AS line_no, 'p' || CASE WHEN o_custkey % 9 % 2 = 0 THEN 1 ELSE 0 END AS provider, CASE WHEN o_custkey % 9 % 2 = 0 THEN 'composed' ELSE 'missing_composition' END AS status FROM orders WHERE o_orderkey % 3 = 0")
 def provider_context(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     calls = o.select(F.concat(F.lit("f"), c("o_custkey") % 9).alias("file"), k.alias("line_no"), F.concat(F.lit("s"), k % 3).alias("service"))
     providers = calls.sparkSession.createDataFrame([("s0", "p0"), ("s0", "p1")], "service string, provider string")
     return evidence.provider_context(calls, providers, calls.where(c("file").isin("f0", "f2", "f4", "f6", "f8")).select("file", F.lit("p1").alias("provider")))
@@ -181,6 +192,7 @@ def provider_context(o: DataFrame) -> DataFrame:
 
 @query("orders", sql="SELECT o_custkey AS repo, sha256(string_agg('f' || o_orderkey || chr(0) || 'h' || (o_orderkey % 9) || chr(0), '' ORDER BY 'f' || o_orderkey)) AS fingerprint FROM orders GROUP BY o_custkey")
 def world_fingerprint(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return manifests.world_fingerprint(o.select(c("o_custkey").alias("repo"), F.concat(F.lit("f"), k).alias("file"), F.concat(F.lit("h"), k % 9).alias("hash")))
 
 
@@ -191,6 +203,7 @@ def framed_fingerprint(d: DataFrame) -> DataFrame:
 
 @query("orders")
 def tree_fnv(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return manifests.tree_fnv(o.select((c("o_custkey") % 40).alias("repo"), F.concat(F.lit("f"), k).alias("path"), c("o_orderpriority").alias("content")))
 
 
@@ -203,6 +216,7 @@ def manifest_errors(d: DataFrame) -> DataFrame:
 
 @query("orders", sql="SELECT o_custkey AS path, 'captured' AS side FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderkey % 9 <> 0) UNION ALL SELECT -1, 'again'")
 def observation_changes(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     one = o.select(F.lit(-1).cast("bigint").alias("path")).limit(1)
     return manifests.observation_changes(o.select(c("o_custkey").alias("path")), o.where(k % 9 != 0).select(c("o_custkey").alias("path")).unionByName(one))
 
@@ -238,6 +252,7 @@ def marked_roles(p: DataFrame) -> DataFrame:
 @query("orders", "customer", sql="""WITH r AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'Bad ' || o_orderkey ELSE 'k' || (o_orderkey - o_orderkey % 2) END AS key, o_custkey FROM orders), p AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM r)
 SELECT DISTINCT key, CASE WHEN key IS NULL THEN 'missing' WHEN NOT regexp_matches(key, '^[a-z][a-z0-9_-]{0,63}$') THEN 'malformed' ELSE 'repeated' END AS problem FROM p WHERE key IS NULL OR key LIKE 'Bad%' OR n > 1 UNION ALL SELECT DISTINCT key, 'no_parent' FROM r WHERE o_custkey % 10 = 0""")
 def config_violations(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     key = F.when(k % 13 == 0, None).when(k % 7 == 0, F.concat(F.lit("Bad "), k)).otherwise(F.concat(F.lit("k"), k - k % 2))
     return manifests.config_violations(o.select(key.alias("id"), "o_custkey"), "id", o.where("o_custkey % 10 <> 0").select(c("o_custkey").alias("id")).distinct(), "o_custkey")
 
@@ -269,6 +284,7 @@ def markdown_anchors(d: DataFrame) -> DataFrame:
 
 
 def _code(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     body = F.concat(F.lit("import { a as b } from './m"), k % 5, F.lit("';\nexport function f"), k, F.lit("(x: number) { if (x) { return 1; } return "), F.when(k % 3 == 0, "x").otherwise(c("o_custkey").cast("string")), F.lit("; }\nf"), k, F.lit("(2);\n"), F.when(k % 7 == 0, "`open").otherwise(""))
     return o.select(k.alias("path"), body.alias("source"), F.lit("typescript").alias("language"))
 

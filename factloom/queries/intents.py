@@ -10,7 +10,6 @@ from factloom.queries.relational import query
 from factloom.queries.scalars import _SCOPES
 
 c = F.col
-k = F.col("o_orderkey")
 
 
 @query("orders", sql="SELECT o_orderkey AS intent_id, 'writeback' AS stage, 'raw_stale_source' AS reason, 's' || (o_orderkey % 3) || '/t' || (o_orderkey % 2) AS evidence FROM orders WHERE o_orderkey % 3 <> o_custkey % 5 % 3 OR o_orderkey % 2 <> o_custkey % 5 % 2")
@@ -186,6 +185,7 @@ def questions(cu: DataFrame, n: DataFrame, r: DataFrame) -> DataFrame:
 @query("orders", "customer", sql="""SELECT task, model, error FROM (SELECT o_orderkey AS task, o_orderkey % 3 AS model, CASE WHEN c_custkey IS NULL OR o_orderkey % 10 = 0 THEN 'unknown_or_duplicate_task' WHEN o_orderkey % 4 = 0 THEN 'task_not_dispatch_ready' WHEN o_orderkey % 3 = 2 THEN 'ineligible_model' END AS error
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 9 <> 0, (SELECT unnest([0, 1]) AS twice) WHERE twice = 0 OR o_orderkey % 10 = 0) WHERE error IS NOT NULL""")
 def plan_errors(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     t = o.join(cu.where("c_custkey % 9 <> 0"), c("o_custkey") == c("c_custkey"), "left_semi").select(k.alias("task"), (k % 4 != 0).alias("ready"))
     a = o.select(k.alias("task"), (k % 3).alias("model"), F.explode(F.sequence(F.lit(0), F.when(k % 10 == 0, 1).otherwise(0))))
     return journal.plan_errors(a.drop("col"), t, t.select("task", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("model")))

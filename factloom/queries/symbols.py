@@ -11,12 +11,12 @@ from factloom.queries.relational import query
 from factloom.queries.scalars import _SCOPES
 
 c = F.col
-k = F.col("o_orderkey")
 say = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
 
 
 @query("orders", sql="SELECT o_orderkey AS id, ['keyword', 'language', 'platform', NULL, 'platform'][o_orderkey % 5 + 1] AS class, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'calls' WHEN o_orderkey % 3 = 1 THEN 'type_ref' ELSE 'value_ref' END AS edge, CASE WHEN o_orderkey % 4 < 2 THEN 'k' || o_custkey END AS key, o_custkey % 7 >= 2 AND o_custkey % 7 + 3 <= 8 AS within FROM orders")
 def symbol_scalars(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     name = F.get(F.array(*map(F.lit, ("const", "WeakRef", "Window", "mine", "fetch"))), (k % 5).cast("int"))
     kind = F.when(k % 3 == 0, "function").when(k % 3 == 1, "trait").otherwise("variable")
     prefix = F.when(k % 4 == 0, say("  k", c("o_custkey"), " ?: ")).when(k % 4 == 1, say("a, k", c("o_custkey"), ":")).when(k % 4 == 2, "k = ").otherwise(":")
@@ -39,12 +39,14 @@ def type_members(n: DataFrame, e: DataFrame) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file, line_no) AS n FROM d), g AS (SELECT name, count(*) AS found, string_agg(CASE WHEN n <= 3 THEN file || ':' || line_no END, ', ' ORDER BY n) AS places FROM r GROUP BY name)
 SELECT subject_id, token, CASE WHEN found IS NULL THEN 'missing' WHEN found = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome, coalesce(places, '') AS places, greatest(coalesce(found, 0) - 3, 0) AS omitted FROM t LEFT JOIN g ON g.name = t.token""")
 def propose_support(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     d = o.select(say("n", k % 400).alias("name"), say("f", c("o_custkey") % 30).alias("file"), c("o_custkey").alias("line_no"))
     return symbols.propose_support(o.select(k.alias("subject_id"), say("see n", k % 700, " and `n", c("o_custkey") % 500, "`.").alias("text")), d, citations=3)
 
 
 @query("orders", sql="SELECT o_orderkey AS edge_id, CASE WHEN o_orderkey % 3 = 0 THEN 5 WHEN o_orderkey % 3 = 1 THEN 4 END AS line_no FROM orders WHERE o_orderkey % 3 < 2")
 def import_lines(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     rows = F.array(F.lit("import {"), F.lit("x"), F.lit("import {"), F.when(k % 3 == 1, "  Nm,").otherwise("  Other,"), F.when(k % 3 == 0, "  Nm as q").otherwise("  Nmx"), F.lit("} from './m'; Nm()"))
     lines = o.select(k.alias("file"), F.posexplode(rows).alias("i", "text")).select("file", (c("i") + 1).alias("line_no"), "text")
     return symbols.import_lines(o.select(k.alias("edge_id"), k.alias("file"), F.lit("Nm").alias("name"), F.lit(5).alias("first"), F.lit(5).alias("last")), lines)
@@ -52,12 +54,14 @@ def import_lines(o: DataFrame) -> DataFrame:
 
 @query("orders", sql="SELECT o_orderkey AS file, unnest([3, 4]) AS line_no, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS start_line FROM orders")
 def awaited_bindings(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     rows = F.array(F.when(k % 3 != 0, "const [a] = await Promise.all([").otherwise("if (a == Promise.all([b])) {"), F.when(k % 2 == 0, "let [z] = Promise.all( [").otherwise("x"), F.lit("  import('./m'),"), F.lit("import('n')"), F.lit("]);"))
     return symbols.awaited_bindings(o.select(k.alias("file"), F.posexplode(rows).alias("i", "text")).select("file", (c("i") + 1).alias("line_no"), "text"))
 
 
 @query("orders", "part", sql="SELECT DISTINCT 'f' || o_orderkey AS file, './p' || (p_partkey % 50) || '/x' || p_partkey || '.ts' AS target FROM orders JOIN part ON p_partkey % 50 = o_custkey % 50 AND starts_with('x' || p_partkey, 'x' || (o_orderkey % 9)) AND length('x' || p_partkey) > length('x' || (o_orderkey % 9)) WHERE o_orderkey % 4 <> 0")
 def possible_loads(o: DataFrame, p: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     spec = F.when(k % 4 == 0, "./p/${a}/${b}").otherwise(say("./p", c("o_custkey") % 50, "/x", k % 9, "${name}.ts"))
     path = say("./p", c("p_partkey") % 50, "/x", c("p_partkey"), ".ts")
     return symbols.possible_loads(o.select(say("f", k).alias("file"), spec.alias("specifier")), p.select(path.alias("target"), path.alias("variant")))
@@ -65,6 +69,7 @@ def possible_loads(o: DataFrame, p: DataFrame) -> DataFrame:
 
 @query("orders", "customer", sql="SELECT DISTINCT 'f' || (o_custkey % 40) AS file, 's' || (o_orderkey % 60) AS source FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 40 = o.o_custkey % 40 AND c_custkey % 60 = o.o_orderkey % 60)")
 def dynamic_reachability(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     u = cu.select(say("s", c("c_custkey") % 60).alias("source"), c("c_custkey").alias("node_id"))
     return symbols.dynamic_reachability(o.select(say("s", k % 60).alias("source"), say("f", c("o_custkey") % 40).alias("file")), u, cu.select(say("f", c("c_custkey") % 40).alias("file"), c("c_custkey").alias("node_id")))
 
@@ -73,6 +78,7 @@ def dynamic_reachability(o: DataFrame, cu: DataFrame) -> DataFrame:
 g AS (SELECT query, count(node_id) AS candidates, min(node_id) AS node_id FROM q LEFT JOIN n ON n.name = q.name AND (q.file IS NULL OR q.file = n.file) AND (q.line_no IS NULL OR q.line_no = n.line_no) GROUP BY query)
 SELECT query, CASE candidates WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN candidates = 1 THEN node_id END AS node_id, candidates FROM g""")
 def task_view(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     n = c("c_custkey")
     nodes = cu.select(say("n", n % 100).alias("name"), say("f", n % 3).alias("file"), (n % 5).alias("line_no"), n.alias("node_id"))
     return symbols.task_view(nodes, o.select(k.alias("query"), say("n", k % 120).alias("name"), F.when(k % 2 == 0, say("f", c("o_custkey") % 3)).alias("file"), F.when(k % 4 == 0, c("o_custkey") % 5).alias("line_no")))
@@ -89,6 +95,7 @@ def scope_sets(d: DataFrame) -> DataFrame:
 
 
 def _bundle(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return o.select(c("o_custkey").alias("bundle_id"), F.when(k % 5 == 0, say("top", k)).otherwise(say("d", k % 3, "/f", k)).alias("file"), F.when(k % 4 == 0, "delete").when(k % 4 == 1, "create").otherwise("replace").alias("operation"))
 
 
@@ -110,6 +117,7 @@ def executed_effects(o: DataFrame) -> DataFrame:
 
 
 def _observed(o: DataFrame, shift: int) -> DataFrame:
+    k = c("o_orderkey")
     r = k + shift
     return o.select(
         k.alias("model"), F.when(r % 5 == 0, "unavailable").otherwise("ready").alias("auth_observed"), F.when(r % 7 == 0, "unknown").otherwise("ready").alias("runtime_capability"), F.lit("ready").alias("billing_status"),
@@ -119,6 +127,7 @@ def _observed(o: DataFrame, shift: int) -> DataFrame:
 
 @query("orders", sql="SELECT o_orderkey AS model, NOT (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) AS ready, CASE WHEN o_orderkey % 3 = 0 THEN 'unobserved' ELSE concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'auth_observed:unavailable' END, CASE WHEN o_orderkey % 7 = 0 THEN 'runtime_capability:unknown' END, CASE WHEN o_orderkey % 11 = 0 THEN 'quota:exhausted' END, CASE WHEN o_orderkey % 13 = 0 THEN 'model_inference:null' END) END AS reasons FROM orders")
 def model_readiness(o: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     return effects.readiness(o.select(k.alias("model")), _observed(o.where(k % 3 != 0), 0))
 
 
@@ -138,6 +147,7 @@ def composed_plan(cu: DataFrame) -> DataFrame:
 
 @query("orders", "customer", sql="""SELECT o_orderkey AS intent_id, 'f' || o_custkey AS file, CASE WHEN c_custkey % 3 = 0 THEN 'w' || c_custkey WHEN o_orderkey % 2 = 0 THEN 'own' || o_orderkey ELSE 'else' || o_orderkey END AS address FROM orders JOIN customer ON c_custkey = o_custkey""")
 def intent_addresses(o: DataFrame, cu: DataFrame) -> DataFrame:
+    k = c("o_orderkey")
     i = o.join(cu, c("o_custkey") == c("c_custkey"), "left_semi").select(k.alias("intent_id"), say("f", c("o_custkey")).alias("file"))
     w = cu.where("c_custkey % 3 = 0").select(say("f", c("c_custkey")).alias("file"), say("w", c("c_custkey")).alias("address"))
     t = i.select("intent_id", F.when(c("intent_id") % 2 == 0, c("file")).otherwise("another").alias("file"), F.when(c("intent_id") % 2 == 0, say("own", c("intent_id"))).otherwise(say("else", c("intent_id"))).alias("address"))
