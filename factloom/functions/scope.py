@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from factloom.functions.paths import _fold
 NO_WRITE = ("no-write", "none", "read-only", "readonly")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: inside a lambda, where common subexpressions aren't shared."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _scope(kind: str, hops: Column | None = None, parts: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), (hops if hops is not None else F.lit(0)).alias("hops"), (parts if parts is not None else F.array().cast("array<string>")).alias("parts"))
 
@@ -17,21 +24,29 @@ def _scope(kind: str, hops: Column | None = None, parts: Column | None = None) -
 def parse(raw: Column) -> Column:
     """A claim's scope. Empty, absolute and self-cancelling claims are null."""
     t = F.replace(F.trim(raw), F.lit("\\"), F.lit("/"))
-    bare = F.rtrim(F.regexp_replace(t, r"^(\./)+", ""), F.lit("/"))
-    f = _fold(F.split(t, "/"))
-    absolute = t.startswith("/") | t.rlike("^[A-Za-z]:")
-    return (
-        F.when(t.isin(".", "/"), _scope("repo")).when((t == "") | (bare == ""), None).when(F.lower(bare).isin(*NO_WRITE), _scope("none"))
-        .when(absolute, None).when(f["hops"] > 0, _scope("cross", f["hops"], f["parts"])).when(F.size(f["parts"]) > 0, _scope("path", None, f["parts"]))
-    )
+
+    def kind(x: Column) -> Column:
+        t, f = x["t"], x["f"]
+        bare = F.rtrim(F.regexp_replace(t, r"^(\./)+", ""), F.lit("/"))
+        absolute = t.startswith("/") | t.rlike("^[A-Za-z]:")
+        return (
+            F.when(t.isin(".", "/"), _scope("repo")).when((t == "") | (bare == ""), None).when(F.lower(bare).isin(*NO_WRITE), _scope("none"))
+            .when(absolute, None).when(f["hops"] > 0, _scope("cross", f["hops"], f["parts"])).when(F.size(f["parts"]) > 0, _scope("path", None, f["parts"]))
+        )
+
+    return let(F.struct(t.alias("t"), _fold(F.split(t, "/")).alias("f")), kind)
 
 
 def from_file(raw: Column) -> Column:
     """A file's scope; null for empty and absolute paths and those that leave the repository."""
     t = F.replace(raw, F.lit("\\"), F.lit("/"))
-    f = _fold(F.split(t, "/"))
-    bad = (t == "") | t.startswith("/") | t.rlike("^[A-Za-z]:") | (f["hops"] > 0)
-    return F.when(~bad & (F.size(f["parts"]) > 0), _scope("path", None, f["parts"]))
+
+    def kind(x: Column) -> Column:
+        t, f = x["t"], x["f"]
+        bad = (t == "") | t.startswith("/") | t.rlike("^[A-Za-z]:") | (f["hops"] > 0)
+        return F.when(~bad & (F.size(f["parts"]) > 0), _scope("path", None, f["parts"]))
+
+    return let(F.struct(t.alias("t"), _fold(F.split(t, "/")).alias("f")), kind)
 
 
 def text(s: Column) -> Column:
@@ -61,13 +76,17 @@ def covers(a: Column, b: Column) -> Column:
     )
 
 
+def _of(test: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: test(x["a"], x["b"]))
+
+
 def claims_overlap(a: Column, b: Column) -> Column:
     """Of raw claims: one that can't be read is a conflict."""
-    return F.coalesce(overlaps(parse(a), parse(b)), F.lit(True))
+    return F.coalesce(_of(overlaps, parse(a), parse(b)), F.lit(True))
 
 
 def overlap_if_readable(a: Column, b: Column) -> Column:
-    return F.coalesce(overlaps(parse(a), parse(b)), F.lit(False))
+    return F.coalesce(_of(overlaps, parse(a), parse(b)), F.lit(False))
 
 
 def overlap_fail_closed(a: Column, b: Column) -> Column:
@@ -77,11 +96,11 @@ def overlap_fail_closed(a: Column, b: Column) -> Column:
 
 
 def grants(claim: Column, path: Column) -> Column:
-    return F.coalesce(covers(parse(claim), from_file(path)), F.lit(False))
+    return F.coalesce(_of(covers, parse(claim), from_file(path)), F.lit(False))
 
 
 def touches(claim: Column, path: Column) -> Column:
-    return F.coalesce(covers(parse(claim), from_file(path)), F.lit(True))
+    return F.coalesce(_of(covers, parse(claim), from_file(path)), F.lit(True))
 
 
 def normalized(claims: Column) -> Column:
@@ -92,8 +111,8 @@ def normalized(claims: Column) -> Column:
 
 def allows(have: Column, want: Column) -> Column:
     """Arrays of claims: every wanted scope but no-write is covered by one that is had."""
-    wanted = F.filter(want, lambda c: F.coalesce(parse(c)["kind"] != "none", F.lit(True)))
-    return F.forall(wanted, lambda r: F.exists(have, lambda a: F.coalesce(covers(parse(a), parse(r)), F.lit(False))))
+    own, wanted = F.transform(have, parse), F.filter(F.transform(want, parse), lambda c: F.coalesce(c["kind"] != "none", F.lit(True)))
+    return let(own, lambda h: F.forall(wanted, lambda r: F.exists(h, lambda a: F.coalesce(covers(a, r), F.lit(False)))))
 
 
 def writes_nothing(claims: Column) -> Column:
@@ -108,5 +127,6 @@ def crosses(claims: Column) -> Column:
 
 def first_overlap(left: Column, right: Column) -> Column:
     """struct(left, right): the first pair of readable claims that overlap, in the order of the left ones, then the right; else null."""
-    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.struct(a.alias("left"), b.alias("right")))))
-    return F.get(F.filter(pairs, lambda p: overlap_if_readable(p["left"], p["right"])), F.lit(0))
+    read = lambda claims: F.transform(claims, lambda c: F.struct(c.alias("claim"), parse(c).alias("scope")))
+    hit = let(read(right), lambda r: F.flatten(F.transform(read(left), lambda a: F.transform(F.filter(r, lambda b: F.coalesce(overlaps(a["scope"], b["scope"]), F.lit(False))), lambda b: F.struct(a["claim"].alias("left"), b["claim"].alias("right"))))))
+    return F.get(hit, F.lit(0))

@@ -104,10 +104,15 @@ def line_states(docs: DataFrame, key: str = "file", source: str = "source") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.int64(), pa.string(), pa.string())
         for b in batches:
+            keys: list = []
+            rows: list[tuple] = []
             for i in range(b.num_rows):
                 found = list(states(b.column(1)[i].as_py() or ""))
-                columns = [pa.array([b.column(0)[i].as_py()] * len(found), b.column(0).type)] + [pa.array([x[k] for x in found], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays(columns, [key, "line_no", "start", "text", "state"])
+                keys += [b.column(0)[i].as_py()] * len(found)
+                rows += found
+                if len(rows) > 20_000 or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *[pa.array([x[k] for x in rows], t) for k, t in enumerate(types)]], [key, "line_no", "start", "text", "state"])
+                    keys, rows = [], []
 
     return docs.select(key, F.col(source).cast("string")).mapInArrow(run, f"{key} {kind}, {STATES}")
 

@@ -187,18 +187,22 @@ def events(files: DataFrame, key: str = "path", source: str = "source") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
         for b in batches:
-            for k, text, language in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if text is None:
-                    continue
-                found = [(n, *e) for n, e in enumerate(PARSERS[language](text) if language in PARSERS else [("gap", None, None, 0, 0, "language")])]
-                if not text.isascii():
-                    at = sorted({p for e in found for p in (e[4], e[5])})
-                    size, last, of = 0, 0, {}
-                    for p in at:
-                        size, last = size + len(text[last:p].encode()), p
-                        of[p] = size
-                    found = [(*e[:4], of[e[4]], of[e[5]], e[6]) for e in found]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), b.column(0).type), *[pa.array([e[i] for e in found], t) for i, t in enumerate(types)]], [key, "seq", "kind", "name", "owner", "start", "stop", "detail"])
+            keys: list = []
+            rows: list[tuple] = []
+            for i, (k, text, language) in enumerate(zip(*[c.to_pylist() for c in b.columns], strict=True)):
+                if text is not None:
+                    found = [(n, *e) for n, e in enumerate(PARSERS[language](text) if language in PARSERS else [("gap", None, None, 0, 0, "language")])]
+                    if not text.isascii():
+                        size, last, of = 0, 0, {}
+                        for p in sorted({p for e in found for p in (e[4], e[5])}):
+                            size, last = size + len(text[last:p].encode()), p
+                            of[p] = size
+                        found = [(*e[:4], of[e[4]], of[e[5]], e[6]) for e in found]
+                    keys += [k] * len(found)
+                    rows += found
+                if len(rows) > 20_000 or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *[pa.array([e[i] for e in rows], t) for i, t in enumerate(types)]], [key, "seq", "kind", "name", "owner", "start", "stop", "detail"])
+                    keys, rows = [], []
 
     return files.select(key, F.col(source).cast("string"), "language").mapInArrow(run, f"{key} {kind}, {EVENTS}")
 
