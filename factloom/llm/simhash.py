@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import nearcopies
 from factloom.llm.common import bounded_batches, shared
 from factloom.llm.components import connected_components
 
@@ -106,12 +107,15 @@ def _named(docs: DataFrame, size: int) -> DataFrame:
     return prints.join(rooted.join(groups, "root").select("fingerprint", "component_id"), "fingerprint")
 
 
-def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document for each group of near-duplicates: that of the least doc_id.
 
+    Near-duplicates are those of 2 bits or, given ``similarity``, of that Jaccard similarity of their shingles.
+
     Rows are told apart by doc_id and text: repeated rows of the kept document all stay, and of a doc_id with several
     texts each goes with its own group. Rows whose doc_id is null stay (they can't be told apart).
     """
-    gone = _named(docs, size).where("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).distinct()
+    named = _named(docs, size) if similarity is None else nearcopies.groups(docs, size, similarity)
+    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).distinct()
     same = (F.col("doc_id").cast("bigint") == F.col("of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("of_mark"))
     return docs.join(gone, same, "left_anti").select(*docs.columns)
