@@ -57,47 +57,53 @@ def windows(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     for k, v in SLOTS.items():
         template[slot & (kind == k)] = v
     n = max(0, len(h) - size + 1)
-    out = []
     informative = np.convolve(~slot, np.ones(size, np.int64), "valid")[:n] >= (3 * size + 4) // 5 if n else np.zeros(0, bool)
-    for values in (template, h):
-        mixed = np.zeros(n, np.uint64)
-        for j in range(size):
-            mixed = (mixed ^ values[j : j + n]) * np.uint64(FACTOR)
-            mixed ^= mixed >> np.uint64(29)
-        out.append(mixed | np.uint64(1))
-    return h, slot, np.where(informative, out[0], np.uint64(0)), out[1]
+    return h, slot, np.where(informative, mix(template, size), np.uint64(0)), mix(h, size)
 
 
-def _explode(table: DataFrame, key: str, size: int, wanted: np.ndarray | None, items: bool) -> DataFrame:
-    """(key, pos, hash, h, slot, n) of the windows, of those in ``wanted`` only if that is given.
+def mix(values: np.ndarray, size: int, start: int = 0) -> np.ndarray:
+    """A hash (not 0) of each run of ``size`` values."""
+    n = max(0, len(values) - size + 1)
+    mixed = np.full(n, start, np.uint64)
+    for j in range(size):
+        mixed = (mixed ^ values[j : j + n]) * np.uint64(FACTOR)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed | np.uint64(1)
 
-    Each window has a row for its template and, where it has a slot, one for the words as they stand. Items' windows
-    whose template says nothing are left out (n counts the others); a document's still have the words as they stand.
+
+def _explode(table: DataFrame, key: str, size: int, wanted: np.ndarray | None, items: bool, short: tuple[int, ...] = ()) -> DataFrame:
+    """(key, pos, hash, h, slot, n, windows, told) of the windows, of those in ``wanted`` only if that is given.
+
+    Each window has a row for its template, if that says something, and, where that differs, one for the words as they
+    stand; n counts the templates, ``windows`` all, and ``told`` is whether the template says something. An item of
+    under ``size`` tokens is one window; documents have the first window of each kind of the ``short`` sizes as well.
     """
     spark = table.sparkSession
     bounded_batches(spark)
     known = None if wanted is None else spark.sparkContext.broadcast(wanted)
-    fields = "id bigint, pos int, hash bigint, h array<bigint>, slot array<boolean>, n bigint"
+    fields = "id bigint, pos int, hash bigint, h array<bigint>, slot array<boolean>, n bigint, windows bigint, told boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = None if known is None else known.value
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h, slot, template, plain = windows(t.as_py(), size)
                 n = int((template != 0).sum())
-                for hashes in (template, plain):
-                    keep = hashes != 0
-                    if hashes is plain:
-                        keep &= plain != template
-                        if items:
-                            keep &= template != 0
+                rows = [(size, template, template != 0), (size, plain, plain != template)]
+                for k in (len(h),) if items and 0 < len(h) < size else () if items else short:
+                    hashes = mix(h, k, k)
+                    keep = np.zeros(len(hashes), bool)
+                    keep[np.unique(hashes, return_index=True)[1]] = True
+                    rows.append((k, hashes, keep))
+                for k, hashes, keep in rows:
                     if look is not None:
                         keep[keep] = look[np.minimum(np.searchsorted(look, hashes[keep]), len(look) - 1)] == hashes[keep] if len(look) else False
                     for p in np.flatnonzero(keep).tolist():
-                        for column, value in zip(out, (i, p, int(hashes[p].view(np.int64)), h[p : p + size].astype(np.int64), slot[p : p + size].tolist(), n), strict=True):
+                        row = (i, p, int(hashes[p].view(np.int64)), h[p : p + k].astype(np.int64), slot[p : p + k].tolist(), n, max(1, len(plain)), k == size and bool(template[p] != 0))
+                        for column, value in zip(out, row, strict=True):
                             column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64())
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], [f.split()[0] for f in fields.split(", ")])
 
     return table.select(F.col(key).cast("bigint"), F.col("text").cast("string")).where(f"{key} is not null").mapInArrow(run, fields)
@@ -109,33 +115,47 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
     Texts become tokens; numbers, names and units become typed placeholders. Windows of ``size`` tokens are hashed and
     joined with the items' windows (as templates and as they stand, so letter case alone hides nothing). Matches on one
     diagonal (document position less item position) must fill the slots consistently: each value of the item has one
-    value in the document. An item is held if ``least`` of its distinct windows are matched so.
+    value in the document, and windows matched as templates with a value that has several don't count. Windows matched
+    as they stand always count. An item is held if ``least`` of its distinct windows whose template says something are
+    matched so, or if ``least`` of all its windows stand on one diagonal word for word: all of them where no template says
+    anything (numbers and names alone say nothing in part), and the whole sequence of an item of under ``size`` tokens.
 
     The benchmark's window hashes are counted; up to BROADCAST_WINDOWS they go to the executors, so that only windows
     that match leave the scan. A larger benchmark takes the same join over all windows. A window that very many
     documents hold is a hot key of the documents' side of the join, which adaptive execution splits.
 
-    Null texts and texts (or items) of under ``size`` tokens hold (or are) nothing, and rows with a null id are left out.
+    Texts and items without tokens hold and are nothing, and rows with a null id are left out.
     Rows with equal ids count as one document or item. Other columns are ignored. Empty in, empty out.
     """
-    items = shared(_explode(benchmark, "item_id", size, None, True).groupBy("id", "pos", "hash").agg(*[F.first(c).alias(c) for c in ("h", "slot", "n")]))
+    extra = ("h", "slot", "n", "windows", "told")
+    items = shared(_explode(benchmark, "item_id", size, None, True).groupBy("id", "pos", "hash").agg(*[F.first(c).alias(c) for c in extra]))
+    short = tuple(sorted(r[0] for r in items.where(F.size("h") < size).select(F.size("h")).distinct().collect()))  # under ``size`` values
     wanted = None
     if items.count() <= BROADCAST_WINDOWS:
         wanted = np.unique(items.select("hash").toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64))
-    found = _explode(docs, "doc_id", size, wanted, False)
-    right = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("h").alias("item_h"), F.col("slot").alias("item_slot"), F.col("n").alias("item_n"))
+    found = _explode(docs, "doc_id", size, wanted, False, short).select("id", "pos", "hash", "h")
+    right = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", *[F.col(c).alias(f"item_{c}") for c in extra])
     met = found.join(right, "hash")
     # Slots of the item, with what stands in their place.
     pairs = F.filter(F.arrays_zip("item_h", "h", "item_slot"), lambda x: x["item_slot"])
     pairs = F.transform(pairs, lambda x: F.struct(x["item_h"].alias("a"), x["h"].alias("b")))
-    met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "item_n", pairs.alias("pairs"))
-    runs = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_pos").alias("at"), F.flatten(F.collect_set("pairs")).alias("pairs"), F.max("item_n").alias("item_n"))
-    runs = runs.withColumn("pairs", F.array_distinct("pairs"))
-    runs = runs.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
-    other = F.exists("pairs", lambda x: x["a"] != x["b"])
-    held = runs.select("doc_id", "item_id", "item_n", other.alias("other"), F.explode("at").alias("at")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("matched"), F.max("item_n").alias("item_n"), F.bool_or("other").alias("reparameterised"))
-    coverage = F.col("matched") / F.greatest("item_n", F.lit(1))
-    return held.where(coverage >= least).select("doc_id", "item_id", F.least(coverage, F.lit(1.0)).alias("coverage"), "reparameterised")
+    exact = F.col("item_h") == F.col("h")
+    met = met.where(exact | F.col("item_told")).select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_n", "item_windows", F.struct(F.col("item_pos").alias("at"), exact.alias("exact"), F.col("item_told").alias("told"), pairs.alias("pairs")).alias("hit"))
+    runs = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("hit").alias("hits"), F.max("item_n").alias("item_n"), F.max("item_windows").alias("item_windows"))
+    runs = runs.withColumn("pairs", F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda x: x["told"]), lambda x: x["pairs"]))))
+    # Values of the item with several values in the document: those left when one pair of each is taken away.
+    values = F.transform("pairs", lambda x: x["a"])
+    runs = runs.withColumn("clash", F.when(F.size("pairs") > F.size(F.array_distinct(values)), F.filter(F.array_distinct(values), lambda a: F.size(F.filter("pairs", lambda x: x["a"] == a)) > 1)).otherwise(F.array().cast("array<bigint>")))
+    runs = runs.withColumn("hits", F.filter("hits", lambda x: x["exact"] | ~F.arrays_overlap(F.transform(x["pairs"], lambda y: y["a"]), F.col("clash"))))
+    verbatim = F.size(F.array_distinct(F.transform(F.filter("hits", lambda x: x["exact"]), lambda x: x["at"]))) / F.col("item_windows")
+    runs = runs.withColumn("verbatim", verbatim)
+    each = runs.select("doc_id", "item_id", "item_n", "verbatim", F.explode("hits").alias("hit"))
+    other = F.exists("hit.pairs", lambda x: x["a"] != x["b"])
+    held = each.groupBy("doc_id", "item_id").agg(F.count_distinct(F.when(F.col("hit.told"), F.col("hit.at"))).alias("matched"), F.max("item_n").alias("item_n"), F.max("verbatim").alias("verbatim"), F.bool_or(other).alias("reparameterised"))
+    by_template = F.col("matched") / F.greatest("item_n", F.lit(1))
+    coverage = F.greatest(by_template, "verbatim")
+    enough = F.when(F.col("item_n") > 0, coverage >= least).otherwise(F.col("verbatim") >= 1)
+    return held.where(enough).select("doc_id", "item_id", F.least(coverage, F.lit(1.0)).alias("coverage"), "reparameterised")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

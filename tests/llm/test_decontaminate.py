@@ -45,3 +45,12 @@ def test_odd_input(spark, odd, none):
     assert d.leaks(none, items).count() == 0 and d.leaks(odd, items.where("false")).count() == 0
     kept = d.decontaminate(odd, items)
     assert kept.columns == odd.columns and kept.count() == 7
+
+
+PENS = "The shop on the corner sells 12 red pens and 12 blue pens to every child who comes in before noon and the owner then writes down what each of them paid"
+
+
+def test_one_edit_of_a_repeated_value(spark):
+    """Windows that stand word for word count, whatever other windows of the diagonal hold."""
+    texts = ["So: " + PENS.replace("12 blue", "15 blue"), PENS.replace("12 red", "7 red").replace("12 blue", "8 blue"), PENS.replace("12", "7")]
+    assert leak(spark, texts, (PENS,)) == {(0, 0): False, (2, 0): True}
