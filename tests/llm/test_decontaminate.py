@@ -54,3 +54,15 @@ def test_one_edit_of_a_repeated_value(spark):
     """Windows that stand word for word count, whatever other windows of the diagonal hold."""
     texts = ["So: " + PENS.replace("12 blue", "15 blue"), PENS.replace("12 red", "7 red").replace("12 blue", "8 blue"), PENS.replace("12", "7")]
     assert leak(spark, texts, (PENS,)) == {(0, 0): False, (2, 0): True}
+
+
+def test_items_of_numbers_and_short_items(spark):
+    """Items without a template that says something are found where they stand as a whole."""
+    items = ("5 6 7 8 9 10 11 12 13", "Paris Berlin", "2 plus 2", "from 3 4 5 6 7 8 9 in all the rows that were read")
+    texts = ["a 5 6 7 8 9 10 11 12 13 b", "5 6 7 8 9 10 11 12", "x paris berlin y paris berlin", "Paris or Berlin", "what is 2 plus 2?", items[3], "2 plus 3"]
+    assert leak(spark, texts, items) == {(0, 0): False, (2, 1): False, (4, 2): False, (5, 3): False}
+
+
+def test_short_items_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    test_items_of_numbers_and_short_items(spark)
