@@ -1,4 +1,4 @@
-"""Secrets in texts, and which of them belong to one owner only."""
+"""Secrets in texts, and which of them are not widely copied."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 HINTS = ("passw", "secret", "token", "api")
 EXAMPLE = re.compile(r"example|sample|test|dummy|your|changeme|placeholder|xxxx|1234|abcd", re.I | re.A)
+#: A candidate of so many owners, or in so many repositories (each within its owner), is widely copied.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 4
 KINDS = ("assign", "access", "hex", "live")
 
 
@@ -65,8 +67,8 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
 
     Base spans come from three patterns and always stay. Besides, any opaque token that looks like a credential is a
     candidate. Candidate hashes are counted over the whole corpus by distinct repositories and owners (``source`` and
-    ``lang`` within it unless given): one that several owners hold is a copied example, one that a single owner holds is
-    live-looking. Opaque candidates of a single owner are added as spans of kind ``live``; ``live`` and ``copied`` count
+    ``lang`` within it unless given): one of WIDE_OWNERS owners or WIDE_REPOSITORIES repositories is a copied example, any
+    other is live-looking. Live-looking opaque candidates are added as spans of kind ``live``; ``live`` and ``copied`` count
     the document's candidates, base ones included, of either sort.
 
     Only hashes are aggregated, first distinct by owner and repository, so an example that a third of all documents
@@ -97,7 +99,7 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     held = each.groupBy("hash", "own", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "own").agg(F.count(F.lit(1)).alias("repositories"))
     held = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     held = shared(held)  # so that the join reads both sides from exchanges, and a hot candidate's rows can be split
-    judged = each.join(held, "hash").select("row", "kind", "start", "stop", (F.col("owners") == 1).alias("single"))
+    judged = each.join(held, "hash").select("row", "kind", "start", "stop", ((F.col("owners") < WIDE_OWNERS) & (F.col("repositories") < WIDE_REPOSITORIES)).alias("single"))
     added = F.when((F.col("kind") == "live") & F.col("single"), F.struct("start", "kind", "stop"))
     seen = judged.groupBy("row").agg(F.collect_list(added).alias("added"), F.count_if("single").alias("live"), F.count_if(~F.col("single")).alias("copied"))
     base = F.filter("found", lambda s: s["kind"] != "live")

@@ -47,3 +47,11 @@ def test_ownership(spark):
 def test_odd_input(odd, none):
     check(odd)
     assert secrets.scan_secrets(none).count() == 0
+
+
+def test_widely_copied_by_owners_and_repositories(spark):
+    pair, sample = "Zk3vT9qLw8XrB5nYc2Jd7HfM", "Qm4pS8tVx2LzR6wKj9Nb3GhY"
+    rows = [(i, f"see {pair} there", f"s{i}", "en") for i in range(2)] + [(10 + i, f"copy {sample}", "one", f"l{i}") for i in range(5)]
+    out = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")).collect()}
+    assert all(out[i].spans == "live:4:28" and out[i].live == 1 for i in range(2))
+    assert all(out[10 + i].spans == "" and out[10 + i].copied == 1 for i in range(5))
