@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from factloom.llm.common import shared
 #: tool -> argument -> (type, required)
 SCHEMAS = {"reply": {"chars": ("integer", True), "turn": ("integer", True)}}
 TYPES = {"integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "string": ("STRING",), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+#: More than any level.
+FAR = 1 << 40
 CONTROLS = [c for c in map(chr, range(32)) if c not in "\b\t\n\f\r"]
 
 
@@ -50,23 +54,34 @@ def violations(tool: Column, arguments: Column, schemas: dict = SCHEMAS) -> Colu
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls with ``after`` (ids whose results they use): one more than the highest of those.
 
-    Rounds peel off the calls whose dependencies all have a level; a call in or behind a circle gets none (null).
-    Unknown ids and the call's own id in ``after`` are no dependencies. A round is two joins over what is left.
+    Open calls are edges with a weight and a floor under the call's level. A round raises the floors by the levels known
+    since the last one; a call without open edges has its level. An edge to a call of one open edge skips it (the weights
+    add up, its floor carries over), so a chain halves each round and edges never get more. Only a run of calls that all
+    need two or more open calls takes as many rounds as it is long. A call in or behind a circle gets no level (null).
+    Unknown ids and the call's own id in ``after`` are no dependencies.
     """
-    nodes = calls.select("conv_id", "call_id").distinct()
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).where("call_id <> dep").distinct()
-    needs = needs.join(nodes.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi")
-    left = shared(needs)
-    done = shared(nodes.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    while left.count():
-        met = left.join(done.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("k"), F.max("level").alias("level")).where("n = k")
-        ready = shared(ready.select("conv_id", "call_id", (F.col("level") + 1).alias("level")))
-        if not ready.count():
+    own, at = ["conv_id", "call_id"], ["conv_id", "dep"]
+    nodes = calls.select(*own).distinct()
+    needs = calls.select(*own, F.explode("after").alias("dep")).where("call_id <> dep").distinct()
+    needs = needs.join(nodes.withColumnRenamed("call_id", "dep"), at, "left_semi")
+    edges = shared(needs.select(*own, "dep", F.lit(1).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("floor")))
+    fresh = shared(nodes.join(edges, own, "left_anti").withColumn("level", F.lit(0).cast("bigint")))
+    known = [fresh]
+    while edges.limit(1).count():
+        met = edges.join(fresh.select("conv_id", F.col("call_id").alias("dep"), "level"), at, "left")
+        open_ = F.col("level").isNull()
+        states = met.groupBy(*own).agg(F.greatest(F.max("floor"), F.coalesce(F.max(F.col("level") + F.col("w")), F.lit(0))).alias("floor"), F.count_if(open_).alias("open"), F.max(F.when(open_, F.struct("dep", "w"))).alias("edge"))
+        states = shared(states)
+        fresh = states.where("open = 0").select(*own, F.col("floor").alias("level"))
+        if not fresh.limit(1).count():
             break
-        done = shared(done.unionByName(ready))
-        left = shared(left.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+        known = [*known, fresh] if len(known) < 16 else [shared(reduce(DataFrame.unionByName, [*known, fresh]))]
+        single = states.where("open = 1").select("conv_id", F.col("call_id").alias("dep"), F.col("edge.dep").alias("next"), F.col("edge.w").alias("more"), F.col("floor").alias("under"))
+        left = met.where(open_).drop("level", "floor").join(states.select(*own, "floor"), own).join(shared(single), at, "left")
+        far = lambda c: F.least(c, F.lit(FAR))  # noqa: E731  (a circle's weights double each round)
+        left = left.select(*own, F.coalesce("next", "dep").alias("dep"), far(F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), far(F.greatest("floor", F.coalesce(F.col("under") + F.col("w"), F.lit(0)))).alias("floor"))
+        edges = shared(left.groupBy(*own, "dep").agg(F.max("w").alias("w"), F.max("floor").alias("floor")))
+    return nodes.join(reduce(DataFrame.unionByName, known), own, "left")
 
 
 def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -106,11 +121,20 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     )
 
 
-def as_calls(conversations: DataFrame) -> DataFrame:
-    """Plain conversations as calls: a user's turn calls ``reply``, the assistant's next turn is the result."""
+def as_calls(conversations: DataFrame, long: int = 300) -> DataFrame:
+    """Plain conversations as calls: a user's turn calls ``reply``, the assistant's next turn is the result.
+
+    A call comes after the call two turns before. Its arguments are those of the schema, but for three kinds of call that
+    break it: a text of over ``long`` code points gives its length as a string, a null text as null, and every fourth turn
+    has an argument that the schema doesn't know.
+    """
     turn, text = F.col("turn").cast("bigint"), F.col("text").cast("string")
     base = conversations.select(F.col("conv_id").cast("bigint"), turn.alias("turn"), F.col("role").cast("string"), text.alias("text"))
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message")
     asked = F.when(kind == "call", F.col("turn")).when(kind == "result", F.col("turn") - 1)
-    arguments = F.when(kind == "call", F.concat(F.lit('{"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit(',"chars":'), F.coalesce(F.length("text"), F.lit(0)).cast("string"), F.lit("}")))
-    return base.select("*", kind.alias("kind"), asked.cast("string").alias("call_id"), F.when(kind == "call", "reply").alias("tool"), arguments.alias("arguments"))
+    chars = F.length("text").cast("string")
+    chars = F.when(F.length("text") > long, F.concat(F.lit('"'), chars, F.lit('"'))).otherwise(F.coalesce(chars, F.lit("null")))
+    draft = F.when(F.col("turn") % 4 == 0, F.lit(',"draft":true')).otherwise("")
+    arguments = F.when(kind == "call", F.concat(F.lit('{"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit(',"chars":'), chars, draft, F.lit("}")))
+    after = F.when(kind == "call", F.array_compact(F.array((F.col("turn") - 2).cast("string"))))
+    return base.select("*", kind.alias("kind"), asked.cast("string").alias("call_id"), F.when(kind == "call", "reply").alias("tool"), arguments.alias("arguments"), after.alias("after"))

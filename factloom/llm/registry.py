@@ -47,7 +47,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = chat.link(chat.as_calls(table(spark, sf_dir, "conversations")))
-    return linked.select("conv_id", "turn", "role", "kind", "call_id", "status", "anchor_turn", "phase", "errors", F.sha2("json", 256).alias("json_sha256"))
+    return linked.select("conv_id", "turn", "role", "kind", "call_id", "status", "level", "anchor_turn", "phase", "errors", F.sha2("json", 256).alias("json_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,15 +77,21 @@ FROM j GROUP BY doc_id""",
     "op8_chat": """
 WITH m AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
 i AS (SELECT *, CASE kind WHEN 'call' THEN turn WHEN 'result' THEN turn - 1 END::VARCHAR AS call_id FROM m),
-c AS (SELECT conv_id, call_id, min(turn) AS called FROM i WHERE kind = 'call' GROUP BY ALL),
+c AS (SELECT conv_id, call_id, min(turn) AS called FROM i WHERE kind = 'call' AND conv_id IS NOT NULL GROUP BY ALL),
+-- A call comes after the call two turns before: its level is its place in the run of calls two turns apart.
+p AS (SELECT *, called - 2 * row_number() OVER (PARTITION BY conv_id, called % 2 ORDER BY called) AS run FROM c),
+v AS (SELECT conv_id, call_id, called, row_number() OVER (PARTITION BY conv_id, called % 2, run ORDER BY called) - 1 AS level FROM p),
 r AS (SELECT conv_id, call_id, count(*) AS results FROM i WHERE kind = 'result' GROUP BY ALL)
 SELECT i.conv_id, i.turn, i.role, i.kind, i.call_id,
        CASE kind WHEN 'call' THEN CASE WHEN results > 0 THEN 'answered' ELSE 'unanswered' END
                  WHEN 'result' THEN CASE WHEN called IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
+       coalesce(level, 0) AS level,
        CASE WHEN kind = 'result' THEN coalesce(called, i.turn) ELSE i.turn END AS anchor_turn, CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS phase,
-       '' AS errors,
-       sha256('{' || CASE WHEN kind = 'call' THEN '"arguments":{"chars":' || length(i.text) || ',"turn":' || i.turn || '},' ELSE '' END
-         || '"content":' || to_json(i.text)::VARCHAR || CASE WHEN kind <> 'message' THEN ',"id":"' || i.call_id || '"' ELSE '' END
+       CASE WHEN kind = 'call' THEN concat_ws(',', CASE WHEN text IS NULL THEN 'missing:chars' END, CASE WHEN length(text) > 300 THEN 'type:chars' END,
+                                                   CASE WHEN i.turn % 4 = 0 THEN 'unknown:draft' END) ELSE '' END AS errors,
+       sha256('{' || CASE WHEN kind = 'call' THEN '"arguments":{"chars":' || CASE WHEN text IS NULL THEN 'null' WHEN length(text) > 300 THEN '"' || length(text) || '"' ELSE length(text)::VARCHAR END
+                          || CASE WHEN i.turn % 4 = 0 THEN ',"draft":true' ELSE '' END || ',"turn":' || i.turn || '},' ELSE '' END
+         || '"content":' || coalesce(to_json(i.text)::VARCHAR, 'null') || CASE WHEN kind <> 'message' THEN ',"id":"' || i.call_id || '"' ELSE '' END
          || ',"role":"' || i.role || '"' || CASE WHEN kind = 'call' THEN ',"tool":"reply"' ELSE '' END || '}') AS json_sha256
-FROM i LEFT JOIN c ON i.conv_id = c.conv_id AND i.call_id = c.call_id LEFT JOIN r ON i.conv_id = r.conv_id AND i.call_id = r.call_id""",
+FROM i LEFT JOIN v ON i.conv_id = v.conv_id AND i.call_id = v.call_id LEFT JOIN r ON i.conv_id = r.conv_id AND i.call_id = r.call_id""",
 }
