@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches
+from factloom.llm.common import map_batches
 
 #: Code point classes. STMD are the one-letter endings after an apostrophe; R, V, E and two Ls form the others.
 LETTER, STMD, R, V, ELL, E, NUMBER, OTHER, APOSTROPHE, SPACE, BLANK, RESET = range(12)
@@ -221,7 +221,6 @@ def tokenize(docs: DataFrame, ranks_path: str, ids: bool = False) -> DataFrame:
     limit for a text: memory is a small multiple of the largest one. Other columns are ignored. Empty in, empty out.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, piece_ends array<int>" * ids
@@ -249,4 +248,4 @@ def tokenize(docs: DataFrame, ranks_path: str, ids: bool = False) -> DataFrame:
             for x, y in zip(cuts, cuts[1:]):  # noqa: B905
                 yield some(b.slice(x, y - x), c)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, fields)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, fields)

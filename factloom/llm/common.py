@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +19,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keeps an Arrow batch to a few hundred rows, so that a run of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets an Arrow batch have 4 MB (and one row more at most), unless the session's own setting differs from Spark's 64 MB.
+
+    Plans run later, so the setting stays. It bounds bytes: rows of any length fit a Python worker beside the JVM.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "4194304b")
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of few bytes and rows, so that what is made of one stays small."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: run(few(batches)), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all machines share; a temporary one only where it is unset (tests)."""
-    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        if (folder := spark.sparkContext.getCheckpointDir()) is None:
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """The session's ``spark.checkpoint.dir``, which all machines share.
+
+    Where it is unset, a temporary folder does for a session on one machine; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder and read from there, with its lineage cut.
+
+    A checkpoint keeps the optimizer's estimate of its size, which joins multiply; over some rounds of an iteration that
+    number alone would fill the driver. So the rows come back as a plan without an estimate.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    rows = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, shared
+from factloom.llm.common import map_batches, shared
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy, so the same as AKIA[A-Z0-9]+ of 20 and more
@@ -76,7 +76,6 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     Repeated rows and null doc_ids give a row each. Spans are in code points, the end is exclusive. Other columns are
     ignored, whatever their names. Empty in, empty out.
     """
-    bounded_batches(docs.sparkSession)
     own = F.coalesce((owner if owner is not None else F.col("source")).cast("string"), F.lit("\0"))
     repo = F.coalesce((repository if repository is not None else F.col("lang")).cast("string"), F.lit("\0"))
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.int64())])
@@ -92,7 +91,7 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.list_(span))], ["doc_id", "own", "repo", "found"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), own.alias("own"), repo.alias("repo"))
-    rows = rows.mapInArrow(run, "doc_id bigint, own string, repo string, found array<struct<kind:string,start:int,stop:int,hash:bigint>>")
+    rows = map_batches(rows, run, "doc_id bigint, own string, repo string, found array<struct<kind:string,start:int,stop:int,hash:bigint>>")
     rows = shared(rows.withColumn("row", F.monotonically_increasing_id()))  # written once, so row numbers don't change
     each = rows.where(F.size("found") > 0).select("row", "own", "repo", F.explode("found").alias("s"))
     each = each.select("row", "own", "repo", "s.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import nearcopies
-from factloom.llm.common import bounded_batches, shared
+from factloom.llm.common import map_batches, shared
 from factloom.llm.components import connected_components
 
 SEED, CHUNK = 42, 1 << 16
@@ -43,14 +43,13 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     A null text has no words: zero.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py(), size) for t in b.column(2)], pa.int64())], ["doc_id", "mark", "fingerprint"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id bigint, mark bigint, fingerprint bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("mark"), text.alias("text")), run, "doc_id bigint, mark bigint, fingerprint bigint")
 
 
 def links(prints: DataFrame, bucket: int = 64) -> DataFrame:

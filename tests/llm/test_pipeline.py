@@ -4,7 +4,7 @@ import corpus_pipeline
 from factloom.llm import toxicity
 from test_decontaminate import words
 from test_linededup import brute as dedup
-from test_simhash import brute_groups, brute_print
+from test_nearcopies import brute as near_groups
 
 
 def test_as_brute_force(spark, sf):
@@ -12,7 +12,7 @@ def test_as_brute_force(spark, sf):
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     kept = [(r.doc_id, r.text) for r in docs.collect() if model.score(r.text) < 0.5]
     kept = [(r[0], r[3]) for r in dedup(kept)]
-    groups = brute_groups([(i, brute_print(t)) for i, t in kept])
+    groups, _ = near_groups(kept)
     kept = [(i, t) for i, t in kept if groups[i] == i]
     items = [" " + " ".join(words(r.text)).lower() + " " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = [(i, t) for i, t in kept if not any(x in " " + " ".join(words(t)).lower() + " " for x in items)]
