@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, shared
+from factloom.llm.common import map_batches, shared
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
 UNITS = frozenset("""mm cm m km inch inches foot feet ft yard yards mile miles g kg mg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons
@@ -79,7 +79,6 @@ def _explode(table: DataFrame, key: str, size: int, wanted: np.ndarray | None, i
     under ``size`` tokens is one window; documents have the first window of each kind of the ``short`` sizes as well.
     """
     spark = table.sparkSession
-    bounded_batches(spark)
     known = None if wanted is None else spark.sparkContext.broadcast(wanted)
     fields = "id bigint, pos int, hash bigint, h array<bigint>, slot array<boolean>, n bigint, windows bigint, told boolean"
 
@@ -106,17 +105,18 @@ def _explode(table: DataFrame, key: str, size: int, wanted: np.ndarray | None, i
             types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], [f.split()[0] for f in fields.split(", ")])
 
-    return table.select(F.col(key).cast("bigint"), F.col("text").cast("string")).where(f"{key} is not null").mapInArrow(run, fields)
+    return map_batches(table.select(F.col(key).cast("bigint"), F.col("text").cast("string")).where(f"{key} is not null"), run, fields)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, agree: float = 0.5) -> DataFrame:
     """(doc_id, item_id, coverage, reparameterised): documents that hold a benchmark item, word for word or as a template.
 
     Texts become tokens; numbers, names and units become typed placeholders. Windows of ``size`` tokens are hashed and
     joined with the items' windows (as templates and as they stand, so letter case alone hides nothing). Matches on one
-    diagonal (document position less item position) must fill the slots consistently: each value of the item has one
-    value in the document, and windows matched as templates with a value that has several don't count. Windows matched
-    as they stand always count. An item is held if ``least`` of its distinct windows whose template says something are
+    diagonal (document position less item position) must fill the slots consistently: of the item's slots, ``agree`` at
+    least must hold the document's value that is the commonest for their item's value (equal values of an item needn't
+    be one parameter, so not all must). Where fewer do, windows matched as templates with a value that has several in the
+    document don't count. Windows matched as they stand always count. An item is held if ``least`` of its distinct windows whose template says something are
     matched so, or if ``least`` of all its windows stand on one diagonal word for word: all of them where no template says
     anything (numbers and names alone say nothing in part), and the whole sequence of an item of under ``size`` tokens.
 
@@ -136,16 +136,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
     found = _explode(docs, "doc_id", size, wanted, False, short).select("id", "pos", "hash", "h")
     right = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", *[F.col(c).alias(f"item_{c}") for c in extra])
     met = found.join(right, "hash")
-    # Slots of the item, with what stands in their place.
-    pairs = F.filter(F.arrays_zip("item_h", "h", "item_slot"), lambda x: x["item_slot"])
-    pairs = F.transform(pairs, lambda x: F.struct(x["item_h"].alias("a"), x["h"].alias("b")))
+    # Slots of the item by place, with what stands there.
+    pairs = F.transform(F.arrays_zip("item_h", "h", "item_slot"), lambda x, i: F.struct((F.col("item_pos") + i).alias("p"), x["item_h"].alias("a"), x["h"].alias("b"), x["item_slot"].alias("slot")))
+    pairs = F.transform(F.filter(pairs, lambda x: x["slot"]), lambda x: F.struct(x["p"].alias("p"), x["a"].alias("a"), x["b"].alias("b")))
     exact = F.col("item_h") == F.col("h")
     met = met.where(exact | F.col("item_told")).select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_n", "item_windows", F.struct(F.col("item_pos").alias("at"), exact.alias("exact"), F.col("item_told").alias("told"), pairs.alias("pairs")).alias("hit"))
     runs = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("hit").alias("hits"), F.max("item_n").alias("item_n"), F.max("item_windows").alias("item_windows"))
-    runs = runs.withColumn("pairs", F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda x: x["told"]), lambda x: x["pairs"]))))
-    # Values of the item with several values in the document: those left when one pair of each is taken away.
-    values = F.transform("pairs", lambda x: x["a"])
-    runs = runs.withColumn("clash", F.when(F.size("pairs") > F.size(F.array_distinct(values)), F.filter(F.array_distinct(values), lambda a: F.size(F.filter("pairs", lambda x: x["a"] == a)) > 1)).otherwise(F.array().cast("array<bigint>")))
+    slots = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda x: x["told"]), lambda x: x["pairs"])))
+    runs = runs.withColumn("held", F.transform(slots, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    values, fillings = F.array_distinct(F.transform("held", lambda x: x["a"])), F.array_distinct("held")
+    several = F.size(fillings) > F.size(values)
+    # How often each value of the item is filled as it mostly is.
+    counted = F.transform(fillings, lambda x: F.struct(x["a"].alias("a"), F.size(F.filter("held", lambda y: y == x)).alias("n")))
+    most = F.aggregate(F.transform(values, lambda a: F.array_max(F.transform(F.filter("counted", lambda x: x["a"] == a), lambda x: x["n"]))), F.lit(0), lambda t, n: t + n)
+    runs = runs.withColumn("counted", F.when(several, counted))
+    split = several & (most < agree * F.size("held"))
+    clash = F.filter(values, lambda a: F.size(F.filter("counted", lambda x: x["a"] == a)) > 1)
+    runs = runs.withColumn("clash", F.when(split, clash).otherwise(F.array().cast("array<bigint>")))
     runs = runs.withColumn("hits", F.filter("hits", lambda x: x["exact"] | ~F.arrays_overlap(F.transform(x["pairs"], lambda y: y["a"]), F.col("clash"))))
     verbatim = F.size(F.array_distinct(F.transform(F.filter("hits", lambda x: x["exact"]), lambda x: x["at"]))) / F.col("item_windows")
     runs = runs.withColumn("verbatim", verbatim)
