@@ -19,17 +19,17 @@ CUTOFFS = {
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), within each row alone.
+    """(doc_id, lang, mark, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), within each row alone.
 
-    Windows of 3 words are compared by 64-bit hash; positions are found by sorting, so a text of n words costs n log n.
+    ``mark`` is a hash of the text. Windows of 3 words are compared by 64-bit hash; positions are found by sorting, so a text of n words costs n log n.
     """
     d = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.select("doc_id", "lang", "text", words(F.col("text")).alias("w"))
+    d = d.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
     third = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     lines = F.filter(F.split("text", "\n"), lambda x: strip(x) != "")
-    d = d.select("doc_id", "lang", "text", "w", F.when(F.size("w") >= 3, third).otherwise(F.array().cast("array<bigint>")).alias("h"), lines.alias("lines"))
+    d = d.select("doc_id", "lang", "text", "mark", "w", F.when(F.size("w") >= 3, third).otherwise(F.array().cast("array<bigint>")).alias("h"), lines.alias("lines"))
     d = d.select(
-        "doc_id", "lang", F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
+        "doc_id", "lang", "mark", F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"), F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
@@ -48,19 +48,19 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.least(F.greatest(n, F.lit(0)), F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
-def binomial_cdf(k: Column, n: Column, p: float, most_terms: int = 10_000) -> Column:
+def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) of n trials with chance p, for k below n p (else 1).
 
-    Terms are summed downwards from k, where they fall faster than geometrically. What is left after ``most_terms``
-    is replaced by the geometric bound, so the value is exact or (for k over 10 000) very slightly too large.
+    Terms are summed downwards from k. The term j below is at most exp(-j (j - 1) / (2 n p)) of the first, so those after
+    10 sqrt(n p) + 2 are under 1e-21 of it: no double can tell whether they were added.
     """
     top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p))
     ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    steps = F.when(k > 0, F.sequence(k, F.greatest(k - most_terms, F.lit(1)), F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    lowest = F.greatest(k - (F.ceil(10 * F.sqrt(n * p)) + 2), F.lit(1))
+    steps = F.when((k > 0) & (k < n * p), F.sequence(k, lowest, F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     summed = F.aggregate(steps, start, lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["total"] + a["term"] * ratio(i)).alias("total")))
-    rest = F.when(k > most_terms, summed["term"] / (1 - ratio(k))).otherwise(0.0)
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * (summed["total"] + rest)))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * summed["total"]))
 
 
 def base_failed() -> Column:
@@ -75,14 +75,16 @@ def measures() -> dict[str, Column]:
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """(stratum, measure, cutoff, n, rejected, p_value): the chosen cutoffs, at most one for each stratum and measure.
 
-    The holdout is every labelled document of good quality that passes the base rules. A cutoff is admissible if so few
+    The holdout is every labelled document of good quality that passes the base rules. Equal texts of a stratum count once,
+    as they are no independent trials. A cutoff is admissible if so few
     of a stratum's good documents exceed it that, were its true rate of false rejections ``risk`` divided by the number
     of measures or more, the exact binomial chance of so few is at most ``error`` divided by the number of all tests
     (Bonferroni, over strata, measures and cutoffs). Then, with probability 1 - ``error``, every stratum loses less than
     ``risk`` of its good documents. Of the admissible cutoffs the lowest is taken; where none is, the rule is off.
     """
     good = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q is not null").groupBy("id").agg(F.min("q").alias("q")).where("q = 1")
-    held = rows.where(~base_failed()).join(good, F.col("doc_id") == F.col("id")).select(F.coalesce("lang", F.lit("")).alias("stratum"), *[c.alias(k) for k, c in measures().items()])
+    held = rows.where(~base_failed()).join(good, F.col("doc_id") == F.col("id")).select(F.coalesce("lang", F.lit("")).alias("stratum"), "mark", *[c.alias(k) for k, c in measures().items()])
+    held = held.groupBy("stratum", "mark").agg(*[F.first(k).alias(k) for k in CUTOFFS])
     tests = [F.struct(F.lit(k).alias("measure"), F.lit(c).alias("cutoff"), (F.col(k) > c).cast("bigint").alias("over")) for k, cs in CUTOFFS.items() for c in cs]
     counts = held.select("stratum", F.explode(F.array(*tests)).alias("t")).groupBy("stratum", "t.measure", "t.cutoff").agg(F.count(F.lit(1)).alias("n"), F.sum("t.over").alias("rejected"))
     counts = shared(counts)

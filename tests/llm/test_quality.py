@@ -35,12 +35,19 @@ def test_small_texts(spark):
     check(df, spark.createDataFrame([], "doc_id bigint, quality int"))
 
 
+def cdf(k, n):
+    """P(X <= k) of n trials of chance 1 / 80: in fractions, or with all terms where those take too long."""
+    if n < 10_000:
+        return float(sum(math.comb(n, i) * Fraction(1, 80) ** i * Fraction(79, 80) ** (n - i) for i in range(k + 1)))
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.0125) + (n - i) * math.log1p(-0.0125)) for i in range(k + 1))
+
+
 def test_binomial(spark):
-    cases = [(k, n) for n in (1, 5, 50, 612, 5_000) for k in (0, 1, 2, n // 100, n // 3) if k <= n]
+    cases = [(k, n) for n in (1, 5, 50, 612, 5_000) for k in (0, 1, 2, n // 100, n // 3) if k <= n] + [(k, 1_200_000) for k in (14_000, 14_900, 14_999)]
     df = spark.createDataFrame(cases, "k bigint, n bigint").select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), 0.0125).alias("p"))
     for r in df.collect():
-        exact = float(sum(math.comb(r.n, i) * Fraction(1, 80) ** i * Fraction(79, 80) ** (r.n - i) for i in range(r.k + 1))) if r.k < 0.0125 * r.n else 1
-        assert math.isclose(r.p, exact, rel_tol=1e-8), r
+        exact = 1 if r.k >= 0.0125 * r.n else cdf(r.k, r.n)
+        assert math.isclose(r.p, exact, rel_tol=1e-7), r
 
 
 def test_risk_is_held(spark):
@@ -54,6 +61,39 @@ def test_risk_is_held(spark):
     assert quality.judge(docs, marks.where("doc_id < 200")).where("kept").count() == 4000  # too few labels: no cutoff
 
 
+def verdicts(docs, good):
+    """doc_id -> kept, with all cutoffs by sums in fractions. docs (doc_id, text, lang); good: ids of good quality."""
+    own, held = {}, {}
+    for i, text, lang in docs:
+        n, chars, symbols, dup, repeat, failed = brute(text)
+        lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        m = {"symbols": symbols / max(1, chars), "repeats": repeat / max(1, n), "copied_lines": dup / max(1, lines), "word_length": chars / max(1, n)}
+        own[i] = lang or "", m, failed
+        if i in good and not failed:
+            held.setdefault(lang or "", {})[text] = m
+    limit, tests = {}, len(held) * sum(map(len, quality.CUTOFFS.values()))
+    for stratum, texts in held.items():
+        for k, cs in quality.CUTOFFS.items():
+            for c in sorted(cs, reverse=True):
+                over = sum(m[k] > c for m in texts.values())
+                if over < 0.0125 * len(texts) and cdf(over, len(texts)) <= 0.05 / tests:
+                    limit[stratum, k] = c
+    return {i: not failed and not any(m[k] > limit.get((s, k), math.inf) for k in m) for i, (s, m, failed) in own.items()}
+
+
+def test_kept_as_brute_force(spark):
+    """On real labels, and on made-up texts of which many are copies: those count once."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    want = verdicts(rows, {r.doc_id for r in labels.collect() if r.quality == 1})
+    assert {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()} == want and 0 < sum(want.values()) < len(want)
+    rows = [(i, " ".join(f"w{k}x{i % 900 if i % 2 else 0}" + "#" * (i % 7 == 0) for k in range(60)), "en") for i in range(4000)]
+    want = verdicts(rows, set(range(4000)))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id bigint, quality int"))
+    assert {r.doc_id: r.kept for r in got.collect()} == want
+
+
 def test_odd_input(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (None, 1), (4, None)], "doc_id bigint, quality int")
     check(odd, labels)
