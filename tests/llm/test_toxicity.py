@@ -27,7 +27,7 @@ def test_interaction():
         words += ["insult"] * a + ["group"] * b
         rows.append(toxicity.terms(" ".join(words)))
         y.append(a and b)
-    model = toxicity.fit(rows, np.array(y), epochs=25)
+    model = toxicity.fit_terms(rows, np.array(y), epochs=25)
     scores = [model.score(t) for t in ("insult group wa", "insult wa wb", "group wa wb", "wa wb", "")]
     assert scores[0] > 0.5 and max(scores[1:]) < 0.5
 
