@@ -1,4 +1,5 @@
 import json
+import random
 
 from factloom.llm import chat
 
@@ -47,6 +48,48 @@ def test_dependencies(spark):
     assert {out[1, k][1] for k in "xyz"} == {"cyclic"}
 
 
+def levels(spark, calls):
+    base = spark.createDataFrame(calls, "conv_id bigint, call_id string, after array<string>")
+    return {(r.conv_id, r.call_id): r.level for r in chat.levels(base).collect()}
+
+
+def brute_levels(calls):
+    after = {}
+    for c, i, deps in calls:
+        after.setdefault((c, i), set()).update((c, x) for x in deps or [])
+    after = {k: {x for x in v if x in after and x != k} for k, v in after.items()}
+    out = {}
+    while ready := [k for k in after if k not in out and all(x in out for x in after[k])]:
+        out |= {k: 1 + max((out[x] for x in after[k]), default=-1) for k in ready}
+    return {k: out.get(k) for k in after}
+
+
+def test_levels_as_brute_force(spark):
+    """Chains, bushes, ladders, circles, repeated and missing ids."""
+    rng = random.Random(2)
+    calls = [(0, str(i), [str(i - 1)]) for i in range(300)] + [(1, str(i), [str(i - 1), str(i - 2)]) for i in range(12)]
+    for c in range(2, 12):
+        n = rng.randrange(2, 40)
+        calls += [(c, str(rng.randrange(n)), [str(rng.randrange(n)) for _ in range(rng.choice((0, 1, 1, 1, 2)))]) for _ in range(n)]
+        ids = rng.sample(range(n), n)
+        calls += [(100 + c, str(ids[i]), [str(ids[k]) for k in rng.sample(range(i), min(i, rng.choice((0, 1, 1, 2, 3))))]) for i in range(n)]
+    assert levels(spark, calls) == brute_levels(calls)
+
+
+def test_rounds_of_a_chain(spark, monkeypatch):
+    """A chain halves each round: 300 calls don't take 300 rounds."""
+    wrote, shared = [], chat.shared
+    monkeypatch.setattr(chat, "shared", lambda df: wrote.append(1) or shared(df))
+    assert max(levels(spark, [(0, str(i), [str(i - 1)]) for i in range(300)]).values()) == 299 and len(wrote) < 50
+
+
+def test_query_has_levels_and_errors(spark, sf):
+    from factloom.llm import registry
+
+    rows = registry.op8_chat(spark, sf).collect()
+    assert {r.level for r in rows} > {0, 1} and {"", "type:chars", "unknown:draft"} <= {r.errors for r in rows}
+
+
 def test_hot_identifier(spark):
     """Repeated ids cost no pairs."""
     rows = [(1, i, "assistant", None, "call", "same", "now", "{}") for i in range(2000)] + [(1, 5000 + i, "tool", "r", "result", "same", None, None) for i in range(2000)]
@@ -58,5 +101,5 @@ def test_odd_input(spark):
     rows = [(None, None, None, None, None, None, None, None), (None, 1, "user", "x", "call", None, "find", "{}"), (1, 1, "tool", None, "result", None, None, None)]
     assert sorted(r.status for r in link(spark, rows)) == ["message", "orphan", "unanswered"]
     assert link(spark, []) == []
-    odd = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x" * 50_000), (None, None, None, None)], "conv_id bigint, turn bigint, role string, text string")
-    assert chat.link(chat.as_calls(odd)).count() == 3
+    odd = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x" * 50_000), (1, 2, "user", "y" * 500_000), (1, 2, "user", "y" * 500_000), (None, None, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.link(chat.as_calls(odd)).count() == 5

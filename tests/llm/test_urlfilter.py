@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import defaultdict
 
 from factloom.llm import urlfilter
 
@@ -43,3 +46,132 @@ def test_templates_learn_from_labels(spark):
     assert got == {("/item/*/view/", "block"), ("/about/#/", "allow")}
     few = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), labels=spark.createDataFrame(labels[:2], "page_id bigint, bad int"), weight=50.0, purity=1.01)
     assert {r.verdict for r in few.collect()} == {"allow"}
+
+
+def verdicts(pages, labels, purity=0.8, weight=5.0, siblings=20, support=100):
+    """(host, path, number of pages) and (host, path) -> [bad, marks]: (host, path) -> (template, verdict), one node at a time."""
+    placed = {}
+
+    def place(host, rows, parent, template, i):
+        """rows: (path, segments, n). Those that end here stay; the others go on, or take all of their rest."""
+        ahead = [r for r in rows if len(r[1]) > i]
+        for path, s, _ in rows:
+            if len(s) <= i:
+                placed[host, path] = parent, template
+        total, own = sum(r[2] for r in ahead), defaultdict(int)
+        if total < support:
+            for path, s, _ in ahead:
+                placed[host, path] = template, template + "/".join(s[i:]) + "/"
+            return
+        for _, s, n in ahead:
+            own[s[i]] += n
+        name = {x: "*" if len(own) >= siblings and n * siblings < total else x for x, n in own.items()}
+        for x in set(name.values()):
+            place(host, [r for r in ahead if name[r[1][i]] == x], template, f"{template}{x}/", i + 1)
+
+    by = defaultdict(list)
+    for host, path, n in pages:
+        by[host].append((path, [re.sub("[0-9]+", "#", x) for x in path.split("/") if x], n))
+    for host, rows in by.items():
+        place(host, rows, "", "/", 0)
+    sums = defaultdict(lambda: [0, 0])
+    for (host, path), (parent, template) in placed.items():
+        bad, marks = labels.get((host, path), (0, 0))
+        domain = ".".join(host.split(".")[-2:])
+        for key in ("all",), ("template", template), ("domain", domain, template), ("own", host, parent, template):
+            sums[key][0] += bad
+            sums[key][1] += marks
+    smooth = lambda key, prior: (sums[key][0] + weight * prior) / (sums[key][1] + weight)
+    prior = sums["all",][0] / max(1, sums["all",][1])
+    branch = {}
+    parents = defaultdict(set)
+    for (host, _), (parent, template) in placed.items():
+        parents[host, parent].add(template)
+    for (host, parent), templates in parents.items():
+        last, group = None, []
+        for t in sorted((t for t in templates if sums["own", host, parent, t][1]), key=lambda t: (sums["own", host, parent, t][0] / sums["own", host, parent, t][1], t)):
+            b, n = sums["own", host, parent, t]
+            if last:
+                pool = (last[0] + b) / (last[1] + n)
+                if abs(b / n - last[0] / last[1]) > 1.96 * math.sqrt(pool * (1 - pool) * (1 / last[1] + 1 / n)):
+                    group = []
+            group.append(t)
+            branch[host, parent, t] = group
+            last = b, n
+    out = {}
+    for (host, path), (parent, template) in placed.items():
+        near = smooth(("domain", ".".join(host.split(".")[-2:]), template), smooth(("template", template), prior))
+        own = [sums["own", host, parent, t] for t in branch.get((host, parent, template), ())]
+        share = (sum(b for b, _ in own) + weight * near) / (sum(n for _, n in own) + weight)
+        out[host, path] = template, "block" if share >= purity else "allow"
+    return out
+
+
+def compare(spark, urls, marks, **more):
+    """urls, and index -> 0 or 1, with no rules: the verdicts are those of the tree alone."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = urlfilter.filter_urls(pages, (), spark.createDataFrame(list(marks.items()), "page_id bigint, bad int"), **more).collect()
+    counts, labels = defaultdict(int), defaultdict(lambda: [0, 0])
+    for i, u in enumerate(urls):
+        host, path, *_ = brute(u)
+        key = host, re.sub("[0-9]+", "#", path)
+        counts[key] += 1
+        if i in marks:
+            labels[key][0] += marks[i]
+            labels[key][1] += 1
+    want = verdicts([(*k, n) for k, n in counts.items()], labels, **more)
+    for r in got:
+        assert (r.template, r.verdict) == want[r.host, re.sub("[0-9]+", "#", r.path)], (r, want[r.host, re.sub("[0-9]+", "#", r.path)])
+    return {r.verdict for r in got}
+
+
+def test_verdicts_as_brute_force(spark):
+    """Hosts of a few domains with paths of any depth; labels on a part, more often bad under some segments."""
+    rng = random.Random(6)
+    hosts = [f"{a}.{b}.test" for a in ("www", "m", "blog", "x") for b in ("one", "two", "three")] + ["one.test", "bare"]
+    names = [f"n{chr(97 + i)}{chr(97 + k)}" for i in range(6) for k in range(6)]
+    urls, marks = [], {}
+    for i in range(3000):
+        host = rng.choice(hosts[:3] if rng.random() < 0.6 else hosts)
+        top = rng.choice(["shop", "news", "casino", "wiki"])
+        path = "/".join([top, *[rng.choice([rng.choice(names), str(rng.randrange(99)), "view"]) for _ in range(rng.choice((0, 1, 1, 2, 3, 5)))]])
+        urls.append(f"http://{host}/{path}" + "/" * (rng.random() < 0.2))
+        if rng.random() < 0.3 and not (top == "casino" and host.startswith("x")):
+            marks[i] = int(rng.random() < {"casino": 0.95, "shop": 0.6}.get(top, 0.1))
+    assert compare(spark, urls, marks) == {"allow", "block"}
+    assert compare(spark, urls, marks, siblings=5, support=30, purity=0.6) == {"allow", "block"}
+
+
+def test_pages_verdicts_as_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    marks = {i: int(brute(p.url)[3] == "block") for i, p in enumerate(pages) if brute(p.url)[3]}
+    assert compare(spark, [p.url for p in pages], marks) == {"allow", "block"}
+
+
+def test_templates_without_labels(spark):
+    """A host without labels has the verdict of its like: first that of its domain, then that of all hosts."""
+    urls = [f"http://{h}/{x}/{i}" for h in ("a.bad.test", "b.bad.test", "a.good.test") for x in ("play", "read") for i in range(40)]
+    marks = {i: int("a.bad" in u and "play" in u) for i, u in enumerate(urls) if "//a." in u}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = urlfilter.filter_urls(pages, (), spark.createDataFrame(list(marks.items()), "page_id bigint, bad int")).collect()
+    assert {(r.host, r.template) for r in got if r.verdict == "block"} == {("a.bad.test", "/play/#/"), ("b.bad.test", "/play/#/")}
+
+
+def test_held_out_pages(spark):
+    """Of the pages that a rule decides, a fifth keeps its label from the tree, which then judges them."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [(p.page_id, brute(p.url)[3]) for p in pages.collect()]
+    ruled = {i: int(v == "block") for i, v in rows if v}
+    held = {i for i in ruled if i % 5 == 0}
+    labels = spark.createDataFrame([(i, b) for i, b in ruled.items() if i not in held], "page_id bigint, bad int")
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, (), labels).collect()}
+    hit, said, bad = (sum(f(i) for i in held) for f in (lambda i: ruled[i] and got[i] == "block", lambda i: got[i] == "block", lambda i: ruled[i]))
+    none = [i for i, v in rows if not v]
+    print("held out", len(held), "blocked", said, "rightly", hit, "of", bad, "; without a rule", len(none), "blocked", sum(got[i] == "block" for i in none))
+    assert hit / said > 0.95 and hit / bad > 0.9
+
+
+def test_long_urls_and_repeated_rows(spark):
+    urls = ["http://a.test/" + "x/" * 20_000, "http://a.test/" + "y" * 200_000, "http://a.test/1", "http://a.test/1"] + ["http://deep.test/" + "/".join("abcdefgh")] * 150
+    out = urlfilter.filter_urls(spark.createDataFrame([(i // 2 * 2, u) for i, u in enumerate(urls)], "page_id bigint, url string")).collect()
+    assert len(out) == len(urls) and max(len(r.template) for r in out) > 100_000 and "/a/b/c/d/e/f/g/h/" in {r.template for r in out}
