@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Weights, kinds of fact and the surfaces of each language.
 SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1}
-NODE_LIKE = ("kind", "node", "owner", "query", "route", "span", "test")
-PLURAL = ("call", "cross_file_dependent", "export", "import", "module_ref", "query", "route", "test", "type_ref")
+NODE_LIKE = ("node", "span", "kind", "owner", "route", "query", "test")
+PLURAL = ("import", "export", "call", "type_ref", "module_ref", "cross_file_dependent", "route", "query", "test")
 SURFACES = {
-    "typescript": ("calls", "cross_file_dependents", "exports", "imports", "module_refs", "queries", "routes", "type_refs"),
-    "python": ("calls", "cross_file_dependents", "exports", "imports", "module_refs", "queries", "routes", "tests", "type_refs"),
-    "rust": ("calls", "imports", "macro_expansion", "module_refs", "packages", "tests", "type_refs", "items"),
+    "typescript": ("imports", "exports", "calls", "type_refs", "module_refs", "cross_file_dependents", "routes", "queries"),
+    "rust": ("imports", "calls", "type_refs", "module_refs", "items", "packages", "macro_expansion", "tests"),
+    "python": ("imports", "exports", "calls", "type_refs", "module_refs", "cross_file_dependents", "routes", "queries", "tests"),
 }
+RUST_ITEMS = ("item", "items", "module", "impl", "struct", "union", "enum", "trait", "type", "type_alias", "function", "const", "static", "extern_block", "macro", "associated_type", "associated_const", "method")
+RUST_PACKAGES = ("package", "packages", "cargo_package", "cargo_packages", "cargo_target:lib", "cargo_target")
+EDGE_FACTS = {"imports": "import", "exports": "export", "calls": "call", "type_ref": "type_ref", "type_refs": "type_ref", "module_ref": "module_ref", "module_refs": "module_ref", "cross_file_dependent": "cross_file_dependent", "cross_file_dependents": "cross_file_dependent"}
+# End of fixed values.
 
 
 def by(c: Column, table: dict, default: object = None) -> Column:
@@ -44,18 +50,16 @@ def diagnostic_surface(c: Column) -> Column:
 
 
 def edge_fact_kind(c: Column) -> Column:
-    return by(c, {"imports": "import", "exports": "export", "calls": "call", "type_ref": "type_ref", "type_refs": "type_ref", "module_ref": "module_ref", "module_refs": "module_ref", "cross_file_dependent": "cross_file_dependent", "cross_file_dependents": "cross_file_dependent"}, "edge")
+    return by(c, EDGE_FACTS, "edge")
 
 
 def surface(language: Column, kind: Column) -> Column:
     """The capability that a fact kind belongs to in a language, else null. Singular and plural kinds are alike."""
-    items = ("associated_const", "associated_type", "const", "enum", "extern_block", "function", "impl", "item", "items", "macro", "method", "module", "static", "struct", "trait", "type", "type_alias", "union")
-    packages = ("cargo_package", "cargo_packages", "cargo_target", "cargo_target:lib", "package", "packages")
     name = kind
     for k in PLURAL:
         many = k[:-1] + "ies" if k.endswith("y") else k + "s"
         name = F.when(kind == k, many).otherwise(name)
-    name = F.when((language == "rust") & kind.isin(*items), "items").when((language == "rust") & kind.isin(*packages), "packages").when(kind.isin("macro_expansion", "macro_expansions"), "macro_expansion").otherwise(name)
+    name = F.when((language == "rust") & kind.isin(*RUST_ITEMS), "items").when((language == "rust") & kind.isin(*RUST_PACKAGES), "packages").when(kind.isin("macro_expansion", "macro_expansions"), "macro_expansion").otherwise(name)
     out = F.lit(None).cast("string")
     for lang, names in SURFACES.items():
         out = F.when((language == lang) & name.isin(*names), F.concat(F.lit(lang + "."), name)).otherwise(out)
@@ -104,15 +108,22 @@ def absence_evidence(*parts: Column) -> Column:
 
 
 def _fnv1a(content: pd.Series) -> pd.Series:
-    def one(x: object) -> str | None:
-        if x is None:
-            return None
-        h = 0xCBF29CE484222325
-        for b in x.encode() if isinstance(x, str) else x:
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return content.map(one)
+    """All texts at once, longest first: a step takes the next byte of those that have one."""
+    raw = [None if x is None else x.encode() if isinstance(x, str) else bytes(x) for x in content]
+    order = sorted((i for i, x in enumerate(raw) if x is not None), key=lambda i: -len(raw[i]))
+    lengths = np.array([len(raw[i]) for i in order], np.int64)
+    flat = np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint64)
+    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)[:-1])) if len(order) else lengths
+    h = np.full(len(order), 0xCBF29CE484222325, np.uint64)
+    k, steps = len(order), int(lengths[0]) if len(order) else 0
+    for step in range(steps):
+        while lengths[k - 1] <= step:
+            k -= 1
+        h[:k] = (h[:k] ^ flat[starts[:k] + step]) * np.uint64(0x100000001B3)
+    out: list[str | None] = [None] * len(raw)
+    for i, x in zip(order, h.tolist(), strict=True):
+        out[i] = f"{x:016x}"
+    return pd.Series(out, index=content.index, dtype=object)
 
 
 def fnv1a(content: Column) -> Column:

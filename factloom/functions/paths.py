@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Directory names, extensions and the path components that tell a role.
 VERSION_CONTROL = (".git", ".hg", ".svn")
-GENERATED = ("venv", "target", "node_modules", "dist", "coverage", "build", "__pycache__", ".venv")
-LANGUAGES = {"typescript": ("cjs", "cts", "js", "jsx", "mjs", "mts", "ts", "tsx"), "rust": ("rs",), "python": ("py", "pyi")}
+GENERATED = (".venv", "__pycache__", "build", "coverage", "dist", "node_modules", "target", "venv")
+LANGUAGES = {"typescript": ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"), "rust": ("rs",), "python": ("py", "pyi")}
+GENERATED_PARTS = ("generated", "__generated__", "codegen", "gen", "autogen")
 ROLES = (
-    ("calibration_sample", ("calibration", "calibration-samples", "calibration_samples", "calibrations")),
-    ("corpus", ("corpora", "corpus", "eval", "evals", "evaluation", "experiment", "experiments", "golden", "goldens", "snapshot", "snapshots", "test_data", "testdata")),
-    ("benchmark", ("performance", "perf", "benchmarks", "benchmark", "benches", "bench")),
-    ("vendor_fixture", ("external", "third-party", "third_party", "node_modules", "vendors", "vendor", "__fixtures__", "fixtures", "fixture")),
-    ("contract_test", ("__tests__", "spec", "specs", "test", "tests")),
+    ("calibration_sample", ("calibration", "calibrations", "calibration-samples", "calibration_samples")),
+    ("corpus", ("corpus", "corpora", "experiment", "experiments", "eval", "evals", "evaluation", "golden", "goldens", "snapshot", "snapshots", "testdata", "test_data")),
+    ("benchmark", ("bench", "benches", "benchmark", "benchmarks", "perf", "performance")),
+    ("vendor_fixture", ("fixture", "fixtures", "__fixtures__", "vendor", "vendors", "node_modules", "third_party", "third-party", "external")),
+    ("contract_test", ("test", "tests", "__tests__", "spec", "specs")),
 )
-GENERATED_PARTS = ("__generated__", "autogen", "codegen", "gen", "generated")
+# End of fixed values.
 
 
 def _any(parts: Column, names: tuple[str, ...]) -> Column:

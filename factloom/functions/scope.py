@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions.paths import _fold
 
-NO_WRITE = ("no-write", "none", "read-only", "readonly")
+# Claims of no write authority.
+NO_WRITE = ("none", "no-write", "read-only", "readonly")
+# End of fixed values.
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

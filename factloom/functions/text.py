@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-COMMANDS = ("bash", "cargo", "git", "npm", "pnpm", "pytest", "python", "yarn")
-EXTENSIONS = ("js", "json", "jsx", "md", "py", "rs", "toml", "ts", "tsx")
+# First words of commands, and extensions of file references.
+COMMANDS = ("cargo", "npm", "pnpm", "yarn", "git", "python", "pytest", "bash")
+EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py", "md", "json", "toml")
+# End of fixed values.
 
 
 def heading_level(t: Column) -> Column:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.plans.stages import bases
+
 
 def build(files: DataFrame) -> DataFrame:
     """(sha256, offset, length, content) of ``files(content)``: each content once, by hash, with its place in the archive.
 
-    Offsets are running sums inside each of 256 ranges of hashes, upon the ranges' own running sums: no task sees all.
+    Offsets are running sums inside each of 65536 ranges of hashes, upon the ranges' own running sums: no task sees all.
     """
     c = F.col("content").cast("binary")
     blobs = files.select(F.sha2(c, 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("length"), c.alias("content")).dropDuplicates(["sha256"])
-    blobs = blobs.withColumn("range", F.substring("sha256", 1, 2))
-    sums = blobs.groupBy("range").agg(F.sum("length").alias("total"))
-    before = F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    inside = F.sum("length").over(Window.partitionBy("range").orderBy("sha256").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.select("range", F.coalesce(before, F.lit(0)).alias("base"))
-    return blobs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(bases, "range").select("sha256", (F.col("base") + F.col("inside")).alias("offset"), "length", "content")
+    blobs = blobs.withColumn("part", F.conv(F.substring("sha256", 1, 4), 16, 10).cast("int"))
+    before = bases(blobs.groupBy("part").agg(F.sum("length").alias("total")), "part", "total", 256)
+    inside = F.sum("length").over(Window.partitionBy("part").orderBy("sha256").rowsBetween(Window.unboundedPreceding, -1))
+    return blobs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "part").select("sha256", (F.col("base") + F.col("inside")).alias("offset"), "length", "content")
 
 
 def corrupt(blobs: DataFrame) -> DataFrame:

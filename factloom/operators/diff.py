@@ -122,17 +122,26 @@ def scorecard(expected_count: int, actual_count: int, diffs: DataFrame) -> DataF
     )
 
 
+CLUSTER = ("kind", "classification", "graph_surface", "truth_source", "diagnostic_code", "suspected_subsystem")
+
+
 def cluster_cards(cards: DataFrame) -> DataFrame:
-    """Cards by their six keys: occurrences summed, paths and evidence united and sorted, the gravest severity.
+    """Cards by their six keys: occurrences summed, distinct paths and evidence counted, the first path, the gravest severity.
 
-    Path and evidence sets are collected per cluster of equal keys (a small vocabulary); each set is as large as the
-    cluster's distinct paths. Duplicates are removed on the map side.
+    Keys are a small vocabulary, so a cluster may have very many members; ``cluster_members`` has those as rows.
     """
     from factloom.functions.codes import severity_weight
 
-    keys = ["kind", "classification", "graph_surface", "truth_source", "diagnostic_code", "suspected_subsystem"]
-    out = cards.groupBy(*keys).agg(F.sum("occurrence_count").alias("occurrence_count"), F.array_sort(F.collect_set("path")).alias("affected_paths"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"), F.max_by("severity", severity_weight(F.col("severity"))).alias("severity"))
-    return out.withColumn("path", F.get("affected_paths", F.lit(0)))
+    members = cluster_members(cards).groupBy(*CLUSTER).agg(F.count_if(F.col("member") == "path").alias("n_paths"), F.count_if(F.col("member") == "evidence").alias("n_evidence"))
+    out = cards.groupBy(*CLUSTER).agg(F.sum("occurrence_count").alias("occurrence_count"), F.max_by("severity", severity_weight(F.col("severity"))).alias("severity"), F.min("path").alias("path"))
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}")) for k in CLUSTER]
+    return out.alias("o").join(members.alias("m"), same, "left").select("o.*", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
+
+
+def cluster_members(cards: DataFrame) -> DataFrame:
+    """(the six keys, member, value): a cluster's affected paths and its evidence, each once. Duplicates go on the map side."""
+    every = F.explode(F.array(F.struct(F.lit("path").alias("member"), F.col("path").alias("value")), F.struct(F.lit("evidence").alias("member"), F.col("evidence_id").cast("string").alias("value"))))
+    return cards.select(*CLUSTER, every.alias("x")).select(*CLUSTER, "x.*").where("value is not null").distinct()
 
 
 def role_completeness(roles: DataFrame, sources: DataFrame) -> DataFrame:

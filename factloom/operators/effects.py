@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.plans.stages import written
+
 # What of an earlier observation a later response may not overrule.
 NEGATIVE = (("auth_observed", "unavailable"), ("runtime_capability", "unavailable"), ("billing_status", "conflict"), ("quota", "exhausted"), ("model_inference", "unavailable"))
 # End of fixed values.
@@ -71,44 +73,46 @@ def compose(tasks: DataFrame, qualified: DataFrame, limits: DataFrame, total: in
     """(task, model, pool, reason): tasks in their order take the first qualified model whose pool and the whole have room.
 
     ``tasks(task, place, ready)``, ``qualified(task, preference, model, pool)``, ``limits(pool, room)``. Each choice depends
-    on all before it, so the plan of one round (bounded by ``total``, the number of new starts) is made in order by one task.
+    on all before it. But of the tasks that prefer the same pools in the same order the first ``total`` alone can start, so
+    only those are told one after the other (in one task); all others find no room.
     """
     import pandas as pd
 
     rooms = limits.select(F.map_from_entries(F.array_agg(F.struct("pool", "room")))).scalar()  # a row for each pool
-    each = tasks.join(qualified, "task", "left").withColumn("rooms", rooms).withColumn("round", F.lit(1))
+    wishes = qualified.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("preference", "model", "pool"))), lambda x: F.struct(x["model"].alias("model"), x["pool"].alias("pool"))).alias("wishes"))
+    each = written(tasks.join(wishes, "task", "left"))
+    able = F.col("ready") & F.col("wishes").isNotNull()
+    order = Window.partitionBy("pools").orderBy("place", "task")
+    first = each.where(able).withColumn("pools", F.transform("wishes", lambda x: x["pool"])).withColumn("n", F.row_number().over(order)).where(F.col("n") <= total)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        room: dict | None = None
-        left, out = total, []
-        for (_, task), own in g.sort_values(["place", "task", "preference"]).groupby(["place", "task"], sort=True):
-            room = dict(own["rooms"].iloc[0]) if room is None else room
-            if not own["ready"].iloc[0]:
-                out.append((task, None, None, "task_not_dispatch_ready"))
-                continue
-            known = own[own["model"].notna()]
-            for x in known.itertuples(index=False):
-                if left and room.get(x.pool, 0) > 0:
-                    room[x.pool] -= 1
+        room, left, out = None, total, []
+        for x in g.sort_values(["place", "task"]).itertuples(index=False):
+            room = dict(x.rooms) if room is None else room
+            for w in x.wishes:
+                if left and room.get(w["pool"], 0) > 0:
+                    room[w["pool"]] -= 1
                     left -= 1
-                    out.append((task, x.model, x.pool, None))
+                    out.append((x.task, w["model"], w["pool"]))
                     break
-            else:
-                out.append((task, None, None, "capacity" if len(known) else "no_supported_model"))
-        return pd.DataFrame(out, columns=["task", "model", "pool", "reason"])
+        return pd.DataFrame(out, columns=["task", "model", "pool"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in each.schema.fields}
-    return each.groupBy("round").applyInPandas(run, f"task {kinds['task']}, model {kinds['model']}, pool {kinds['pool']}, reason string")
+    kinds = {f.name: f.dataType.simpleString() for f in [*tasks.schema.fields, *qualified.schema.fields]}
+    starts = first.select("task", "place", "wishes", rooms.alias("rooms"), F.lit(1).alias("round")).groupBy("round").applyInPandas(run, f"task {kinds['task']}, model {kinds['model']}, pool {kinds['pool']}")
+    reason = F.when(~F.col("ready"), "task_not_dispatch_ready").when(F.col("wishes").isNull(), "no_supported_model").when(F.col("model").isNull(), "capacity")
+    return each.join(starts, "task", "left").select("task", "model", "pool", reason.alias("reason"))
 
 
 def addresses_for(intents: DataFrame, world: DataFrame, touches: DataFrame) -> DataFrame:
     """(intent_id, file, address): the world's address of a file, else the intent's own for it, else all that it touches.
 
-    ``intents(intent_id, file)``, ``world(file, address)``, ``touches(intent_id, file, address)``.
+    ``intents(intent_id, file)``, ``world(file, address)``, ``touches(intent_id, file, address)``. Only files that have
+    neither of the first two are joined with all of their intent's touches.
     """
-    w = intents.join(world, "file").select("intent_id", "file", "address", F.lit(0).alias("rank"))
-    own = intents.join(touches, ["intent_id", "file"]).select("intent_id", "file", "address", F.lit(1).alias("rank"))
-    every = intents.join(touches.select("intent_id", "address"), "intent_id").select("intent_id", "file", "address", F.lit(2).alias("rank"))
-    d = w.unionByName(own).unionByName(every).distinct()
-    best = d.groupBy("intent_id", "file").agg(F.min("rank").alias("rank"))
-    return d.join(best, ["intent_id", "file", "rank"]).select("intent_id", "file", "address")
+    ids = ["intent_id", "file"]
+    asked = intents.select(*ids).distinct()
+    w = asked.join(world, "file").select(*ids, "address")
+    left = asked.join(world, "file", "left_anti")
+    own = left.join(touches, ids).select(*ids, "address")
+    every = left.join(touches, ids, "left_anti").join(touches.select("intent_id", "address").distinct(), "intent_id").select(*ids, "address")
+    return w.unionByName(own).unionByName(every).distinct()

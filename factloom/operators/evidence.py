@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import codes
 from factloom.functions import text as tx
+from factloom.plans.stages import doubled, numbered, written
 
 # Kinds of nodes that are claims, and what a fact of each other kind says.
 CLAIMS = ("requirement", "adr_decision", "api_contract", "runbook_step", "architecture_claim")
@@ -155,19 +156,18 @@ def line_changes(ranges: DataFrame, history: DataFrame) -> DataFrame:
     return each.join(history, ["path", "line_no"]).groupBy("id").agg(F.max_by("commit", "seq").alias("commit"))
 
 
-def section_of(nodes: DataFrame, depth: int = 32) -> DataFrame:
+def section_of(nodes: DataFrame) -> DataFrame:
     """(node_id, section_id): the nearest ancestor that is a section, of ``nodes(node_id, parent, kind)``. Pointers double."""
-    from factloom.plans.stages import written
-
-    n = written(nodes.select("node_id", "kind", F.col("parent").alias("up")))
-    kinds = nodes.select(F.col("node_id").alias("k"), F.col("kind").alias("up_kind"), F.col("parent").alias("next"))
+    kinds = nodes.select(F.col("node_id").alias("k"), F.col("kind").alias("up_kind"))
+    n = nodes.select("node_id", F.col("parent").alias("up"))
     n = written(n.join(kinds, n.up == kinds.k, "left").select("node_id", F.when(F.col("up_kind") == "doc_section", F.col("up")).alias("section_id"), F.when(F.col("up_kind") != "doc_section", F.col("up")).alias("at")))
-    steps = 1
-    while steps < depth:
+
+    def jump(n: DataFrame) -> DataFrame:
         above = n.select(F.col("node_id").alias("x"), F.col("section_id").alias("x_section"), F.col("at").alias("x_at"))
-        n = written(n.join(above, n["at"] == above.x, "left").select("node_id", F.coalesce("section_id", "x_section").alias("section_id"), F.when(F.coalesce("section_id", "x_section").isNull(), F.col("x_at")).alias("at")))
-        steps *= 2
-    return n.select("node_id", "section_id")
+        section = F.coalesce("section_id", "x_section")
+        return n.join(above, n["at"] == above.x, "left").select("node_id", section.alias("section_id"), F.when(section.isNull(), F.col("x_at")).alias("at"))
+
+    return doubled(n, jump, "at").select("node_id", "section_id")
 
 
 def report_diagnostics(diagnostics: DataFrame, unproven: DataFrame) -> DataFrame:
@@ -195,9 +195,7 @@ def render(scorecard: DataFrame, drifts: DataFrame, diagnostics: DataFrame) -> D
     g = rows(diagnostics, 5, F.concat(F.lit("- `"), "file", F.lit("`: "), "code"))
     titles = scorecard.sparkSession.createDataFrame([(0, "# Documentation truth"), (2, "## Drifts"), (4, "## Diagnostics")], "part int, line string")
     every = titles.unionByName(head).unionByName(d).unionByName(g)
-    sizes = every.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # six rows
-    return every.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("line"))).join(base, "part").select((F.col("base") + F.col("k")).alias("place"), "line")
+    return numbered(every, "part", "line").select("place", "line")
 
 
 def within_bytes(rows: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.plans.stages import bases, doubled, written
+
 
 def adjacency(edges: DataFrame, node: str, kind: str | None = None) -> DataFrame:
     """Neighbours by direction: ``node`` is src (outgoing) or dst (incoming)."""
@@ -24,9 +26,7 @@ def offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     d = nodes.join(degree, nodes.node_id == degree.src, "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree")).withColumn("part", F.expr("node_id div 4096"))
-    sums = d.groupBy("part").agg(F.sum("degree").alias("total"))
-    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    sums = bases(d.groupBy("part").agg(F.sum("degree").alias("total")), "part", "total")
     inside = F.sum("degree").over(Window.partitionBy("part").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1))
     return d.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, "part").select("node_id", (F.col("base") + F.col("inside")).alias("offset"), "degree")
 
@@ -44,20 +44,20 @@ def mirror_violations(out_edges: DataFrame, in_edges: DataFrame) -> DataFrame:
     return both.groupBy("kind", "src", "dst").agg(F.sum("s").alias("surplus")).where("surplus <> 0")
 
 
-def file_of(nodes: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
+def file_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, file_id): the enclosing file by first parents; null for a circle or an orphan.
 
     Pointers are doubled: each round maps a node to its parent's pointer, so paths of length 2^k take k rounds.
     """
     parent = edges.where("kind = 'contains'").groupBy("dst").agg(F.min_by("src", "seq").alias("up"))
-    n = nodes.join(parent, nodes.node_id == parent.dst, "left").select("node_id", "kind", F.when(F.col("kind") == "file", F.col("node_id")).otherwise(F.col("up")).alias("up"))
-    steps = 1
-    while steps < depth:
-        above = n.select(F.col("node_id").alias("x"), F.col("up").alias("further"))
-        n = n.join(above, n.up == above.x, "left").select("node_id", "kind", F.col("further").alias("up"))
-        steps *= 2
-    files = nodes.where("kind = 'file'").select(F.col("node_id").alias("f"))
-    return n.join(files, n.up == files.f, "left").select("node_id", F.col("f").alias("file_id"))
+    is_file = F.col("kind") == "file"
+    n = nodes.join(parent, nodes.node_id == parent.dst, "left").select("node_id", F.when(is_file, F.col("node_id")).alias("file_id"), F.when(~is_file, F.col("up")).alias("up"))
+
+    def jump(n: DataFrame) -> DataFrame:
+        above = n.select(F.col("node_id").alias("x"), F.col("file_id").alias("x_file"), F.col("up").alias("x_up"))
+        return n.join(above, n.up == above.x, "left").select("node_id", F.coalesce("file_id", "x_file").alias("file_id"), F.col("x_up").alias("up"))
+
+    return doubled(written(n), jump, "up").select("node_id", "file_id")
 
 
 def uses(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("calls", "extends", "implements", "type_ref", "value_ref")) -> DataFrame:
@@ -68,12 +68,14 @@ def uses(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("calls",
 
 
 def relationships(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node_id, relations, omitted): the first ``most`` distinct neighbour names by direction, and how many more there are."""
+    """(node_id, direction, kind, other_name, place, omitted): the first ``most`` distinct neighbour names of a node, and how many more there are."""
     name = nodes.select(F.col("node_id").alias("other"), F.col("name").alias("other_name"))
     both = edges.select(F.col("src").alias("node_id"), F.lit("out").alias("direction"), "kind", F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node_id"), F.lit("in").alias("direction"), "kind", F.col("src").alias("other")))
     d = both.join(name, "other").select("node_id", "direction", "kind", "other_name").distinct()
     w = Window.partitionBy("node_id").orderBy("direction", "kind", "other_name")
-    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    total = F.count(F.lit(1)).over(Window.partitionBy("node_id"))
+    placed = d.withColumn("place", F.row_number().over(w)).withColumn("omitted", F.greatest(total - most, F.lit(0)))
+    return placed.where(F.col("place") <= most)
 
 
 def unique_names(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -88,7 +90,7 @@ def intern(rows: DataFrame, column: str, order: str) -> DataFrame:
     """
     first = rows.groupBy(column).agg(F.min(order).cast("bigint").alias("first")).withColumn("part", F.expr("first div 4096"))
     sizes = first.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = bases(sizes, "part", "n")
     place = F.row_number().over(Window.partitionBy("part").orderBy("first", column))
     return first.withColumn("place", place).join(base, "part").select(F.col(column).alias("string"), (F.col("base") + F.col("place") - 1).alias("id"))
 

@@ -45,12 +45,11 @@ def within_budget(placed: DataFrame, budget: int) -> DataFrame:
     Skipping makes it no prefix sum: a task's candidates are folded in order (they are one task's plan, a small list).
     """
     each = F.array_sort(F.collect_list(F.struct("place", (F.col("stop") - F.col("start")).alias("size"), "file", "start", "stop")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("kept"))
-    fits = lambda a, x: (F.size(a["kept"]) == 0) | (a["used"] + x["size"] <= budget)
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["kept"], F.array(x["place"])).alias("kept"))).otherwise(a)
     d = placed.groupBy("task").agg(each.alias("all"))
-    d = d.select("task", "all", F.aggregate("all", zero, step)["kept"].alias("kept"))
-    return d.select("task", F.explode(F.filter("all", lambda x: F.array_contains("kept", x["place"]))).alias("x")).select("task", "x.file", "x.start", "x.stop", "x.place")
+    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.filter("all", lambda x: F.lit(False)).alias("kept"))
+    fits = lambda a, x: (F.size(a["kept"]) == 0) | (a["used"] + x["size"] <= budget)
+    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+    return d.select("task", F.explode(F.aggregate("all", zero, step)["kept"]).alias("x")).select("task", "x.file", "x.start", "x.stop", "x.place")
 
 
 def prefix_within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:

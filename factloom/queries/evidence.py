@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import jsonc
 from factloom.operators import evidence, manifests, markdown
+from factloom.queries.inputs import FNV
 from factloom.queries.relational import query
-from factloom.sources import code
+from factloom.queries.scalars import ROLE
+from factloom.sources import code, files
 
 c = F.col
 _KINDS = ("requirement", "doc_page", "api_contract", "code_reference", "doc_section")
@@ -196,12 +198,17 @@ def world_fingerprint(o: DataFrame) -> DataFrame:
     return manifests.world_fingerprint(o.select(c("o_custkey").alias("repo"), F.concat(F.lit("f"), k).alias("file"), F.concat(F.lit("h"), k % 9).alias("hash")))
 
 
-@query("documents")
+_FRAMED = "lpad(to_hex(strlen({0})), 16, '0') || hex({0})"
+
+
+@query("documents", sql=f"""WITH f AS (SELECT source AS repo, doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents)
+SELECT repo, sha256(unhex(string_agg({_FRAMED.format('path')} || {_FRAMED.format("'bytes'")} || {_FRAMED.format('digest')}, '' ORDER BY path))) AS fingerprint FROM f GROUP BY repo""")
 def framed_fingerprint(d: DataFrame) -> DataFrame:
     return manifests.framed_fingerprint(d.select(c("source").alias("repo"), c("doc_id").cast("string").alias("path"), F.lit("bytes").alias("tag"), c("text").alias("content")))
 
 
-@query("orders")
+@query("orders", sql=f"""WITH f AS (SELECT o_custkey % 40 AS repo, 'f' || o_orderkey AS path, o_orderpriority AS content FROM orders), b AS (SELECT repo, string_agg(hex(path) || '00' || hex(content) || '00', '' ORDER BY path) AS bytes FROM f GROUP BY repo)
+SELECT repo, 'fnv1a64:' || lpad(lower(to_hex({FNV.format('bytes')})), 16, '0') AS fingerprint FROM b""")
 def tree_fnv(o: DataFrame) -> DataFrame:
     k = c("o_orderkey")
     return manifests.tree_fnv(o.select((c("o_custkey") % 40).alias("repo"), F.concat(F.lit("f"), k).alias("path"), c("o_orderpriority").alias("content")))
@@ -257,6 +264,31 @@ def config_violations(o: DataFrame, cu: DataFrame) -> DataFrame:
     return manifests.config_violations(o.select(key.alias("id"), "o_custkey"), "id", o.where("o_custkey % 10 <> 0").select(c("o_custkey").alias("id")).distinct(), "o_custkey")
 
 
+# Trees
+
+_SHAPE = "NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)(\\.[^/]*)?(/|$)') AND NOT regexp_matches(path, '(^|/)(node_modules|venv|target|dist|coverage|build|__pycache__)(/|$)')"
+_LANGUAGE = "CASE WHEN e IN ('ts', 'tsx', 'js') THEN 'typescript' WHEN e = 'rs' THEN 'rust' WHEN e = 'py' THEN 'python' END"
+_TREE = f"SELECT *, {_SHAPE} AS shaped, {_LANGUAGE} AS language, {ROLE} AS role FROM (SELECT id, path, string_split(lower(path), '/') AS p, lower(regexp_extract(path, '[^/][.]([^./]+)$', 1)) AS e FROM paths)"
+
+
+@query("part", "paths", sql=f"SELECT id, path, language, role FROM ({_TREE}) WHERE shaped AND language IS NOT NULL AND role IN ('product', 'contract_test')")
+def source_inventory(_: DataFrame, p: DataFrame) -> DataFrame:
+    return files.source_inventory(p, "product")
+
+
+@query("part", "paths", sql=f"""SELECT path, CASE WHEN regexp_matches(path, '(^|/)(node_modules|venv|target|dist|coverage|build|__pycache__)(/|$)') THEN 'hard_directory' WHEN regexp_matches(path, '(^|/)[.]([^./]|[.][^/])[^/]*') THEN 'hidden'
+    WHEN language IS NULL THEN 'unsupported' ELSE 'policy' END AS reason FROM ({_TREE}) WHERE NOT (shaped AND coalesce(language = 'rust', false))""")
+def source_exclusions(_: DataFrame, p: DataFrame) -> DataFrame:
+    return files.excluded(p, files.source_inventory(p, "all", "rust"))
+
+
+@query("part", "paths", sql="""SELECT DISTINCT path FROM paths WHERE (regexp_matches(path, '[.]py$') AND NOT regexp_matches(path, '_test[.]py$')) OR starts_with(path, 'tests/') OR (starts_with(path, 'src/') AND regexp_matches(path, '^src/[^/]*COPPER/')) OR regexp_matches(path, '(^|/)fixtures/')""")
+def ignored_paths(_: DataFrame, p: DataFrame) -> DataFrame:
+    rules = [(".gitignore", "# all but tests\n*.py\n!*_test.py\n\n/tests/\n**/fixtures/**  \n"), ("src/.gitignore", "/*COPPER/\nnothing\n")]
+    tree = p.sparkSession.createDataFrame(rules, "path string, content string").withColumn("content", F.encode("content", "UTF-8"))
+    return files.ignored(p, files.ignore_rules(tree))
+
+
 # Markdown and sources
 
 _MD = "FROM (SELECT id, ltrim(line) AS t FROM md)"

@@ -96,3 +96,7 @@ def with_views(body: str, *names: str) -> str:
     """DuckDB SQL with the derived inputs as common table expressions."""
     views = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({view_sql(n, 'duckdb')})" for n in names)
     return views + ("" if body.lstrip().startswith(",") else "\n") + body
+
+
+#: FNV-1a (64 bits) of the bytes whose hex digits stand in {0}.
+FNV = "list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(range(0, length({0}) // 2), lambda i: ('0x' || substr({0}, 2 * i + 1, 2))::INT::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616)"

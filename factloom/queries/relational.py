@@ -60,10 +60,18 @@ def fact_representatives(a: DataFrame) -> DataFrame:
     return diff.representatives(a.union(a)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cards", sql="""SELECT kind, classification, graph_surface, truth_source, diagnostic_code, suspected_subsystem, sum(occurrence_count) AS occurrence_count, string_agg(DISTINCT path, ',' ORDER BY path) AS affected_paths, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_ids,
-    CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, min(path) AS path FROM cards GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6"))
+_CLUSTER = "kind, classification, graph_surface, truth_source, diagnostic_code, suspected_subsystem"
+
+
+@query("cards", sql=f"""SELECT {_CLUSTER}, sum(occurrence_count) AS occurrence_count, count(DISTINCT path) AS n_paths, count(DISTINCT evidence_id) AS n_evidence,
+    CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, min(path) AS path FROM cards GROUP BY {_CLUSTER}""")
 def cluster_cards(d: DataFrame) -> DataFrame:
-    return diff.cluster_cards(d).withColumn("affected_paths", F.array_join("affected_paths", ",")).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+    return diff.cluster_cards(d)
+
+
+@query("cards", sql=f"SELECT DISTINCT {_CLUSTER}, 'path' AS member, path AS value FROM cards WHERE path IS NOT NULL UNION ALL SELECT DISTINCT {_CLUSTER}, 'evidence', evidence_id::VARCHAR FROM cards WHERE evidence_id IS NOT NULL")
+def cluster_members(d: DataFrame) -> DataFrame:
+    return diff.cluster_members(d)
 
 
 @query("paths", sql="SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT path FROM paths WHERE id % 5 <> 0) a FULL JOIN (SELECT DISTINCT path FROM paths WHERE id % 7 <> 0) b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL")
@@ -126,7 +134,7 @@ def graph_uses(n: DataFrame, e: DataFrame) -> DataFrame:
     return graph.uses(n, e)
 
 
-@query("nodes", "edges", sql=", b AS (SELECT src AS node_id, 'out' AS direction, kind, dst AS other FROM edges UNION ALL SELECT dst, 'in', kind, src FROM edges), d AS (SELECT DISTINCT b.node_id, direction, b.kind, n.name AS other_name FROM b JOIN nodes n ON n.node_id = b.other) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY direction, kind, other_name) AS place FROM d) WHERE place <= 50")
+@query("nodes", "edges", sql=", b AS (SELECT src AS node_id, 'out' AS direction, kind, dst AS other FROM edges UNION ALL SELECT dst, 'in', kind, src FROM edges), d AS (SELECT DISTINCT b.node_id, direction, b.kind, n.name AS other_name FROM b JOIN nodes n ON n.node_id = b.other) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY direction, kind, other_name) AS place, greatest(count(*) OVER (PARTITION BY node_id) - 50, 0) AS omitted FROM d) WHERE place <= 50")
 def graph_relationships(n: DataFrame, e: DataFrame) -> DataFrame:
     return graph.relationships(n, e)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import codes, paths, scope, text
-from factloom.queries.inputs import load, with_views
+from factloom.queries.inputs import FNV, load, with_views
 
 c = F.col
 joined = lambda a: F.array_join(a, "|")
@@ -71,11 +71,11 @@ add("fn_mentions_identifier", "md", lambda: {"hit": text.mentions_identifier(c("
 add("fn_directory_kind", "paths", lambda: {"kind": paths.directory_kind(F.split_part(c("path"), F.lit("/"), F.lit(2)))}, {"kind": "CASE WHEN string_split(path, '/')[2] IN ('.git', '.hg', '.svn') THEN 'history' WHEN string_split(path, '/')[2] IN ('node_modules', 'build', 'dist', 'target', 'coverage', 'venv', '.venv', '__pycache__') THEN 'generated' END"})
 _ext = "lower(regexp_extract(path, '[^/][.]([^./]+)$', 1))"
 add("fn_language", "paths", lambda: {"language": paths.language(c("path"))}, {"language": f"CASE WHEN {_ext} IN ('ts', 'tsx', 'js', 'jsx') THEN 'typescript' WHEN {_ext} = 'rs' THEN 'rust' WHEN {_ext} = 'py' THEN 'python' END"})
-_role = """CASE WHEN list_contains(p, 'gen') OR regexp_matches(p[-1], '[.]gen[.]') THEN 'generated' WHEN list_has_any(p, ['bench', 'perf']) THEN 'benchmark'
+ROLE = """CASE WHEN list_contains(p, 'gen') OR regexp_matches(p[-1], '[.]gen[.]') THEN 'generated' WHEN list_has_any(p, ['bench', 'perf']) THEN 'benchmark'
     WHEN list_has_any(p, ['fixtures', 'node_modules', 'vendor']) OR len(list_filter(p, lambda x: regexp_matches(x, '[-_]fixtures?$'))) > 0 THEN 'vendor_fixture'
     WHEN list_contains(p, 'tests') OR regexp_matches(p[-1], '([.]test[.]tsx?|_test[.](py|rs))$') THEN 'contract_test' ELSE 'product' END"""
-add("fn_source_role", "paths", lambda: {"role": paths.source_role(c("path"))}, f"SELECT id, {_role} AS role FROM (SELECT id, string_split(lower(path), '/') AS p FROM paths)")
-add("fn_role_in_profile", "paths", lambda: {"product": paths.role_in_profile(paths.source_role(c("path")), "product"), "corpus": paths.role_in_profile(paths.source_role(c("path")), "corpus")}, f"SELECT id, r IN ('product', 'contract_test') AS product, r NOT IN ('product', 'contract_test') AS corpus FROM (SELECT id, {_role} AS r FROM (SELECT id, string_split(lower(path), '/') AS p FROM paths))")
+add("fn_source_role", "paths", lambda: {"role": paths.source_role(c("path"))}, f"SELECT id, {ROLE} AS role FROM (SELECT id, string_split(lower(path), '/') AS p FROM paths)")
+add("fn_role_in_profile", "paths", lambda: {"product": paths.role_in_profile(paths.source_role(c("path")), "product"), "corpus": paths.role_in_profile(paths.source_role(c("path")), "corpus")}, f"SELECT id, r IN ('product', 'contract_test') AS product, r NOT IN ('product', 'contract_test') AS corpus FROM (SELECT id, {ROLE} AS r FROM (SELECT id, string_split(lower(path), '/') AS p FROM paths))")
 add("fn_hidden", "paths", lambda: {"hit": paths.has_hidden_component(c("path"))}, {"hit": "len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.') AND x NOT IN ('.', '..'))) > 0"})
 add("fn_skipped", "paths", lambda: {"hit": paths.has_skipped_component(c("path"))}, {"hit": "list_has_any(string_split(path, '/'), ['node_modules', 'build', 'dist', 'target', 'coverage', 'venv', '.venv', '__pycache__', '.git', '.hg', '.svn'])"})
 add("fn_admitted_shape", "paths", lambda: {"hit": paths.admitted_shape(c("path"))}, {"hit": "NOT regexp_matches(path, '(^|/)([.]|$|node_modules/)') AND NOT contains(path, '//') AND NOT starts_with(path, '/')"})
@@ -119,7 +119,7 @@ add("code_nano", "codes", lambda: {"nano": codes.nano(c("price"))}, {"nano": "CA
 add("code_identity_parts", "codes", lambda: {k: codes.identity_parts(F.when(c("id") % 2 == 0, F.concat(F.lit("sha256:v1:"), F.hex("id"))).otherwise(F.concat(F.lit("sha256:v1:"), F.lower(F.hex("id")))))[k] for k in ("algorithm", "scheme", "digest")}, """SELECT id, CASE WHEN ok THEN 'sha256' END AS algorithm, CASE WHEN ok THEN 'v1' END AS scheme, CASE WHEN ok THEN lower(printf('%x', id)) END AS digest FROM (SELECT id, id % 2 = 1 OR NOT regexp_matches(printf('%X', id), '[A-F]') AS ok FROM codes)""")
 add("code_source_hash", "sources", lambda: {"hash": codes.source_hash(c("source"))}, "SELECT file AS id, 'sha256:' || sha256(source) AS hash FROM sources")
 add("code_absence_evidence", "paths", lambda: {"hash": codes.absence_evidence(F.lit("sha"), F.lit("clean"), c("path"))}, {"hash": "sha256('sha' || chr(0) || 'clean' || chr(0) || path || chr(0))"})
-add("code_fnv1a", "paths", lambda: {"hash": codes.fnv1a(c("path"))}, None)
+add("code_fnv1a", "paths", lambda: {"hash": codes.fnv1a(c("path"))}, f"SELECT id, lpad(lower(to_hex({FNV.format('hex(path)')})), 16, '0') AS hash FROM paths")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:

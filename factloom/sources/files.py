@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,46 @@ JOURNAL = "sequence bigint, kind string, attempt string, at struct<utc:timestamp
 LEDGER = "work_item_id string, requests_used int, last_state_sha256 string"
 
 
-def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """(path, content, length, sha256): files below ``root``, paths relative to it. The listing is Spark's own.
+def scan_tree(spark: SparkSession, root: str, with_content: bool = True, unseen_bytes: int = 64 << 20) -> DataFrame:
+    """(path, content, length, sha256): files below ``root``, paths relative to it; version control's own are left out.
 
+    The listing and reading is Spark's own, but for names that its sources leave out (those that begin with ``.`` or
+    ``_``, and what lies in directories of such names). The driver reads these; of over ``unseen_bytes`` it raises.
     Without content only names and lengths are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.ltrim(F.regexp_replace(F.col("path"), "^.*?" + _quoted(root.rstrip("/").split("://")[-1]), ""), F.lit("/"))
-    out = files.select(relative.alias("path"), "length", "content")
+    out = files.select(relative.alias("path"), "length", "content").unionByName(_unseen(spark, root, with_content, unseen_bytes))
     return out.withColumn("sha256", F.sha2("content", 256)) if with_content else out.drop("content")
 
 
+def _unseen(spark: SparkSession, root: str, with_content: bool, most: int) -> DataFrame:
+    jvm, top = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo, rows, total = [(top, "", False)], [], 0
+    while todo:
+        folder, at, inside = todo.pop()
+        for x in fs.listStatus(folder):
+            name = x.getPath().getName()
+            hidden = inside or name[0] in "._"
+            if x.isDirectory():
+                todo += [(x.getPath(), f"{at}{name}/", hidden)] * (name not in paths.VERSION_CONTROL)
+            elif hidden:
+                total += x.getLen()
+                if with_content and total > most:
+                    raise ValueError(f"files whose names Spark leaves out have over {most} bytes")
+                rows.append((at + name, x.getLen(), _read(jvm, fs, x.getPath()) if with_content else None))
+    return spark.createDataFrame(rows, "path string, length bigint, content binary")
+
+
+def _read(jvm, fs, path) -> bytes:  # noqa: ANN001
+    stream = fs.open(path)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def _quoted(s: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in s)
 
@@ -42,6 +73,67 @@ def excluded(tree: DataFrame, admitted: DataFrame) -> DataFrame:
     return tree.join(admitted.select("path"), "path", "left_anti").select("path", reason.alias("reason"))
 
 
+def ignore_rules(tree: DataFrame, names: tuple[str, ...] = (".gitignore", ".ignore")) -> DataFrame:
+    """(dir, place, negated, dirs_only, pattern) of the tree's ignore files: a row for each rule, ``pattern`` a regular expression.
+
+    A file's rules hold below its directory; ``place`` orders them (later names and lines count more).
+    """
+    name, at = F.element_at(F.split("path", "/"), -1), F.lit(0)
+    for i, n in enumerate(names):
+        at = F.when(name == n, i).otherwise(at)
+    found = tree.where(name.isin(*names)).select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), at.alias("at"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line_no", "line"))
+    found = found.withColumn("rule", F.regexp_replace("line", r"(?<!\\)[ \t]+$", "")).where("rule <> '' and not startswith(rule, '#')")
+    rule = F.regexp_replace(F.col("rule"), "^!", "")
+    return found.select("dir", F.struct("at", "line_no").alias("place"), F.col("rule").startswith("!").alias("negated"), rule.endswith("/").alias("dirs_only"), F.pandas_udf(_patterns, "string")(rule).alias("pattern"))
+
+
+def _pattern(rule: str) -> str:
+    """A rule as a regular expression over paths relative to its directory."""
+    body = rule.rstrip("/")
+    anchored = "/" in body
+    body, out = body.removeprefix("/"), "" if anchored else "(?:.*/)?"
+    for m in re.finditer(r"(^|/)\*\*/|/\*\*$|\*+|\?|\[!?\]?[^\]]*\]|\\.|.", body, re.S):
+        t = m[0]
+        if t.endswith("**/"):
+            out += "/(?:.*/)?" if t[0] == "/" else "(?:.*/)?"
+        elif t == "/**":
+            out += "/.+"
+        elif t[0] == "*":
+            out += "[^/]*"
+        elif t == "?":
+            out += "[^/]"
+        elif t[0] == "[" and len(t) > 1:
+            inner = t[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += "(?!/)[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]"
+        else:
+            c = t[-1]
+            out += c if c.isalnum() or c in "/_" or ord(c) > 127 else "\\" + c
+    return f"^{out}$"
+
+
+def _patterns(rules: pd.Series) -> pd.Series:
+    return rules.map(_pattern)
+
+
+def ignored(tree: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path) of the tree's files that ``rules`` leave out.
+
+    A file or directory is ignored if the last rule that fits it says so: that of the deepest directory, and there of the
+    greatest place. What lies in an ignored directory is ignored, whatever is said of it. Paths meet rules in an equi join
+    on the rules' directory: each path with those above it.
+    """
+    parts = F.split("path", "/")
+    upto = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    each = tree.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(upto(n).alias("at"), (n < F.size(parts)).alias("is_dir")))).alias("x")).select("path", "x.*")
+    own = F.split("at", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda n: F.when(n > 0, F.array_join(F.slice(own, 1, n), "/")).otherwise(""))
+    spots = each.select("at", "is_dir").distinct().select("at", "is_dir", F.explode(above).alias("dir"))
+    relative = F.when(F.col("dir") == "", F.col("at")).otherwise(F.substring(F.col("at"), F.length("dir") + 2, F.length("at")))
+    fits = spots.join(rules, "dir").where(F.col("is_dir") | ~F.col("dirs_only")).where(F.rlike(relative, F.col("pattern")))
+    last = fits.groupBy("at", "is_dir").agg(F.max_by("negated", F.struct(F.length("dir"), "place")).alias("negated")).where(~F.col("negated")).select("at", "is_dir")
+    return each.join(last, ["at", "is_dir"], "left_semi").select("path").distinct()
+
+
 def documents(tree: DataFrame, document_bytes: int | None = None, total_bytes: int | None = None) -> DataFrame:
     """Markdown files as text. A limit that is exceeded raises: nothing is cut."""
     out = tree.where(paths.extension(F.col("path")).isin("md", "mdx")).select("path", "length", F.decode("content", "UTF-8").alias("source"))
