@@ -1,7 +1,8 @@
 """Source files as events: what they declare, import, export, call and return. A documented subset of each language.
 
-TypeScript and JavaScript: imports (also dynamic), exports, functions, classes, interfaces, type aliases, top-level
-variables, calls and literal returns. Rust: items, uses and calls. What is beyond the subset is a ``gap`` event (an
+TypeScript and JavaScript: imports (also dynamic), exports, functions, classes with what they extend and implement,
+interfaces, type aliases, top-level variables, calls, members that are called and literal returns. Rust: items, uses with
+each name that they bind, and calls. What is beyond the subset is a ``gap`` event (an
 unclosed string, comment or bracket), after which nothing of the file is taken as complete.
 """
 
@@ -16,11 +17,76 @@ from pyspark.sql import functions as F
 
 EVENTS = "seq int, kind string, name string, owner string, start bigint, stop bigint, detail string"
 TS = re.compile(
-    r"""(?P<space>\s+|//[^\n]*|/\*[\s\S]*?\*/)|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<word>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<bad>/\*|["'`])|(?P<sign>=>|\.\.\.|.)""", re.S
+    r"""(?P<space>\s+|//[^\n]*|/\*[\s\S]*?\*/|\A\#![^\n]*)|(?P<string>"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<word>\#?[A-Za-z_$\u0080-\U0010ffff][\w$]*)|(?P<number>\.?\d[\w.]*)|(?P<bad>/\*|["'])|(?P<template>`)|(?P<slash>/)|(?P<sign>=>|\.\.\.|.)""", re.S
 )
+REGEX = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+#: Words after which a slash begins a regular expression, as it does after most signs.
+BEFORE_REGEX = ("return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await")
 RUST = re.compile(
-    r"""(?P<space>\s+|//[^\n]*|/\*[\s\S]*?\*/)|(?P<string>b?r(?P<hash>\#*)"[\s\S]*?"(?P=hash)|b?"(?:\\.|[^"\\])*"|b?'(?:\\.[^']*|[^'\\])')|(?P<word>r\#[A-Za-z_]\w*|[A-Za-z_]\w*|'[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<bad>/\*|")|(?P<sign>::|->|=>|.)""", re.S
+    r"""(?P<space>\s+|//[^\n]*)|(?P<comment>/\*)|(?P<string>[bc]?r(?P<hash>\#*)"[\s\S]*?"(?P=hash)|[bc]?"(?:\\[\s\S]|[^"\\])*"|b?'(?:\\[^']*|\\'|[^'\\])')|(?P<word>r\#[A-Za-z_]\w*|[A-Za-z_\u0080-\U0010ffff]\w*|'[A-Za-z_]\w*)|(?P<number>\d(?:[\w]|\.(?=\d))*)|(?P<bad>")|(?P<sign>::|->|=>|.)""", re.S
 )
+
+
+def _template(text: str, at: int) -> int | None:
+    """The end of a template that begins at ``at``, with those inside of its holes; None if it has none."""
+    i, holes = at + 1, []
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 2
+            continue
+        if not holes or holes[-1] == 0:  # in the template's text
+            if c == "`":
+                if not holes:
+                    return i + 1
+                holes.pop()
+            elif text.startswith("${", i):
+                holes.append(1)
+                i += 1
+        elif c == "`":
+            holes.append(0)
+        elif c in "\"'":
+            end = re.compile(r"(?:\\.|[^\n%s\\])*%s" % (c, c)).match(text, i + 1)
+            i = end.end() - 1 if end else i
+        elif c in "{}":
+            holes[-1] += 1 if c == "{" else -1
+            if holes[-1] == 0:
+                holes.pop()
+        i += 1
+    return None
+
+
+def _comment(text: str, at: int) -> int | None:
+    """The end of a block comment of Rust, which may hold others."""
+    depth = 0
+    for m in re.compile(r"/\*|\*/").finditer(text, at):
+        depth += 1 if m[0] == "/*" else -1
+        if depth == 0:
+            return m.end()
+    return None
+
+
+def _scan(text: str, pattern: re.Pattern) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, text, start, stop) of all tokens but spaces and comments."""
+    at, last = 0, ("sign", "")
+    while at < len(text):
+        m = pattern.match(text, at)
+        kind, end = m.lastgroup, m.end()
+        if kind == "slash":
+            ends_value = last[0] in ("number", "string") or last[0] == "word" and last[1] not in BEFORE_REGEX or last[1] in (")", "]", "}")
+            regex = None if ends_value else REGEX.match(text, at)
+            kind, end = ("string", regex.end()) if regex else ("sign", end)
+        elif kind in ("template", "comment"):
+            found = (_template if kind == "template" else _comment)(text, at)
+            kind, end = ("bad", end) if found is None else ("string" if kind == "template" else "space", found)
+        elif kind == "hash":
+            kind = "string"
+        if kind != "space":
+            last = kind, text[at:end]
+            yield kind, text[at:end], at, end
+        at = end
+
+
 CONSTANTS = ("true", "false", "null", "undefined")
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "match", "loop", "fn", "in", "as", "await", "super", "import", "constructor", "Some", "Ok", "Err", "None")
 PAIRS = {")": "(", "]": "[", "}": "{"}
@@ -31,7 +97,7 @@ class Tokens:
 
     def __init__(self, text: str, pattern: re.Pattern):
         self.text = text
-        self.all = [(m.lastgroup if m.lastgroup != "hash" else "string", m[0], m.start(), m.end()) for m in pattern.finditer(text) if m.lastgroup != "space"]
+        self.all = list(_scan(text, pattern))
         self.match: dict[int, int] = {}
         self.gap = next((t[2] for t in self.all if t[0] == "bad"), None)
         open_: list[int] = []
@@ -78,6 +144,24 @@ def _returns(t: Tokens, name: str, low: int, high: int) -> Iterator[tuple]:
         i += 1
 
 
+def _heritage(t: Tokens, name: str, low: int, high: int) -> Iterator[tuple]:
+    """What a class or interface extends and implements: dotted names, without arguments of types."""
+    kind, depth, i = None, 0, low
+    while i < high:
+        w = t.get(i)
+        depth += (w == "<") - (w == ">")
+        if depth == 0 and w in ("extends", "implements"):
+            kind = w
+        elif depth == 0 and kind and t.kind(i) == "word" and t.get(i - 1) != ".":
+            j, path = i, w
+            while t.get(j + 1) == "." and t.kind(j + 2) == "word":
+                j += 2
+                path += "." + t.get(j)
+            yield kind, path, name, t.all[i][2], t.all[j][3], None
+            i = j
+        i = t.match.get(i, i) + 1 if w in ("(", "[", "{") else i + 1
+
+
 def typescript(text: str) -> Iterator[tuple]:
     """(kind, name, owner, start, stop, detail) by code point."""
     t = Tokens(text, TS)
@@ -92,6 +176,8 @@ def typescript(text: str) -> Iterator[tuple]:
         if kind != "word" or before == ".":
             if kind == "word" and after == "(":
                 yield "call", w, owner, start, stop, "member"
+                if t.kind(i - 2) == "word" and t.get(i - 3) not in (".", "?"):
+                    yield "member_call", w, owner, start, stop, t.get(i - 2)
             continue
         exported = before in ("export", "default") or t.get(i - 2) == "export"
         if w == "import" and not owners and before != ".":
@@ -105,20 +191,28 @@ def typescript(text: str) -> Iterator[tuple]:
                     label = text[stop : t.all[j][2]].strip().removesuffix("from").strip()
                     yield "import", t.get(j)[1:-1], None, start, t.all[j][3], " ".join(label.removeprefix("type ").split())
         elif w == "export" and after in ("{", "*"):
-            j = t.match.get(i + 1, i + 1) if after == "{" else i + 1
-            k = next((x for x in range(j + 1, min(j + 5, len(t.all))) if t.kind(x) == "string"), None) if t.get(j + 1) in ("from", "as") else None
+            j = t.match.get(i + 1, i + 1) if after == "{" else i + 3 if t.get(i + 2) == "as" else i + 1
+            k = next((x for x in range(j + 1, min(j + 5, len(t.all))) if t.kind(x) == "string"), None) if t.get(j + 1) == "from" else None
             yield "export", t.get(k)[1:-1] if k else None, None, start, t.all[k or j][3], " ".join(text[t.all[i + 1][2] : t.all[j][3]].split())
         elif w in ("function", "class", "interface", "enum", "namespace") or w == "type" and t.get(i + 2) in ("=", "<"):
             at = i + 2 if w == "function" and after == "*" else i + 1
             if t.kind(at) != "word":
                 continue
+            if t.get(at) in ("extends", "implements"):
+                continue
             name, body = t.get(at), t.body(at + 1, ";=" if w == "type" else ";")
             end = t.match[body] if body is not None else at
             yield {"type": "type_alias"}.get(w, w), name, owner, start, t.all[end][3], "export" if exported else None
+            if before == "default" or before == "async" and t.get(i - 2) == "default":
+                yield "export_default", name, owner, start, stop, None
+            if w in ("class", "interface") and body is not None:
+                yield from _heritage(t, name, at + 1, body)
             if w == "function" and body is not None:
                 yield from _returns(t, name, body, end)
             if body is not None:
                 owners.append((end, name))
+        elif w == "default" and before == "export" and t.kind(i + 1) == "word" and t.get(i + 2) in (";", "") or w == "default" and before == "export" and t.kind(i + 1) == "word" and "\n" in text[t.all[i + 1][3] : t.all[i + 2][2]]:
+            yield "export_default", after, None, start, t.all[i + 1][3], None
         elif w in ("const", "let", "var") and not owners and t.kind(i + 1) == "word":
             yield "variable", after, None, start, t.all[i + 1][3], "export" if exported else None
         elif after == "(" and w not in NOT_CALLS and before != "function" and not (before == "*" and t.get(i - 2) == "function"):
@@ -132,6 +226,27 @@ def typescript(text: str) -> Iterator[tuple]:
                 yield "call", w, owner, start, stop, "new" if before == "new" else None
 
 
+def _leaves(tree: str, prefix: str = "") -> Iterator[tuple[str, str]]:
+    """(path, local name) of each name that a use binds; ``*`` for all of a module, nothing for ``_``."""
+    if "{" not in tree:
+        path, _, local = tree.partition(" as ")
+        path = prefix + path.strip().removeprefix("::")
+        path = path.removesuffix("::self")
+        local = local.strip() or path.rsplit("::", 1)[-1]
+        if path and local != "_":
+            yield path, local
+        return
+    head, _, rest = tree.partition("{")
+    depth, start = 0, 0
+    body = rest[: rest.rindex("}")] if "}" in rest else rest
+    for i, c in enumerate(body + ","):
+        depth += (c == "{") - (c == "}")
+        if c == "," and depth == 0:
+            if body[start:i].strip():
+                yield from _leaves(body[start:i].strip(), prefix + head.strip().removeprefix("::"))
+            start = i + 1
+
+
 def rust(text: str) -> Iterator[tuple]:
     t = Tokens(text, RUST)
     if t.gap is not None:
@@ -165,7 +280,10 @@ def rust(text: str) -> Iterator[tuple]:
             j = i + 1
             while j < len(t.all) and t.get(j) != ";":
                 j += 1
-            yield "use", "".join(x[1] if x[1] != "as" else " as " for x in t.all[i + 1 : j]), owner, start, t.all[min(j, len(t.all) - 1)][3], public
+            tree = "".join(x[1] if x[1] != "as" else " as " for x in t.all[i + 1 : j])
+            yield "use", tree, owner, start, t.all[min(j, len(t.all) - 1)][3], public
+            for path, local in _leaves(tree):
+                yield "binding", local, owner, start, stop, path
         elif t.get(i + 1) == "(" and w not in NOT_CALLS and t.get(i - 1) not in ("fn", "macro_rules"):
             j, path = i, w
             while t.get(j - 1) == "::" and t.kind(j - 2) == "word":
@@ -231,3 +349,13 @@ def literal_returns(found: DataFrame, key: str = "path") -> DataFrame:
 def ordered_events(found: DataFrame, key: str = "path") -> DataFrame:
     """Events with ``place``, their number among those of one kind in a file."""
     return found.withColumn("place", F.row_number().over(Window.partitionBy(key, "kind").orderBy("seq")))
+
+
+def directives(files: DataFrame, key: str = "path", source: str = "source") -> DataFrame:
+    """(key, place, attribute, target): ``<reference path|types="..." />`` in comments of three slashes before a file's first token."""
+    lead = F.regexp_extract(source, r"^\uFEFF?(?:#![^\r\n]*)?((?:\s|//[^\r\n]*|/\*(?s:.*?)(?:\*/|\z))*)", 1)
+    comments = F.regexp_extract_all(lead, F.lit(r"(/\*(?s:.*?)(?:\*/|\z)|//[^\r\n]*)"), F.lit(1))
+    shape = r"^///\s*<reference\s+(path|types)\s*=\s*([\"'])(.*?)\2\s*/>"
+    told = F.filter(comments, lambda c: c.rlike(shape))
+    d = files.select(key, F.posexplode(told).alias("place", "c"))
+    return d.select(key, "place", F.regexp_extract("c", shape, 1).alias("attribute"), F.regexp_extract("c", shape, 3).alias("target"))
