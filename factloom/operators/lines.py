@@ -37,24 +37,30 @@ def line_col(positions: DataFrame, line_table: DataFrame, key: str = "file") ->
 def fenced(line_table: DataFrame, key: str = "file") -> DataFrame:
     """Lines with ``fence``: the number of the line that opened the fenced block they are in (both fences included), else null.
 
-    A fence closes only by the same mark, at least as wide. The state is folded over each document's lines.
+    A fence closes only by the same mark, at least as wide. Only the lines that begin with a mark are folded, in order;
+    those between take the state after the last of them.
     """
-    w = line_table.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "start", "text"))).alias("all"))
-    zero = F.struct(F.lit(None).cast("int").alias("open"), F.lit("").alias("mark"), F.lit(0).alias("width"), F.array().cast("array<int>").alias("out"))
+    t = F.trim(F.col("text"))
+    marks = line_table.where(t.rlike("^(`{3,}|~{3,})")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("all"))
+    out = F.array().cast("array<struct<line_no:int,own:int,after:int>>")
+    zero = F.struct(F.lit(None).cast("int").alias("open"), F.lit("").alias("mark"), F.lit(0).alias("width"), out.alias("out"))
+    none = F.lit(None).cast("int")
 
     def step(a: Column, x: Column) -> Column:
-        t = F.trim(x["text"])
-        opening = tx.opening_fence(t)
-        closes = tx.is_closing_fence(t, a["mark"], a["width"])
-        state = lambda o, m, w, v: F.struct(o.alias("open"), m.alias("mark"), w.alias("width"), F.concat(a["out"], F.array(v)).alias("out"))
-        none = F.lit(None).cast("int")
+        text = F.trim(x["text"])
+        opening, no = tx.opening_fence(text), x["line_no"].cast("int")
+        closes = tx.is_closing_fence(text, a["mark"], a["width"])
+        told = lambda own, after: F.array(F.struct(no.alias("line_no"), own.alias("own"), after.alias("after")))
+        state = lambda o, m, w, own: F.struct(o.alias("open"), m.alias("mark"), w.alias("width"), F.concat(a["out"], told(own, o)).alias("out"))
         return (
-            F.when(a["open"].isNull() & opening.isNotNull(), state(x["line_no"], opening["mark"], opening["width"], x["line_no"])).when(a["open"].isNull(), state(none, F.lit(""), F.lit(0), none))
+            F.when(a["open"].isNull() & opening.isNotNull(), state(no, opening["mark"], opening["width"], no)).when(a["open"].isNull(), state(none, F.lit(""), F.lit(0), none))
             .when(closes, state(none, F.lit(""), F.lit(0), a["open"])).otherwise(state(a["open"], a["mark"], a["width"], a["open"]))
         )
 
-    d = w.select(key, "all", F.aggregate("all", zero, step)["out"].alias("fences"))
-    return d.select(key, F.explode(F.arrays_zip("all", "fences")).alias("z")).select(key, "z.all.line_no", "z.all.start", "z.all.text", F.col("z.fences").alias("fence"))
+    told = marks.select(key, F.explode(F.aggregate("all", zero, step)["out"]).alias("m")).select(F.col(key).alias("_key"), F.col("m.line_no").alias("_line"), F.struct("m.own", "m.after").alias("_m"))
+    d = line_table.join(told, F.col(key).eqNullSafe(F.col("_key")) & (F.col("line_no") == F.col("_line")), "left")
+    last = F.last("_m", ignorenulls=True).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_last", last).select(key, "line_no", "start", "text", F.when(F.col("_m").isNotNull(), F.col("_m.own")).otherwise(F.col("_last.after")).alias("fence"))
 
 
 def sections(line_table: DataFrame, key: str = "file") -> DataFrame:

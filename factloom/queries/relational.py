@@ -187,7 +187,8 @@ def support_queries(d: DataFrame) -> DataFrame:
     return lines.support_queries(d)
 
 
-@query("sources")
+@query("sources", sql=_LINES.format("(SELECT file, replace(source, '.' || chr(10), chr(10) || '```' || chr(10)) AS source FROM sources)") + """, m AS (SELECT *, trim(text) = '```' AS mark FROM l), k AS (SELECT *, sum(mark::INT) OVER w AS n, max(line_no) FILTER (WHERE mark) OVER w AS last, max(line_no) FILTER (WHERE mark) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m WINDOW w AS (PARTITION BY file ORDER BY line_no))
+SELECT file, line_no, CASE WHEN n % 2 = 1 THEN last WHEN mark THEN before END AS fence FROM k""")
 def fences(d: DataFrame) -> DataFrame:
     return lines.fenced(lines.lines(d.select("file", F.replace("source", F.lit(".\n"), F.lit("\n```\n")).alias("source")))).select("file", "line_no", "fence")
 

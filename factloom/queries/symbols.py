@@ -137,7 +137,11 @@ def merged_responses(o: DataFrame) -> DataFrame:
     return effects.merge_responses(_observed(o, 0), _observed(o, -2))
 
 
-@query("customer")
+@query("customer", sql="""WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS n, c_custkey % 9 <> 0 AS ready, c_custkey % 4 <> 0 AS known, [20, 5, 60] AS room FROM customer),
+w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS task, NULL::BIGINT AS pick, NULL::VARCHAR AS reason, [20, 5, 60] AS room, 70 AS spare UNION ALL
+SELECT i, n, pick, CASE WHEN NOT ready THEN 'task_not_dispatch_ready' WHEN NOT known THEN 'no_supported_model' WHEN pick IS NULL THEN 'capacity' END, [room[1] - (pick IS NOT DISTINCT FROM 0)::INT, room[2] - (pick IS NOT DISTINCT FROM 1)::INT, room[3] - (pick IS NOT DISTINCT FROM 2)::INT], spare - (pick IS NOT NULL)::INT
+FROM (SELECT t.i, t.n, t.ready, t.known, w.room, w.spare, CASE WHEN NOT ready OR NOT known OR spare = 0 THEN NULL WHEN w.room[t.n % 3 + 1] > 0 THEN t.n % 3 WHEN w.room[(t.n + 1) % 3 + 1] > 0 THEN (t.n + 1) % 3 END AS pick FROM w JOIN t ON t.i = w.i + 1))
+SELECT task, 'm' || pick AS model, 'p' || pick AS pool, reason FROM w WHERE i > 0""")
 def composed_plan(cu: DataFrame) -> DataFrame:
     n = c("c_custkey")
     tasks = cu.select(n.alias("task"), n.alias("place"), (n % 9 != 0).alias("ready"))
