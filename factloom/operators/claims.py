@@ -52,3 +52,8 @@ def unlinked(subjects: DataFrame, links: DataFrame) -> DataFrame:
     """Subjects (file, start, stop) that no link of the same file overlaps."""
     l_ = links.select(F.col("file").alias("f"), F.col("start").alias("a"), F.col("stop").alias("b"))
     return subjects.join(l_, (subjects.file == l_.f) & (subjects.start < l_.b) & (l_.a < subjects.stop), "left_anti").dropDuplicates(["file", "start", "stop"])
+
+
+def not_revoked(bundles: DataFrame, revoked: DataFrame) -> DataFrame:
+    """``bundles(bundle_id, ...)`` but those in ``revoked(bundle_id)``; a null id is never revoked."""
+    return bundles.join(revoked.select("bundle_id").distinct(), "bundle_id", "left_anti")

@@ -160,19 +160,59 @@ def rust_aliases(events: DataFrame, modules: DataFrame, items: DataFrame) -> Dat
     return found
 
 
-def linked_rust_calls(events: DataFrame, modules: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(path, seq, name, item): calls with the item that they mean: by their module, by what a use binds, or from the crate's root.
+def rust_paths(refs: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, seq, name, item): the item that each path of ``refs(path, seq, name, module, owner)`` means.
 
-    A path's first names may be bound by a use (``a::f`` with ``use crate::x::a``). Methods aren't resolved.
+    By its module and those around it inside of the file, by what a use binds there, or from the crate's root. A path's
+    first names may be bound by a use (``a::f`` with ``use crate::x::a``).
     """
-    c = events.where("kind = 'call' and (detail is null or detail <> 'member')").join(modules, "path").select("path", "seq", "name", "module", "owner")
     around = F.transform(_owners(F.col("owner"), "::"), lambda o: F.when(o == "", F.col("module")).otherwise(F.concat_ws("::", "module", o)))
     tries = F.concat(F.array_compact(F.array(_absolute(F.col("name"), F.col("module")))), F.transform(around, lambda m: F.concat_ws("::", m, F.col("name"))), F.array(F.concat(F.lit("crate::"), "name")))
-    t = c.select("path", "seq", "name", F.posexplode(tries).alias("try", "to"))
+    t = refs.select("path", "seq", "name", F.posexplode(tries).alias("try", "to"))
     own = t.join(items.select(F.col("item").alias("to")).distinct(), "to").select("path", "seq", "name", "try", F.col("to").alias("item"))
     whole = t.join(aliases.select(F.col("alias").alias("to"), "item"), "to").select("path", "seq", "name", "try", "item")
     head, tail = F.regexp_replace("to", "::[^:]*$", ""), F.regexp_replace("to", "^.*::", "")
     part = t.where("name like '%::%'").select("path", "seq", "name", "try", head.alias("alias"), tail.alias("tail")).join(aliases.withColumnRenamed("item", "head"), "alias").select("path", "seq", "name", "try", F.concat_ws("::", "head", "tail").alias("item"))
     part = part.join(items.select("item").distinct(), "item", "left_semi").select("path", "seq", "name", "try", "item")
     found = own.unionByName(whole).unionByName(part)
-    return found.groupBy("path", "seq").agg(F.min("name").alias("name"), F.min_by("item", F.struct("try", "item")).alias("item"))
+    return found.groupBy("path", "seq", "name").agg(F.min_by("item", F.struct("try", "item")).alias("item"))
+
+
+def linked_rust_calls(events: DataFrame, modules: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, seq, name, item): calls with the item that they mean (see ``rust_paths``). Methods aren't resolved."""
+    c = events.where("kind = 'call' and (detail is null or detail <> 'member')").join(modules, "path")
+    return rust_paths(c.select("path", "seq", "name", "module", "owner"), items, aliases)
+
+
+def rust_impls(events: DataFrame, modules: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, seq, type, trait): implementations whose type is an item, with the trait's item (null for none, or one that isn't resolved)."""
+    i = events.where("kind = 'impl'").join(modules, "path")
+    told = lambda c: rust_paths(i.where(F.col(c).isNotNull()).select("path", "seq", F.col(c).alias("name"), "module", "owner"), items, aliases).select("path", "seq", "item")
+    return told("name").withColumnRenamed("item", "type").join(told("detail").withColumnRenamed("item", "trait"), ["path", "seq"], "left")
+
+
+def re_exports(events: DataFrame, targets: DataFrame, exports: DataFrame) -> DataFrame:
+    """(file, symbol, path, kind, alias): files that export another file's declaration: by name, under an alias, or with all names."""
+    named, stars = direct_exports(events, targets)
+    e = exports.where("path <> file and symbol <> '*'")
+    own = named.select("path", "name").distinct()
+    by_name = e.join(own, ["path", "name"]).select("file", "symbol", "path", F.lit("named").alias("kind"), F.col("name").alias("alias"))
+    by_star = e.join(own, ["path", "name"], "left_anti").join(stars.select("path").distinct(), "path", "left_semi").select("file", "symbol", "path", F.lit("wildcard").alias("kind"), F.lit(None).cast("string").alias("alias"))
+    return by_name.unionByName(by_star).distinct()
+
+
+def registry_exports(events: DataFrame, targets: DataFrame, exports: DataFrame) -> DataFrame:
+    """(file, symbol, path, start, key, loader): entries of object literals that load a file, for each declaration that the file exports itself.
+
+    Templates are not resolved here; ``symbols.possible_loads`` tells what they may load.
+    """
+    r = events.where("kind = 'registry'").select("path", "start", F.col("name").alias("key"), F.substring_index("detail", ":", 1).alias("loader"), F.expr("substring(detail, instr(detail, ':') + 1)").alias("specifier"))
+    loaded = r.where("loader <> 'template'").join(targets, ["path", "specifier"]).where("path <> target").withColumnRenamed("target", "file")
+    own = exports.where("path = file and symbol <> '*'").select("file", "symbol").distinct()
+    return loaded.join(own, "file").select("file", "symbol", "path", "start", "key", "loader")
+
+
+def provider_tables(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``providers(service, provider)`` and ``compositions(file, provider)``, as ``evidence.provider_context`` takes them."""
+    p = events.where("kind = 'provider'").select(F.col("detail").alias("service"), F.col("name").alias("provider")).distinct()
+    return p, events.where("kind = 'composition'").select(F.col("path").alias("file"), F.col("name").alias("provider")).distinct()

@@ -21,18 +21,38 @@ def _project(cu: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every fifth file declares ``base``, the others pass it on; each calls what the file before it exports."""
     before = (c(N) - 1).cast("string")
     own = F.when(c(N) % 5 == 0, "export function base() {}\n").otherwise(F.concat(F.lit("export * from './"), before, F.lit("';\n")))
-    text = F.concat(own, F.lit("import { base as b } from './"), before, F.lit("';\nimport * as all from './"), before, F.lit("';\nb(); all.base(); all.none(); other();\n"))
+    registry = F.concat(F.lit("const r = { 'k"), c(N), F.lit("': () => import('./"), before, F.lit("'), other: [1, { deep: require('./"), before, F.lit("') }], ...rest, t: import(`./${x}`) };\n"))
+    layers = F.concat(F.lit("export const P"), c(N), F.lit(" = Layer.effect<X<Y>>(S"), c(N) % 3, F.lit(", f);\nconst all = base.pipe(Layer.provide(P"), before, F.lit("));\n"))
+    text = F.concat(own, registry, layers, F.lit("import { base as b } from './"), before, F.lit("';\nimport * as all from './"), before, F.lit("';\nb(); all.base(); all.none(); other();\n"))
     targets = cu.where("c_custkey > 1").select(c(N).cast("string").alias("path"), F.concat(F.lit("./"), before).alias("specifier"), before.alias("target"))
     return _events(cu, text, "typescript"), targets
 
 
+@query("customer", sql="SELECT (c_custkey - c_custkey % 5)::VARCHAR AS file, 'base' AS symbol, c_custkey::VARCHAR AS path, 'wildcard' AS kind, NULL AS alias FROM customer WHERE c_custkey >= 5 AND c_custkey % 5 <> 0 UNION ALL SELECT i::VARCHAR, 'P' || i, c_custkey::VARCHAR, 'wildcard', NULL FROM customer, LATERAL (SELECT unnest(range(greatest(c_custkey - c_custkey % 5, 1), c_custkey)) AS i) WHERE c_custkey % 5 <> 0 AND c_custkey >= 2")
+def re_exports(cu: DataFrame) -> DataFrame:
+    events, targets = _project(cu)
+    return linking.re_exports(events, targets, linking.resolved_exports(events, targets))
+
+
+@query("customer", sql="SELECT (c_custkey - 1)::VARCHAR AS file, symbol, c_custkey::VARCHAR AS path, CASE v.i WHEN 0 THEN 'k' || c_custkey ELSE 'other' END AS key, CASE v.i WHEN 0 THEN 'import' ELSE 'require' END AS loader FROM customer, (VALUES (0), (1)) AS v(i), LATERAL (SELECT 'P' || (c_custkey - 1) AS symbol UNION ALL SELECT 'base' WHERE (c_custkey - 1) % 5 = 0) WHERE c_custkey > 1")
+def registry_exports(cu: DataFrame) -> DataFrame:
+    events, targets = _project(cu)
+    return linking.registry_exports(events, targets, linking.resolved_exports(events, targets)).drop("start")
+
+
+@query("customer", sql="SELECT 'S' || (c_custkey % 3) AS service, 'P' || c_custkey AS provider, NULL AS file FROM customer UNION ALL SELECT NULL, CASE c_custkey WHEN 0 THEN 'P' ELSE 'P' || (c_custkey - 1) END, c_custkey::VARCHAR FROM customer")
+def provider_tables(cu: DataFrame) -> DataFrame:
+    providers, compositions = linking.provider_tables(_project(cu)[0])
+    return providers.withColumn("file", F.lit(None).cast("string")).unionByName(compositions.withColumn("service", F.lit(None).cast("string")))
+
+
 def _crate(cu: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = (c(N) - 1).cast("string")
-    text = F.when(c(N) % 5 == 0, "pub fn base() {}\nfn call() { base(); self::base(); }").otherwise(F.concat(F.lit("pub use super::m"), before, F.lit("::{base, base as b};\nfn call() { b(); super::m"), before, F.lit("::base(); none(); }")))
+    text = F.when(c(N) % 5 == 0, "pub fn base() {}\nfn call() { base(); self::base(); }").otherwise(F.concat(F.lit("pub use super::m"), before, F.lit("::{base, base as b};\nfn call() { b(); super::m"), before, F.lit("::base(); none(); }\npub trait Tr {} struct S; impl Tr for S {} impl Lost for S { } impl Gone {}")))
     return _events(cu, text, "rust"), cu.select(c(N).cast("string").alias("path"), F.concat(F.lit("crate::m"), c(N)).alias("module"))
 
 
-@query("customer", sql="SELECT c_custkey::VARCHAR AS path, 'base' AS name, (c_custkey - c_custkey % 5)::VARCHAR AS file, 'base' AS symbol FROM customer WHERE c_custkey >= 5 OR c_custkey = 0")
+@query("customer", sql="SELECT c_custkey::VARCHAR AS path, 'base' AS name, (c_custkey - c_custkey % 5)::VARCHAR AS file, 'base' AS symbol FROM customer WHERE c_custkey >= 5 OR c_custkey = 0 UNION ALL SELECT c_custkey::VARCHAR, 'P' || i, i::VARCHAR, 'P' || i FROM customer, LATERAL (SELECT unnest(range(greatest(c_custkey - c_custkey % 5, least(c_custkey, 1)), c_custkey + 1)) AS i)")
 def resolved_exports(cu: DataFrame) -> DataFrame:
     return linking.resolved_exports(*_project(cu))
 
@@ -62,6 +82,13 @@ def linked_rust_calls(cu: DataFrame) -> DataFrame:
     return linking.linked_rust_calls(events, modules, items, linking.rust_aliases(events, modules, items)).select("path", "name", "item")
 
 
+@query("customer", sql="SELECT c_custkey::VARCHAR AS path, 'crate::m' || c_custkey || '::S' AS type, CASE v.i WHEN 0 THEN 'crate::m' || c_custkey || '::Tr' END AS trait FROM customer, (VALUES (0), (1)) AS v(i) WHERE c_custkey % 5 <> 0")
+def rust_impls(cu: DataFrame) -> DataFrame:
+    events, modules = _crate(cu)
+    items = linking.rust_items(events, modules)
+    return linking.rust_impls(events, modules, items, linking.rust_aliases(events, modules, items)).select("path", "type", "trait")
+
+
 @query("customer", sql="SELECT c_custkey AS path, 0 AS place, CASE c_custkey % 2 WHEN 0 THEN 'path' ELSE 'types' END AS attribute, './x' || c_custkey AS target FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0")
 def directives(cu: DataFrame) -> DataFrame:
     n = c(N)

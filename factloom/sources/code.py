@@ -162,11 +162,66 @@ def _heritage(t: Tokens, name: str, low: int, high: int) -> Iterator[tuple]:
         i = t.match.get(i, i) + 1 if w in ("(", "[", "{") else i + 1
 
 
+#: What may stand before the brace of an object.
+BEFORE_OBJECT = ("=", "(", "[", ",", ":", "return")
+
+
+def _registries(t: Tokens) -> Iterator[tuple]:
+    """Entries of object literals whose values load a module: the key, and ``loader:specifier`` (for a template its text)."""
+    i = 0
+    while i < len(t.all):
+        if t.get(i) != "{" or t.kind(i) != "sign" or t.get(i - 1) not in BEFORE_OBJECT or i not in t.match:
+            i += 1
+            continue
+        end, j = t.match[i], i + 1
+        while j < end:
+            key, k = None, j
+            if t.get(j + 1) == ":" and t.kind(j) in ("word", "string", "number"):
+                key = t.get(j)[1:-1] if t.kind(j) == "string" else t.get(j)
+                k = j + 2
+            # The value reaches to the next comma that no bracket holds.
+            stop = k
+            while stop < end and t.get(stop) != ",":
+                stop = t.match.get(stop, stop) + 1 if t.kind(stop) == "sign" and t.get(stop) in ("(", "[", "{") else stop + 1
+            for x in range(k, stop) if key is not None else ():
+                if t.get(x) in ("import", "require") and t.get(x - 1) != "." and t.get(x + 1) == "(" and t.kind(x + 2) == "string":
+                    template = t.get(x + 2)[0] == "`"
+                    if not template or t.get(x) == "import":
+                        yield "registry", key, None, t.all[j][2], t.all[j][3], ("template" if template else t.get(x)) + ":" + t.get(x + 2)[1:-1]
+            j = stop + 1
+        i = end + 1
+
+
+def _after_types(t: Tokens, i: int) -> int:
+    """The place after arguments of types, if some begin here."""
+    depth = 0
+    while t.get(i) == "<" or depth:
+        depth += {"<": 1, ">": -1, "": -depth}.get(t.get(i), 0)
+        i += 1
+    return i
+
+
+def _providers(t: Tokens) -> Iterator[tuple]:
+    """Definitions ``const name = Layer.effect(token, ...)`` and what ``Layer.provide(...)`` or ``Effect.provide(...)`` composes."""
+    for i, (_, w, start, stop) in enumerate(t.all):
+        if w in ("const", "let", "var") and t.kind(i + 1) == "word" and [t.get(i + k) for k in (2, 3, 4)] == ["=", "Layer", "."] and t.get(i + 5) in ("effect", "succeed"):
+            at = _after_types(t, i + 6)
+            if t.get(at) == "(" and t.kind(at + 1) == "word":
+                yield "provider", t.get(i + 1), None, start, stop, t.get(at + 1)
+        elif w in ("Effect", "Layer") and t.get(i + 1) == "." and t.get(i + 2) == "provide":
+            at = _after_types(t, i + 3)
+            for x in range(at + 1, t.match.get(at, at)) if t.get(at) == "(" else ():
+                if t.kind(x) == "word" and t.get(x) not in NOT_CALLS + CONSTANTS + BEFORE_REGEX:
+                    yield "composition", t.get(x), None, start, stop, None
+
+
 def typescript(text: str) -> Iterator[tuple]:
     """(kind, name, owner, start, stop, detail) by code point."""
     t = Tokens(text, TS)
     if t.gap is not None:
         yield "gap", None, None, t.gap, t.gap, "unclosed"
+    yield from _registries(t)
+    yield from _providers(t)
     owners: list[tuple[int, str]] = []
     for i, (kind, w, start, stop) in enumerate(t.all):
         while owners and i > owners[-1][0]:

@@ -134,6 +134,18 @@ def ignored(tree: DataFrame, rules: DataFrame) -> DataFrame:
     return each.join(last, ["at", "is_dir"], "left_semi").select("path").distinct()
 
 
+def inventory_counts(tree: DataFrame, admitted: DataFrame) -> DataFrame:
+    """One row: how many files the tree has, how many were walked and read as sources, and the bytes of those."""
+    total = tree.agg(F.count(F.lit(1)).alias("total_file_count"), F.count_if(~paths.has_skipped_component(F.col("path"))).alias("walk_file_count"))
+    read = admitted.agg(F.count(F.lit(1)).alias("source_read_file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("source_read_byte_count"))
+    return total.crossJoin(read)  # of one row each
+
+
+def unsupported_documents(tree: DataFrame, formats: DataFrame) -> DataFrame:
+    """(path, format, code) of declared documents in a format other than Markdown: ``formats(path, format)``."""
+    return tree.join(formats, "path").where("format <> 'markdown'").select("path", "format", F.lit("unsupported_format").alias("code"))
+
+
 def documents(tree: DataFrame, document_bytes: int | None = None, total_bytes: int | None = None) -> DataFrame:
     """Markdown files as text. A limit that is exceeded raises: nothing is cut."""
     out = tree.where(paths.extension(F.col("path")).isin("md", "mdx")).select("path", "length", F.decode("content", "UTF-8").alias("source"))
