@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.queries import evidence, intents, linking, relational, scalars, symbols, walks  # noqa: F401  all of them add to relational's
+from factloom.queries import evidence, intents, linking, relational, scalars, snapshots, symbols, walks  # noqa: F401  all of them add to relational's
 from factloom.queries.inputs import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scalars.QUERIES | relational.QUERIES
