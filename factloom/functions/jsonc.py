@@ -61,6 +61,21 @@ def semantic_hash(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(_semantic, na_action="ignore"), "string")(c)
 
 
+def _state(text: str | None) -> str | None:
+    """The semantic hash of a packet's goal, question, evidence and lookups, those in any order."""
+    try:
+        p = json.loads(text) if text is not None else None
+        lookups = sorted(({k: x[k] for k in ("tool", "target", "reason")} for x in p["lookups"]), key=lambda x: json.dumps(x, sort_keys=True, separators=(",", ":")))
+        return _semantic(json.dumps({k: p[k] for k in ("goal", "question", "evidence")} | {"lookups": lookups}))
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
+def state_hash(c: Column) -> Column:
+    """SHA-256 of what a packet means: ids and the order of its lookups don't matter. Null for no such packet."""
+    return F.pandas_udf(lambda s: s.map(_state, na_action="ignore"), "string")(c)
+
+
 def stripped(text: str) -> str:
     """Without comments outside strings, then without commas before a closing bracket."""
     plain = re.sub(STRING + r"|//[^\n]*|/\*.*?(?:\*/|\Z)", lambda m: m[0] if m[0][0] == '"' else "", text, flags=re.S)

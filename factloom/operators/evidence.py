@@ -204,6 +204,13 @@ def within_bytes(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("line", F.when(total <= most, F.col("line")).otherwise(F.raise_error(F.lit(f"output over {most} bytes")).cast("string")))
 
 
+def within_rows(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` as they are; raises when they are read if there are more than ``most``: nothing is cut."""
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    first = rows.columns[0]
+    return rows.withColumn(first, F.when(n <= most, F.col(first)).otherwise(F.raise_error(F.lit(f"over {most} rows")).cast(rows.schema[first].dataType)))
+
+
 # Pressure that a declaration's users put on its type.
 
 

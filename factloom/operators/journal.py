@@ -91,6 +91,23 @@ def qualified(judgments: DataFrame, threshold: float) -> DataFrame:
     return judgments.groupBy("task", "model").agg(F.bool_and(F.coalesce(F.col("probability") >= threshold, F.lit(False))).alias("qualified"))
 
 
+def outcomes(judgments: DataFrame, threshold: float) -> DataFrame:
+    """(task, model, criterion, probability, reached): each judgment with whether it reached the threshold."""
+    return judgments.select("task", "model", "criterion", "probability", F.coalesce(F.col("probability") >= threshold, F.lit(False)).alias("reached"))
+
+
+def dispatch_errors(attempts: DataFrame, manifests: DataFrame, packets: DataFrame) -> DataFrame:
+    """(attempt, error) of ``attempts(attempt, run, packet, manifest_sha256, packet_sha256)`` that may not be dispatched.
+
+    ``manifests(run, sha256)`` and ``packets(packet, sha256, is_link)`` are what is there now: a frozen manifest or a
+    prepared packet that changed or is gone refuses, and so does a packet that is a link.
+    """
+    m, p = manifests.select("run", F.col("sha256").alias("m_now")), packets.select("packet", F.col("sha256").alias("p_now"), "is_link")
+    d = attempts.join(m, "run", "left").join(p, "packet", "left")
+    error = F.when(~F.col("m_now").eqNullSafe(F.col("manifest_sha256")), "manifest_changed").when(F.col("p_now").isNull() | F.coalesce("is_link", F.lit(True)), "packet_not_regular").when(F.col("p_now") != F.col("packet_sha256"), "packet_changed")
+    return d.select("attempt", error.alias("error")).where("error is not null")
+
+
 def assign(candidates: DataFrame, most: int) -> DataFrame:
     """(pool, task, model): tasks in their order take the first preferred model, ``most`` in each pool.
 

@@ -29,6 +29,14 @@ def reference_edge(target_kind: Column, is_call: Column) -> Column:
     return F.when(is_call & target_kind.isin("function", "macro", "method"), "calls").when(target_kind.isin("struct", "enum", "trait", "type_alias", "union", "class", "interface"), "type_ref").otherwise("value_ref")
 
 
+def is_container(kind: Column) -> Column:
+    return kind.isin("class", "interface", "type_alias")
+
+
+def is_callable(kind: Column) -> Column:
+    return kind.isin("function", "class", "variable", "property")
+
+
 def property_key(prefix: Column) -> Column:
     """The identifier before a ``:`` or ``?:`` that ends a line's beginning; null if there is none."""
     return F.nullif(F.regexp_extract(prefix, r"([A-Za-z0-9_$]+)\s*\??\s*:\s*$", 1), F.lit(""))

@@ -1,11 +1,13 @@
-"""Queries of linking, on small projects made of the customers' numbers."""
+"""Queries of linking, on small projects made of the customers' numbers, and of what packets and attempts say."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import linking
+from factloom.functions import jsonc
+from factloom.operators import journal, linking, symbols
+from factloom.queries.inputs import FNV
 from factloom.queries.relational import query
 from factloom.sources import code
 
@@ -89,6 +91,44 @@ def rust_impls(cu: DataFrame) -> DataFrame:
     return linking.rust_impls(events, modules, items, linking.rust_aliases(events, modules, items)).select("path", "type", "trait")
 
 
+@query("customer", sql="SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'function  f(a /* x */, b: T' || c_custkey || ')/2' ELSE 'function f(a , b: T' || c_custkey || ')' END AS signature FROM customer")
+def normalized_signatures(cu: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("function  f(a /* x */, b: T"), c(N), F.lit(")"), F.when(c(N) % 3 == 0, "/2").otherwise(" // end"))
+    return cu.select(c(N).alias("id"), code.normalized_signature(text, F.lit("typescript")).alias("signature"))
+
+
+@query("customer", sql=f"SELECT c_custkey AS id, lpad(lower(to_hex({FNV.format("hex('fn f(x: u8) -> T' || c_custkey)")})), 16, '0') AS hash FROM customer")
+def signature_hashes(cu: DataFrame) -> DataFrame:
+    return cu.select(c(N).alias("id"), code.signature_hash(F.concat(F.lit("fn   f(x: /* /* */ */ u8) -> T"), c(N)), F.lit("rust")).alias("hash"))
+
+
+@query("orders", sql="SELECT o_orderkey AS attempt, CASE WHEN o_custkey % 10 = 9 OR o_orderkey % 7 = 0 THEN 'manifest_changed' WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'packet_not_regular' ELSE 'packet_changed' END AS error FROM orders WHERE o_custkey % 10 = 9 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0")
+def dispatch_errors(o: DataFrame) -> DataFrame:
+    k, run = c("o_orderkey"), c("o_custkey") % 10
+    attempts = o.select(k.alias("attempt"), run.alias("run"), k.alias("packet"), F.when(k % 7 == 0, "old").otherwise(F.concat(F.lit("m"), run)).alias("manifest_sha256"), F.lit("p").alias("packet_sha256"))
+    manifests = o.select(run.alias("run")).where("run < 9").distinct().select("run", F.concat(F.lit("m"), "run").alias("sha256"))
+    return journal.dispatch_errors(attempts, manifests, o.where(k % 11 != 0).select(k.alias("packet"), F.when(k % 17 == 0, "other").otherwise("p").alias("sha256"), (k % 13 == 0).alias("is_link")))
+
+
+@query("orders", sql="SELECT o_orderkey AS task, 'm' || (o_custkey % 3) AS model, o_orderstatus AS criterion, (o_custkey % 10) / 10.0 AS probability, o_custkey % 10 >= 7 AS reached FROM orders")
+def judgment_outcomes(o: DataFrame) -> DataFrame:
+    return journal.outcomes(o.select(c("o_orderkey").alias("task"), F.concat(F.lit("m"), c("o_custkey") % 3).alias("model"), c("o_orderstatus").alias("criterion"), (c("o_custkey") % 10 / F.lit(10.0)).alias("probability")), 0.7)
+
+
+@query("events", sql="SELECT event_id AS id, sha256('{\"evidence\":\"e\",\"goal\":\"g' || event_id || '\",\"lookups\":[{\"reason\":\"r\",\"target\":\"a\",\"tool\":\"context\"},{\"reason\":\"r\",\"target\":\"b\",\"tool\":\"context\"}],\"question\":\"q\"}') AS hash FROM events")
+def packet_state_hash(e: DataFrame) -> DataFrame:
+    item = lambda i, t: f'{{"id":"{i}","tool":"context","target":"{t}","reason":"r"}}'
+    a, b = item(1, "a"), item(2, "b")
+    lookups = F.when(c("event_id") % 2 == 0, f"{a},{b}").otherwise(f"{b},{a}")
+    raw = F.concat(F.lit('{"goal":"g'), c("event_id"), F.lit('","question":"q","evidence":"e","work_item_id":"w","lookups":['), lookups, F.lit("]}"))
+    return e.select(c("event_id").alias("id"), jsonc.state_hash(raw).alias("hash"))
+
+
+@query("nodes", sql="SELECT node_id, kind IN ('class', 'interface', 'type_alias') AS container, kind IN ('function', 'class', 'variable', 'property') AS callable FROM nodes")
+def node_kinds(n: DataFrame) -> DataFrame:
+    return n.select("node_id", symbols.is_container(c("kind")).alias("container"), symbols.is_callable(c("kind")).alias("callable"))
+
+
 @query("customer", sql="SELECT c_custkey AS path, 0 AS place, CASE c_custkey % 2 WHEN 0 THEN 'path' ELSE 'types' END AS attribute, './x' || c_custkey AS target FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0")
 def directives(cu: DataFrame) -> DataFrame:
     n = c(N)

@@ -11,10 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.codes import fnv1a
+
 EVENTS = "seq int, kind string, name string, owner string, start bigint, stop bigint, detail string"
 TS = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*[\s\S]*?\*/|\A\#![^\n]*)|(?P<string>"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<word>\#?[A-Za-z_$\u0080-\U0010ffff][\w$]*)|(?P<number>\.?\d[\w.]*)|(?P<bad>/\*|["'])|(?P<template>`)|(?P<slash>/)|(?P<sign>=>|\.\.\.|.)""", re.S
@@ -348,6 +351,32 @@ def rust(text: str) -> Iterator[tuple]:
 
 
 PARSERS = {"typescript": typescript, "rust": rust}
+PATTERNS = {"typescript": TS, "rust": RUST}
+
+
+def normalized(text: str | None, language: str | None) -> str | None:
+    """A declaration's surface without comments and with one space for each gap between its tokens.
+
+    Where tokens alone don't tell (``<`` and ``/`` of TypeScript, what is unclosed, other languages) it stays as it is.
+    """
+    if text is None or language not in PATTERNS:
+        return text
+    out, last = [], 0
+    for kind, token, start, stop in _scan(text, PATTERNS[language]):
+        if kind == "bad" or language == "typescript" and (token in ("<", "/") or kind == "string" and token[0] == "/"):
+            return text
+        out += [" "] * (bool(out) and last < start) + [token]
+        last = stop
+    return "".join(out)
+
+
+def normalized_signature(surface: Column, language: Column) -> Column:
+    return F.pandas_udf(lambda s, k: pd.Series([normalized(a, b) for a, b in zip(s, k, strict=True)], dtype=object), "string")(surface, language)
+
+
+def signature_hash(surface: Column, language: Column) -> Column:
+    """FNV-1a (64 bits) of the normalised surface, as 16 hex digits; of none, zeros."""
+    return F.coalesce(fnv1a(normalized_signature(surface, language)), F.lit("0" * 16))
 
 
 def events(files: DataFrame, key: str = "path", source: str = "source") -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from factloom.operators import evidence, imports, manifests
+from factloom.operators import claims, evidence, imports, manifests
 
 
 def test_framed_fingerprint_is_that_of_the_bytes(spark):
@@ -46,3 +46,19 @@ def test_specifier_variants_and_labels(spark):
     label = F.lit("default as d, { a as b, type C }")
     row = d.select(imports.label_mentions(label, F.lit("a")).alias("a"), imports.label_mentions(label, F.lit("b")).alias("b"), imports.label_mentions(label, F.lit("C")).alias("c"), imports.exported_for(label, F.lit("d")).alias("d"), imports.template_fits(F.lit("./p/"), F.lit(".ts"), F.lit("./p/.ts")).alias("t")).first()
     assert (row.a, row.b, row.c, row.d, row.t) == (True, False, True, ["default"], False)
+
+
+def test_rows_over_their_limit_raise(spark):
+    rows = spark.range(5)
+    assert evidence.within_rows(rows, 5).count() == 5 and [r.id for r in evidence.within_rows(rows, 5).orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    try:
+        evidence.within_rows(rows, 4).collect()
+    except Exception as e:  # noqa: BLE001
+        assert "over 4 rows" in str(e)
+    else:
+        raise AssertionError("no error")
+
+
+def test_claims_not_revoked(spark):
+    got = claims.not_revoked(spark.createDataFrame([("a",), ("b",), (None,)], "bundle_id string"), spark.createDataFrame([("b",), ("b",), (None,)], "bundle_id string")).collect()
+    assert sorted(r.bundle_id or "" for r in got) == ["", "a"]

@@ -90,3 +90,12 @@ def test_patterns():
     assert fits("*.py", "a/b.py") and not fits("/*.py", "a/b.py") and fits("a/**/z", "a/z") and fits("a/**/z", "a/b/c/z") and not fits("a/*/z", "a/z")
     assert fits("**/x", "x") and fits("**/x", "a/b/x") and fits("a/**", "a/b/c") and not fits("a/**", "a") and fits("[a-c]?", "b1") and not fits("[!a-c]?", "b1") and fits(r"\*", "*") and not fits(r"\*", "x")
     assert fits("a+(b).{c}$", "a+(b).{c}$")
+
+
+def test_counts_and_other_formats(spark, root):
+    tree = files.scan_tree(spark, str(root))
+    admitted = files.source_inventory(tree)
+    got = files.inventory_counts(tree, admitted).first()
+    assert got.total_file_count == len(TREE | RULES) and got.walk_file_count == got.total_file_count - 1 and got.source_read_file_count == admitted.count() and got.source_read_byte_count == admitted.count()
+    formats = spark.createDataFrame([("src/f.txt", "text"), ("README.md", "markdown"), ("gone", "text")], "path string, format string")
+    assert [tuple(r) for r in files.unsupported_documents(tree, formats).collect()] == [("src/f.txt", "text", "unsupported_format")]
