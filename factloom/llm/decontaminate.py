@@ -20,7 +20,7 @@ euros cent cents percent kmh mph watt watts volt volts degree degrees meter mete
 PLAIN, NUMBER, CAPITAL, UNIT, STOP = range(5)
 SLOTS = {NUMBER: 0x6E756D, CAPITAL: 0x6E616D65, UNIT: 0x756E6974}
 FACTOR = 0x9E3779B97F4A7C15
-CACHED = 300_000
+CACHED = 100_000
 #: A list of so many window hashes (8 MB) may go to every executor; a larger benchmark is joined without it.
 BROADCAST_WINDOWS = 1_000_000
 

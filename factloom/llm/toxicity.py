@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: must hold one, and standard errors by which its presence must differ between the labels.
 BEGINNINGS = (3, 4, 5, 6)
 FEATURES, LEAST_TEXTS, LEAST_ERRORS = 4096, 3, 2.5
-CACHED = 200_000
+CACHED = 50_000
 
 
 def words(text: str | None) -> set[str]:
@@ -49,9 +49,11 @@ class Model:
     v: np.ndarray
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Of each text. A word's terms are looked up once for each model and process."""
+        """Of each text. A word's terms are looked up once in a process, while the model is the same."""
         at = {b: i for i, b in enumerate(self.used.tolist())}
-        known: dict[str, list[int]] = _KNOWN.setdefault(self.used.tobytes(), {}) if len(_KNOWN) < 4 else {}
+        if _KNOWN["model"] != (key := self.used.tobytes()):
+            _KNOWN.update(model=key, words={})
+        known: dict[str, tuple[int, ...]] = _KNOWN["words"]
         own, lengths = [], []
         for t in texts:
             found: set[int] = set()
@@ -59,7 +61,7 @@ class Model:
                 if (terms_ := known.get(w)) is None:
                     if len(known) >= CACHED:
                         known.clear()
-                    known[w] = terms_ = [at[b] for b in buckets(w) if b in at]
+                    known[w] = terms_ = tuple([at[b] for b in buckets(w) if b in at])
                 found.update(terms_)
             own += sorted(found)
             lengths.append(len(found))
@@ -74,7 +76,8 @@ class Model:
         return float(self.scores([text])[0])
 
 
-_KNOWN: dict[bytes, dict[str, list[int]]] = {}
+#: What a process knows of words, for the model that it scored with last.
+_KNOWN: dict = {"model": None, "words": {}}
 
 
 def choose(bucket: np.ndarray, df: np.ndarray, df_pos: np.ndarray, pos: float, n: int) -> np.ndarray:
