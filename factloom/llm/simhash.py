@@ -65,7 +65,9 @@ def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
     pair within 2 bits, at least one of the two looks the other up, or both are members of large buckets.
     The result links all such pairs, some by way of a third fingerprint that is within 2 bits of both.
     """
-    f = prints.select(F.col("fingerprint").alias("f")).where("f is not null").distinct()
+    # Dealt out anew: a fingerprint is 8 bytes here and 33 rows a line below, so sizes would put them in too few tasks.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = prints.select(F.col("fingerprint").alias("f")).where("f is not null").distinct().repartition(tasks, "f")
     high, low = F.shiftrightunsigned("f", 32), F.col("f").bitwiseAND(0xFFFFFFFF)
     segments = F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("key")), F.struct(F.lit(1).alias("seg"), low.alias("key"))))
     tables = f.select("f", segments.alias("s")).select("f", "s.seg", "s.key")
