@@ -51,7 +51,7 @@ def _dedup(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     shared_keys = shared(shared_keys.where(F.col("n") >= least_docs).select("h1", "h2", "last"))
     drops = lines.join(shared_keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     drops = drops.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drops")).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "drops")
-    out = rows.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    out = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
     split = F.split("text", "\n")
     out = out.select("doc_id", "text", "rest", split.alias("lines"), "drops")
     keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
