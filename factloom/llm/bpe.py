@@ -24,7 +24,7 @@ LETTER, STMD, R, V, ELL, E, NUMBER, OTHER, APOSTROPHE, SPACE, BLANK, RESET = ran
 START, IN_LETTERS, IN_NUMBER, IN_OTHER, QUOTE, QR, QV, QL, ENDED, AFTER_SPACE, AFTER_BLANK = range(11)
 STOP = 0x110000  # stands between the texts of a batch
 BLOCK = 128
-CACHED, BATCH_CHARS = 100_000, 1_000_000
+CACHED, BATCH_CHARS = 160_000, 1_000_000
 
 
 @cache
