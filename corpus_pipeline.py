@@ -31,7 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: those that share five-word shingles to a similarity of 0.8.
 
-    Groups are closed over links, and documents without words are one group. What it doesn't catch: copies below 0.8, such
+    SimHash with multi-index hashing finds most links, an exact join those that it misses. Groups are closed over links, and
+    documents without words are one group. What it doesn't catch: copies below 0.8, such
     as of short texts with a word changed.
     """
     return simhash.keep_one(docs, size=5, similarity=0.8)

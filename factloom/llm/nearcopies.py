@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash with multi-index hashing first, an exact join for the links it misses."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ SEED = 42
 #: Longs of a set's short parity sketch (a power of 2), and shingles that a sample tells to be frequent.
 SKETCH = 8
 COMMON = 200_000
+#: SimHash fingerprints of a set, of 64 bits; the first is of the shingles' own hashes, the others of hashes made of these.
+PRINTS = 12
+MIX = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(1, PRINTS)], np.uint64)
 #: So many nodes (24 bytes each) may go to every executor; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Pairs for each holder of a crowded key that may be compared without another pivot.
@@ -41,14 +44,25 @@ def _sketch(h: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _outline(h: np.ndarray, least: float, common: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set: its own hash, a short sketch, one of 2 to 4 bits for each shingle, and the prefix that meets that of every
-    set of a similarity of ``least``.
+def _prints(h: np.ndarray) -> np.ndarray:
+    """A set's SimHash fingerprints: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(64 * PRINTS, np.int64)
+    for k in range(0, len(h), 255):  # so many fit a byte's sum
+        own = h[k : k + 255, None]
+        mixed = own * MIX
+        g = np.concatenate((own, mixed ^ (mixed >> np.uint64(32))), axis=1)
+        ones += np.unpackbits(g.astype("<u8").view(np.uint8).ravel(), bitorder="little").reshape(len(g), -1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
+
+
+def _outline(h: np.ndarray, least: float, common: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set: its own hash, its fingerprints, a short sketch, one of 2 to 4 bits for each shingle, and the prefix that
+    meets that of every set of a similarity of ``least``.
 
     The order is by hash, ``common`` shingles last; any order that is the same for all sets would be right.
     """
     node = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
-    sketches = _sketch(h, SKETCH), _sketch(h, max(SKETCH, 1 << (len(h) // 32).bit_length()))
+    sketches = _prints(h), _sketch(h, SKETCH), _sketch(h, max(SKETCH, 1 << (len(h) // 32).bit_length()))
     if not len(h):
         return node, *sketches, h.view(np.int64)
     if len(common):
@@ -82,14 +96,14 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def outlines(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(doc_id, mark, node, n, sketch, wide, prefix) of each row; mark is a hash of the text, node one of its set of shingles."""
+    """(doc_id, mark, node, n, prints, sketch, wide, prefix) of each row; mark is a hash of the text, node one of its set of shingles."""
     known = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
-    fields = "doc_id bigint, mark bigint, node bigint, n int, sketch array<bigint>, wide array<bigint>, prefix array<bigint>"
+    fields = "doc_id bigint, mark bigint, node bigint, n int, prints array<bigint>, sketch array<bigint>, wide array<bigint>, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column(2)]
-            node, *lists = zip(*(_outline(h, least, known.value) for h in sets), strict=True) if sets else ((), (), (), ())
+            node, *lists = zip(*(_outline(h, least, known.value) for h in sets), strict=True) if sets else ((), (), (), (), ())
             columns = [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(map(len, sets), pa.int32()), *map(_lists, lists)]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])
 
@@ -97,6 +111,31 @@ def outlines(docs: DataFrame, size: int, least: float) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("mark"), text.alias("text")), run, fields)
 
 
+def _probed(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes(node, n, prints)`` that SimHash holds for similar, at most one for each node.
+
+    Multi-index hashing: each fingerprint has two 32-bit segments, and sets that agree in a segment meet. Of a segment, two
+    bits more than the number of nodes has are looked at, so that few meet by chance. The holders of a segment meet the least
+    of them, so a crowded one costs a row for each. Then the first fingerprints' distance is verified: at a similarity of
+    ``least`` a bit differs with a probability of acos(2 least / (1 + least)) / pi, and four standard deviations more are
+    let through. A node keeps the nearest that it met.
+    """
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = shared(nodes.where("n > 0").select("node", "prints").repartition(tasks, "node"))
+    mask = F.lit((1 << min(32, prints.count().bit_length() + 2)) - 1).cast("bigint")
+    cut = lambda p, seg: F.shiftleft(seg.cast("bigint"), 32).bitwiseOR(p.bitwiseAND(mask))
+    segments = F.flatten(F.transform("prints", lambda p, i: F.array(cut(p, 2 * i), cut(F.shiftrightunsigned(p, 32), 2 * i + 1))))
+    keys = prints.select("node", F.explode(segments).alias("key"))
+    first = keys.groupBy("key").agg(F.min("node").alias("to"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key", "to")
+    met = keys.join(first, "key").where("node <> to").select("node", "to").distinct()
+    one = prints.select("node", F.get("prints", F.lit(0)).alias("p"))
+    odds = math.acos(2 * least / (1 + least)) / math.pi
+    apart = F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
+    near = met.join(one, "node").join(one.select(F.col("node").alias("to"), F.col("p").alias("q")), "to").where(apart <= int(64 * odds + 4 * math.sqrt(64 * odds * (1 - odds))))
+    near = near.groupBy("node").agg(F.min_by("to", F.struct(apart, "to")).alias("to"))
+    return near.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, h) of the texts named in ``wanted(node, of, of_mark)``."""
 
@@ -138,7 +177,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, leas
 
 
 def _crowds(crowded: DataFrame, links: DataFrame, sides: DataFrame, linked: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """(node, root) of the components that ``links`` and all links between holders of a ``crowded`` key make.
+    """(node, root) of the components that ``links`` and all links between holders of a ``crowded`` key make; the ``root``
+    there tells those of some of ``links``, whose members needn't be compared.
 
     Each turn compares a pivot of each key with all its holders: the holder of the most crowded keys for its size, which is
     near to the most of them (later, the one of those outside of the key's largest component that was no pivot yet).
@@ -147,7 +187,7 @@ def _crowds(crowded: DataFrame, links: DataFrame, sides: DataFrame, linked: Call
     """
     roots, tried, seen, before = None, None, None, None
     while True:
-        rooted = crowded.withColumn("root", F.col("node")) if roots is None else shared(crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        rooted = crowded if roots is None else shared(crowded.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
         largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         rooted = shared(rooted.join(shared(largest.drop("roots")), "key"))
@@ -182,22 +222,31 @@ def groups(docs: DataFrame, size: int = 5, least: float = 0.8, bucket: int = 2)
     n - ceil(least * n) + 1 in any common order, so those are the join's keys. Of the pairs that meet, sizes and parity
     sketches leave out only what can't be similar; the similarity of the others is computed from the whole sets.
 
+    SimHash links most of them (``_probed``, verified by whole sets), but no radius that can be looked up holds all pairs of
+    such a similarity. So all others meet in an exact join, where sets that SimHash has brought together aren't compared.
+
     The pairs of a key that over ``bucket`` nodes hold aren't listed; see ``_crowds``.
     Null doc_ids name no group unless no other row is in it.
     """
     rows = shared(outlines(docs, size, least))
-    nodes = shared(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix")], F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("rep")))
+    nodes = shared(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prints", "sketch", "wide", "prefix")], F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("rep")))
+    linked = lambda pairs: _linked(docs, nodes, pairs, size, least)
+    links = linked(_probed(nodes, least))
+    hashed = connected_components(links)
     keys = nodes.select("node", F.explode("prefix").alias("key"))
     counts = shared(keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
     held = shared(keys.join(counts, "key"))
     sides = nodes.select("node", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)])
-    linked = lambda pairs: _linked(docs, nodes, pairs, size, least)
     light = held.where(F.col("holders") <= bucket).select("key", "node")
     pairs = light.withColumnRenamed("node", "a").join(light.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(hashed.select(F.col("node").alias(c), F.col("root").alias(c + "_root")), c, "left")
+    pairs = pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
     pairs = pairs.join(sides.select(F.col("node").alias("a"), _side("x")), "a").join(sides.select(F.col("node").alias("b"), _side("y")), "b")
-    links = linked(shared(pairs.where(_near(least)).select("a", "b")))
+    links = links.unionByName(linked(shared(pairs.where(_near(least)).select("a", "b"))))
     crowds = held.where(F.col("holders") > bucket).groupBy("node").agg(F.count(F.lit(1)).alias("crowd"))
-    crowds = shared(crowds.join(nodes, "node").select("node", (F.col("crowd") / F.size("prefix")).alias("crowd")))
+    crowds = crowds.join(nodes, "node").select("node", (F.col("crowd") / F.size("prefix")).alias("crowd"))
+    crowds = shared(crowds.join(hashed, "node", "left").select("node", "crowd", F.coalesce("root", "node").alias("root")))
     crowded = shared(held.where(F.col("holders") > bucket).join(crowds, "node"))
     roots = _crowds(crowded, links, shared(sides.join(crowds.select("node"), "node")), linked, least)
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

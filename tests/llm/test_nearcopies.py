@@ -65,3 +65,30 @@ def test_odd_input(odd, none):
     assert nearcopies.groups(none).count() == 0 and nearcopies.groups(odd).count() == 9
     assert simhash.keep_one(odd, 5, 0.8).columns == odd.columns
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd, 5, 0.8).collect()) == [0, 0, 1, 4, 4, 5, 6]
+
+
+def test_simhash_finds_most_links(spark):
+    """Multi-index hashing finds most of what is similar (and only the exact join the rest); no radius would find all."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for n, changes in ((300, 4), (200, 1), (60, 1)):
+        for _ in range(60):
+            t = rng.choices(words, k=n)
+            rows.append((len(rows), " ".join(t)))
+            for _ in range(changes):
+                t[rng.randrange(n)] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    want, pairs = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    node = {r.node: r.doc_id for r in nearcopies.outlines(docs, 5, 0.8).collect()}
+    found = [(node[r.a], node[r.b]) for r in nearcopies._probed(nearcopies.outlines(docs, 5, 0.8), 0.8).collect()]
+    assert sum(want[a] == want[b] for a, b in found) >= 0.7 * pairs > 0
+    assert {r.doc_id: r.component_id for r in nearcopies.groups(docs).collect()} == want
+
+
+def test_first_fingerprint_is_simhash():
+    for text in ("a b c d e f g h", "One two  three", " ".join(f"w{i}" for i in range(700))):
+        h = [int(x) for x in nearcopies.shingles(text, 5)]
+        assert int(nearcopies._prints(nearcopies.shingles(text, 5))[0]) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert int(nearcopies._prints(nearcopies.shingles(text, 5))[0]) == simhash.fingerprint(text, 5)
