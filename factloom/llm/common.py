@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -69,6 +70,42 @@ def shared(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
 
 
+#: Bytes of a written table that a task reads, at least.
+PART = 2 << 20
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``shared(df)``, read by no more tasks than its bytes need, but by as many as the session has cores.
+
+    Each task that reads costs files of its own in every shuffle behind it, so many almost empty ones cost more than the rows.
+    """
+    out = shared(df)
+    spark = out.sparkSession
+    rdd = out._jdf.queryExecution().analyzed().rdd()
+    while rdd.getCheckpointFile().isEmpty() and not rdd.dependencies().isEmpty():
+        rdd = rdd.dependencies().head().rdd()
+    if rdd.getCheckpointFile().isEmpty():
+        return out
+    path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return out.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // PART)))
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside drop their shuffle files as soon as they have run, rather than when the driver collects garbage.
+
+    For frames that run once: what is used again is written by ``shared``.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A-Z in lower case. Pure ASCII takes the fast built-in, the rest a translation."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_batches, shared
+from factloom.llm.common import map_batches, packed, shuffles_dropped
 from factloom.llm.components import connected_components
 
 SEED = 42
@@ -120,8 +120,7 @@ def _probed(nodes: DataFrame, least: float) -> DataFrame:
     ``least`` a bit differs with a probability of acos(2 least / (1 + least)) / pi, and four standard deviations more are
     let through. A node keeps the nearest that it met.
     """
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = shared(nodes.where("n > 0").select("node", "prints").repartition(tasks, "node"))
+    prints = nodes.where("n > 0").select("node", "prints")
     mask = F.lit((1 << min(32, prints.count().bit_length() + 2)) - 1).cast("bigint")
     cut = lambda p, seg: F.shiftleft(seg.cast("bigint"), 32).bitwiseOR(p.bitwiseAND(mask))
     segments = F.flatten(F.transform("prints", lambda p, i: F.array(cut(p, 2 * i), cut(F.shiftrightunsigned(p, 32), 2 * i + 1))))
@@ -168,12 +167,12 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, leas
     x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
     apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= (F.col("a_.n") + F.col("b_.n")) * ((1 - least) / (1 + least)) + 1e-9)
-    close = shared(close.select("a", "b"))
-    wanted = shared(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("of"), F.col("rep.mark").alias("of_mark")))
-    sets = shared(_sets(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, size))
+    close = packed(close.select("a", "b"))
+    wanted = packed(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("of"), F.col("rep.mark").alias("of_mark")))
+    sets = packed(_sets(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, size))
     met = close.join(sets.select(F.col("node").alias("a"), F.col("h").alias("g")), "a").join(sets.select(F.col("node").alias("b"), "h"), "b")
     common = F.size(F.array_intersect("g", "h"))
-    return shared(met.where(common / (F.size("g") + F.size("h") - common) >= least).select("a", "b"))
+    return packed(met.where(common / (F.size("g") + F.size("h") - common) >= least).select("a", "b"))
 
 
 def _crowds(crowded: DataFrame, links: DataFrame, sides: DataFrame, linked: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
@@ -187,10 +186,10 @@ def _crowds(crowded: DataFrame, links: DataFrame, sides: DataFrame, linked: Call
     """
     roots, tried, seen, before = None, None, None, None
     while True:
-        rooted = crowded if roots is None else shared(crowded.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        rooted = crowded if roots is None else packed(crowded.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
         largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        rooted = shared(rooted.join(shared(largest.drop("roots")), "key"))
+        rooted = packed(rooted.join(packed(largest.drop("roots")), "key"))
         outside = F.col("root") != F.col("largest")
         load = rooted.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(outside, F.col("holders")).otherwise(0)).alias("pairs")).first()
         if not load["rows"]:
@@ -200,11 +199,11 @@ def _crowds(crowded: DataFrame, links: DataFrame, sides: DataFrame, linked: Call
         if not last:
             left = left if tried is None else left.join(tried, ["key", "node"], "left_anti")
             left = left.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("crowd", "node")).alias("t")).select("key", "t.*")
-        left = shared(left.select("key", "node", "root"))
+        left = packed(left.select("key", "node", "root"))
         met = left.join(sides, "node").select("key", F.col("root").alias("p"), _side("x")).join(rooted.join(sides, "node").select("key", F.col("root").alias("q"), "largest", _side("y")), "key").where("p <> q")
         met = met.where("q = largest or x.node < y.node") if last else met
         pairs = met.where(_near(least)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = shared(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        pairs = packed(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         links = links.unionByName(linked(pairs))
         roots = connected_components(links)
         if last:
@@ -228,27 +227,29 @@ def groups(docs: DataFrame, size: int = 5, least: float = 0.8, bucket: int = 2)
     The pairs of a key that over ``bucket`` nodes hold aren't listed; see ``_crowds``.
     Null doc_ids name no group unless no other row is in it.
     """
-    rows = shared(outlines(docs, size, least))
-    nodes = shared(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prints", "sketch", "wide", "prefix")], F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("rep")))
-    linked = lambda pairs: _linked(docs, nodes, pairs, size, least)
-    links = linked(_probed(nodes, least))
-    hashed = connected_components(links)
-    keys = nodes.select("node", F.explode("prefix").alias("key"))
-    counts = shared(keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
-    held = shared(keys.join(counts, "key"))
-    sides = nodes.select("node", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)])
-    light = held.where(F.col("holders") <= bucket).select("key", "node")
-    pairs = light.withColumnRenamed("node", "a").join(light.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(hashed.select(F.col("node").alias(c), F.col("root").alias(c + "_root")), c, "left")
-    pairs = pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-    pairs = pairs.join(sides.select(F.col("node").alias("a"), _side("x")), "a").join(sides.select(F.col("node").alias("b"), _side("y")), "b")
-    links = links.unionByName(linked(shared(pairs.where(_near(least)).select("a", "b"))))
-    crowds = held.where(F.col("holders") > bucket).groupBy("node").agg(F.count(F.lit(1)).alias("crowd"))
-    crowds = crowds.join(nodes, "node").select("node", (F.col("crowd") / F.size("prefix")).alias("crowd"))
-    crowds = shared(crowds.join(hashed, "node", "left").select("node", "crowd", F.coalesce("root", "node").alias("root")))
-    crowded = shared(held.where(F.col("holders") > bucket).join(crowds, "node"))
-    roots = _crowds(crowded, links, shared(sides.join(crowds.select("node"), "node")), linked, least)
-    rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "mark", "node").join(shared(rooted.join(least_id, "root").select("node", "component_id")), "node").select("doc_id", "mark", "component_id")
+    with shuffles_dropped(docs.sparkSession):
+        rows = packed(outlines(docs, size, least))
+        nodes = packed(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prints", "sketch", "wide", "prefix")], F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("rep")))
+        linked = lambda pairs: _linked(docs, nodes, pairs, size, least)
+        links = linked(_probed(nodes, least))
+        hashed = connected_components(links)
+        keys = nodes.select("node", F.explode("prefix").alias("key"))
+        counts = packed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
+        held = packed(keys.join(counts, "key"))
+        sides = nodes.select("node", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)])
+        light = held.where(F.col("holders") <= bucket).select("key", "node")
+        pairs = light.withColumnRenamed("node", "a").join(light.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
+        for c in ("a", "b"):
+            pairs = pairs.join(hashed.select(F.col("node").alias(c), F.col("root").alias(c + "_root")), c, "left")
+        pairs = pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+        pairs = pairs.join(sides.select(F.col("node").alias("a"), _side("x")), "a").join(sides.select(F.col("node").alias("b"), _side("y")), "b")
+        links = links.unionByName(linked(packed(pairs.where(_near(least)).select("a", "b"))))
+        crowds = held.where(F.col("holders") > bucket).groupBy("node").agg(F.count(F.lit(1)).alias("crowd"))
+        crowds = crowds.join(nodes, "node").select("node", (F.col("crowd") / F.size("prefix")).alias("crowd"))
+        crowds = packed(crowds.join(hashed, "node", "left").select("node", "crowd", F.coalesce("root", "node").alias("root")))
+        crowded = packed(held.where(F.col("holders") > bucket).join(crowds, "node"))
+        roots = _crowds(crowded, links, packed(sides.join(crowds.select("node"), "node")), linked, least)
+        rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = packed(rooted.join(least_id, "root").select("node", "component_id"))
+    return rows.select("doc_id", "mark", "node").join(named, "node").select("doc_id", "mark", "component_id")
