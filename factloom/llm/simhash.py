@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import nearcopies
-from factloom.llm.common import map_batches, shared
+from factloom.llm.common import map_batches, packed, shuffles_dropped
 from factloom.llm.components import connected_components
 
 SEED, CHUNK = 42, 1 << 16
@@ -67,12 +67,12 @@ def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
     """
     # Dealt out anew: a fingerprint is 8 bytes here and 33 rows a line below, so sizes would put them in too few tasks.
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    f = prints.select(F.col("fingerprint").alias("f")).where("f is not null").distinct().repartition(tasks, "f")
+    f = prints.select(F.col("fingerprint").alias("f")).where("f is not null").repartition(tasks, "f").distinct()
     high, low = F.shiftrightunsigned("f", 32), F.col("f").bitwiseAND(0xFFFFFFFF)
     segments = F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("key")), F.struct(F.lit(1).alias("seg"), low.alias("key"))))
     tables = f.select("f", segments.alias("s")).select("f", "s.seg", "s.key")
     sizes = tables.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n"))
-    sized = shared(tables.join(sizes, ["seg", "key"]))
+    sized = packed(tables.join(sizes, ["seg", "key"]))
     light = sized.where(F.col("n") <= bucket).select("seg", "key", F.col("f").alias("g"))
     ball = F.concat(F.array(high), F.array(*[high.bitwiseXOR(F.lit(1 << i).cast("bigint")) for i in range(32)]))
     probes = f.select("f", F.explode(ball).alias("key")).select("f", F.lit(0).alias("seg"), "key").unionByName(f.select("f", F.lit(1).alias("seg"), low.alias("key")))
@@ -100,9 +100,10 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def _named(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, mark, fingerprint, component_id) of each row."""
-    prints = shared(fingerprints(docs, size))
-    first = shared(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(first))
+    with shuffles_dropped(docs.sparkSession):
+        prints = packed(fingerprints(docs, size))
+        first = packed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+        roots = connected_components(links(first))
     rooted = first.join(roots, first.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(rooted.join(groups, "root").select("fingerprint", "component_id"), "fingerprint")

@@ -88,3 +88,19 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "wholly other words here"), (3, "WHOLLY other  words here"), (3, "third text")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, kept)) == [(1, "a b c d e"), (2, "wholly other words here"), (3, "third text")]
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """A chain of near copies takes no rounds: five tables (fingerprints, distinct ones, segments, links, components)."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 60):  # a word changes at a time, so the ends of the chain are far apart
+        words[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    wrote = []
+    checkpoint = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a, **b: wrote.append(1) or checkpoint(df, *a, **b))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_groups([(d, brute_print(t)) for d, t in rows]) and len(set(got.values())) < len(got)
+    assert len(wrote) <= 5
