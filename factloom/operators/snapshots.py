@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.codes import is_identifier, is_model_identifier
 from factloom.operators.usage import zoned
+from factloom.plans.stages import computed, spread
 
 # Providers with the shape of their snapshots, billing lanes, scopes and texts that a snapshot must have.
 SHAPES = {"LM Studio": "local", "Anthropic": "windows", "xAI": "weekly", "OpenAI": "bucket"}
@@ -23,7 +24,7 @@ METADATA = ("model_mapping", "reset_text", "reset_precision", "percentage_precis
 WEEKLY_METADATA = ("reset_text", "reset_timezone", "reset_precision", "percentage_precision")
 # End of fixed values.
 
-Rules = list[tuple[str, Column]]
+Rules = list[tuple[str | Column, Column]]
 
 
 class Json:
@@ -83,43 +84,48 @@ def _percent(used: Column, reset: Column, duration: Column, no_duration: Column,
     ]
 
 
-def _context(j: Json, shape: str, now: Column, age: Column) -> Rules:
-    observed = zoned(j.text("observed_at_utc"))
+def _context(j: Json, shape: str, now: Column, observed: Column, age: Column) -> Rules:
     seconds = F.unix_micros(now) / 1e6 - F.unix_micros(observed) / 1e6
     lane = j.text("billing_lane") == LANES["local"] if shape == "local" else F.lower(j.text("billing_lane")).contains("subscription")
     named = reduce(lambda a, b: a & b, [j.filled(k) for k in ("snapshot_id", "source", "runtime_version", "billing_lane", "pool_alias")])
     return [("invalid_snapshot", named), ("invalid_pool_alias", is_identifier(j.text("pool_alias"))), ("unsupported_billing_lane", lane), ("invalid_max_age", age.between(1, 3600)), ("invalid_timestamp", observed.isNotNull()), ("stale_or_future_snapshot", seconds.between(-5, age))]
 
 
-def _stated(j: Json) -> Rules:
-    left = F.greatest(F.lit(0.0), 100 - j.number("used_percent"))
-    return [("inconsistent_remaining", j.number("remaining_percent").between(0, 100) & (F.abs(j.number("remaining_percent") - left) <= 0.001))]
+def _stated(used: Column, remaining: Column) -> Rules:
+    left = F.greatest(F.lit(0.0), 100 - used)
+    return [("inconsistent_remaining", remaining.between(0, 100) & (F.abs(remaining - left) <= 0.001))]
 
 
-def _window(j: Json, now: Column, observed: Column) -> Rules:
-    reset = zoned(j.text("resets_at_utc"))
+def _fields(w: Column) -> Column:
+    """What the rules ask of a window, each member read once."""
+    j = Json(w)
     metadata = reduce(lambda a, b: a & b, [~j.has(k) | j.filled(k) for k in METADATA] + [~j.has(k) | j.flag(k).isNotNull() for k in ("reset_date_inferred", "reset_year_inferred")])
+    told = {"kind": j.text("kind"), "unit": j.text("unit"), "status": j.text("status"), "used": j.number("used_percent"), "remaining": j.number("remaining_percent"), "reset": zoned(j.text("resets_at_utc")), "duration": j.whole("duration_minutes"), "no_duration": j.null("duration_minutes")}
+    return F.struct(j.text("label").alias("label"), j.text("scope").alias("scope"), *[v.alias(k) for k, v in told.items()], metadata.alias("metadata"))
+
+
+def _window(w: Column, now: Column, observed: Column) -> Rules:
     return [
-        ("unsupported_window", (j.text("kind") == "subscription quota") & (j.text("unit") == "percent")), ("usage_unavailable", j.text("status") == "observed"), ("invalid_timestamp", reset.isNotNull()),
-        *_percent(j.number("used_percent"), reset, j.whole("duration_minutes"), j.null("duration_minutes"), now, observed), *_stated(j), ("invalid_window_metadata", metadata),
+        ("unsupported_window", (w["kind"] == "subscription quota") & (w["unit"] == "percent")), ("usage_unavailable", w["status"] == "observed"), ("invalid_timestamp", w["reset"].isNotNull()),
+        *_percent(w["used"], w["reset"], w["duration"], w["no_duration"], now, observed), *_stated(w["used"], w["remaining"]), ("invalid_window_metadata", w["metadata"]),
     ]
 
 
-def _windows(j: Json, now: Column, observed: Column) -> Rules:
-    windows = j.array("windows")
-    label = lambda w: Json(w).text("label")
+def _window_error(fields: Column, now: Column, observed: Column) -> Column:
+    """The first rule that the first unsound window breaks, else null."""
+    labels = fields["label"]
+    filled = lambda x: _sure(F.trim(x) != "")
+    told = lambda w, i: _first([("invalid_window", filled(w["label"]) & filled(w["scope"])), ("duplicate_window", ~_sure(F.array_position(labels, w["label"]) <= i)), *_window(w, now, observed)])
+    return F.get(F.filter(F.transform(fields, told), lambda e: e.isNotNull()), F.lit(0))
 
-    def told(w: Column, i: Column) -> Column:
-        x = Json(w)
-        before = F.exists(F.slice(windows, 1, i), lambda o: label(o) == label(w))
-        return _first([("invalid_window", x.filled("label") & x.filled("scope")), ("duplicate_window", ~_sure(before)), *_window(x, now, observed)])
 
-    error = F.get(F.filter(F.transform(windows, told), lambda e: e.isNotNull()), F.lit(0))
-    scopes = F.transform(windows, lambda w: Json(w).text("scope"))
-    rules: Rules = [("unknown_credit_status", j.flag("usage_credits_enabled").isNotNull()), ("missing_usage_windows", F.size(windows) > 0)]
-    for name in ("invalid_window", "duplicate_window", "unsupported_window", "usage_unavailable", "invalid_timestamp", "quota_exhausted_or_unmapped_sublimit", "reset_requires_refresh", "invalid_duration", "inconsistent_remaining", "invalid_window_metadata"):
-        rules.append((name, F.coalesce(error != name, F.lit(True))))
-    return [*rules, ("missing_shared_window", F.size(F.array_except(F.array(*map(F.lit, SHARED_SCOPES)), scopes)) == 0)]
+def _windows(j: Json, now: Column, observed: Column) -> Rules:
+    """Upon ``fields`` and ``window_error``, which ``_judged`` computes before."""
+    fields, error = F.col("fields"), F.col("window_error")
+    return [
+        ("unknown_credit_status", j.flag("usage_credits_enabled").isNotNull()), ("missing_usage_windows", F.size(fields) > 0), (error, error.isNull()),
+        ("missing_shared_window", F.size(F.array_except(F.array(*map(F.lit, SHARED_SCOPES)), fields["scope"])) == 0),
+    ]
 
 
 def _bucket_of(j: Json) -> Json:
@@ -161,7 +167,7 @@ def _weekly(j: Json, now: Column, observed: Column) -> Rules:
     paid = F.array_sort(F.json_object_keys(F.to_json(j.at("paid_allowance")))) == F.array(F.lit("reason"), F.lit("status"))
     return [
         ("unsupported_billing_lane", j.text("billing_lane") == LANES["weekly"]), ("unsupported_grok_auth", j.text("auth_method") == WEEKLY_AUTH), ("incomplete_grok_usage", j.flag("all_displayed_limits_recorded")), ("unsupported_grok_window_scope", one), ("usage_unavailable", seen),
-        ("invalid_timestamp", reset.isNotNull()), *_percent(w.number("used_percent"), reset, w.whole("duration_minutes"), F.lit(False), now, observed), *_stated(w), ("invalid_window_metadata", metadata & w.flag("reset_year_inferred").isNotNull()),
+        ("invalid_timestamp", reset.isNotNull()), *_percent(w.number("used_percent"), reset, w.whole("duration_minutes"), F.lit(False), now, observed), *_stated(w.number("used_percent"), w.number("remaining_percent")), ("invalid_window_metadata", metadata & w.flag("reset_year_inferred").isNotNull()),
         ("unsupported_grok_paid_allowance", j.is_object("paid_allowance") & paid & (j.text("paid_allowance.status") == "unavailable") & j.filled("paid_allowance.reason")),
     ]
 
@@ -183,25 +189,32 @@ def _local(j: Json, now: Column, observed: Column) -> Rules:
 RULES: dict[str, Callable[[Json, Column, Column], Rules]] = {"windows": _windows, "bucket": _bucket, "weekly": _weekly, "local": _local}
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows`` with their variant ``v``, ``provider`` and ``error``. What several rules ask for is computed once, in steps."""
+    d = computed(spread(rows), v=F.try_parse_json("raw"))
+    j, now = Json(F.col("v")), F.col("now")
+    d = computed(d, is_object=_sure(F.schema_of_variant("v").startswith("OBJECT")), provider=j.text("provider"), observed=zoned(j.text("observed_at_utc")))
+    provider, observed = F.col("provider"), F.col("observed")
+    listed = provider.isin(*[n for n, s in SHAPES.items() if s == "windows"])
+    d = computed(d, fields=F.when(listed, F.transform(j.array("windows"), _fields)))
+    d = computed(d, window_error=_window_error(F.col("fields"), now, observed))
+    error = F.lit("unsupported_provider")
+    for name, shape in SHAPES.items():
+        error = F.when(provider == name, _first([*_context(j, shape, now, observed, F.col("max_age")), *RULES[shape](j, now, observed)])).otherwise(error)
+    return computed(d, error=F.when(~F.col("is_object"), "invalid_snapshot").otherwise(error))
+
+
 def snapshot_errors(rows: DataFrame) -> DataFrame:
     """(id, provider, error) of ``rows(id, raw, now, max_age)``: the first rule that each snapshot breaks, null for a sound one.
 
     ``raw`` is JSON. Rules common to all providers come first, then those of its shape. No JSON object: invalid_snapshot.
     """
-    d = rows.withColumn("v", F.try_parse_json("raw"))
-    j, now = Json(F.col("v")), F.col("now")
-    observed = zoned(j.text("observed_at_utc"))
-    provider = j.text("provider")
-    error = F.lit("unsupported_provider")
-    for name, shape in SHAPES.items():
-        error = F.when(provider == name, _first([*_context(j, shape, now, F.col("max_age")), *RULES[shape](j, now, observed)])).otherwise(error)
-    is_object = _sure(F.schema_of_variant("v").startswith("OBJECT"))
-    return d.select("id", provider.alias("provider"), F.when(~is_object, "invalid_snapshot").otherwise(error).alias("error"))
+    return _judged(rows).select("id", "provider", "error")
 
 
 def snapshot_windows(rows: DataFrame) -> DataFrame:
     """(id, label, scope, used_percent, remaining_percent, duration_minutes, resets_at): the windows of sound snapshots."""
-    sound = rows.join(snapshot_errors(rows).where("error is null").select("id", "provider"), "id").withColumn("v", F.try_parse_json("raw"))
+    sound = _judged(rows).where("error is null")
     j = Json(F.col("v"))
     row = lambda label, scope, used, duration, reset: F.struct(label.alias("label"), scope.alias("scope"), used.alias("used_percent"), F.greatest(F.lit(0.0), 100 - used).alias("remaining_percent"), duration.alias("duration_minutes"), reset.alias("resets_at"))
     listed = F.transform(j.array("windows"), lambda w: row(Json(w).text("label"), Json(w).text("scope"), Json(w).number("used_percent"), Json(w).whole("duration_minutes"), zoned(Json(w).text("resets_at_utc"))))
@@ -218,10 +231,10 @@ def bundle_errors(rows: DataFrame) -> DataFrame:
     The first rule that a bundle breaks: its own shape, its snapshots in order, its unavailable pools, providers or
     aliases that come twice. A single snapshot is judged by ``snapshot_errors``.
     """
-    d = rows.withColumn("v", F.try_parse_json("raw"))
+    d = computed(spread(rows), v=F.try_parse_json("raw"))
     j = Json(F.col("v"))
-    many = _sure(j.has("pools"))
-    pools, gone = j.array("pools"), j.array("unavailable_pools")
+    d = computed(d, many=_sure(j.has("pools")), pools=j.array("pools"), gone=j.array("unavailable_pools"))
+    many, pools, gone = F.col("many"), F.col("pools"), F.col("gone")
     keys = F.array_sort(F.json_object_keys(F.to_json("v"))) == F.array(*map(F.lit, ("pools", "schema_version", "snapshot_id", "unavailable_pools")))
     shaped = keys & (j.whole("schema_version") == 1) & is_identifier(j.text("snapshot_id")) & (F.size(pools) > 0) & gone.isNotNull() & (F.size(pools) + F.size(gone) <= 4)
     fields = ("observed_at_utc", "pool_alias", "provider", "reason", "source")
@@ -231,13 +244,13 @@ def bundle_errors(rows: DataFrame) -> DataFrame:
         same = F.array_sort(F.json_object_keys(F.to_json(x))) == F.array(*map(F.lit, fields))
         return _first([("invalid_unavailable_pool", same & u.filled("source") & u.filled("reason")), ("invalid_timestamp", at.isNotNull()), ("invalid_unavailable_pool", F.unix_micros("now") - F.unix_micros(at) >= -5_000_000)])
 
-    every = F.concat(pools, gone)
-    names = F.transform(every, lambda x: Json(x).text("provider"))
-    aliases = F.transform(every, lambda x: Json(x).text("pool_alias"))
+    of = lambda k: F.transform(F.concat(pools, gone), lambda x: Json(x).text(k))
+    d = computed(d, names=of("provider"), aliases=of("pool_alias"), lost_errors=F.transform(gone, lost), shape=F.when(~many | _sure(shaped), None).otherwise("invalid_bundle"))
+    names, aliases = F.col("names"), F.col("aliases")
     once = lambda a: F.size(F.array_distinct(a)) == F.size(a)
     after = _first([("unsupported_provider", F.forall(names, lambda n: _sure(n.isin(*SHAPES)))), ("invalid_pool_alias", F.forall(aliases, lambda a: _sure(is_identifier(a)))), ("duplicate_provider_or_pool", once(names) & once(aliases))])
-    lost_error = F.get(F.filter(F.transform(gone, lost), lambda e: e.isNotNull()), F.lit(0))
-    judged = d.select("id", "now", "max_age", many.alias("many"), "raw", F.when(~many | _sure(shaped), None).otherwise("invalid_bundle").alias("shape"), F.when(many, lost_error).alias("lost"), F.when(many, after).alias("after"), F.when(many, F.transform(pools, lambda x: F.to_json(x))).otherwise(F.array("raw")).alias("pools"))
+    lost_error = F.get(F.filter("lost_errors", lambda e: e.isNotNull()), F.lit(0))
+    judged = d.select("id", "now", "max_age", "shape", F.when(many, lost_error).alias("lost"), F.when(many, after).alias("after"), F.when(many, F.transform(pools, lambda x: F.to_json(x))).otherwise(F.array("raw")).alias("pools"))
     each = judged.where("shape is null").select(F.col("id").alias("bundle"), "now", "max_age", F.posexplode("pools").alias("place", "raw")).withColumn("id", F.struct("bundle", "place"))
     bad = snapshot_errors(each).where("error is not null").groupBy(F.col("id.bundle").alias("id")).agg(F.min_by("error", "id.place").alias("own"))
     return judged.join(bad, "id", "left").select("id", F.coalesce("shape", "own", "lost", "after").alias("error"))

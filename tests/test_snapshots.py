@@ -90,3 +90,11 @@ def test_billing(spark):
     assert got[2].error == got[3].error == "billing_invalid"
 
 
+
+
+def test_rules_are_computed_once(spark):
+    """A rule's inputs stand in the plan once, also where a filter follows: a row's time is that of one pass."""
+    d = rows(spark, [WINDOWS])
+    for q in (snapshots.snapshot_errors, snapshots.snapshot_windows, snapshots.bundle_errors):
+        plan = q(d)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("resets_at_utc") < 40 and plan.count("remaining_percent") < 40
