@@ -132,8 +132,13 @@ def task_view(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 
     A query's file and line narrow its candidates where they are given.
     """
-    n = nodes.select(F.col("name").alias("n_name"), F.col("file").alias("n_file"), F.col("line_no").alias("n_line"), "node_id")
-    fits = (F.col("file").isNull() | (F.col("file") == F.col("n_file"))) & (F.col("line_no").isNull() | (F.col("line_no") == F.col("n_line")))
-    d = queries.join(n, queries.name == n.n_name, "left").withColumn("fit", F.when(fits, F.col("node_id")))
-    g = d.groupBy("query").agg(F.count("fit").alias("candidates"), F.min("fit").alias("node_id"))
+    # Nodes are counted for each choice of what a query may leave open, so that a query meets one row at most.
+    choices = [(f, n) for f in (True, False) for n in (True, False)]
+    given = lambda f, n: F.struct(F.lit(f).alias("by_file"), F.lit(n).alias("by_line"), F.when(F.lit(f), F.col("file")).alias("n_file"), F.when(F.lit(n), F.col("line_no")).alias("n_line"))
+    each = nodes.select(F.col("name").alias("n_name"), "node_id", F.explode(F.array(*[given(*x) for x in choices])).alias("x")).select("n_name", "x.*", "node_id")
+    each = each.where("(not by_file or n_file is not null) and (not by_line or n_line is not null)")
+    counts = each.groupBy("n_name", "by_file", "by_line", "n_file", "n_line").agg(F.count("node_id").alias("fits"), F.min("node_id").alias("fit"))
+    q = queries.select("query", "name", "file", "line_no", F.col("file").isNotNull().alias("q_file"), F.col("line_no").isNotNull().alias("q_line"))
+    met = (q.name == counts.n_name) & (q.q_file == counts.by_file) & (q.q_line == counts.by_line) & q.file.eqNullSafe(counts.n_file) & q.line_no.eqNullSafe(counts.n_line)
+    g = q.join(counts, met, "left").groupBy("query").agg(F.coalesce(F.sum("fits"), F.lit(0)).alias("candidates"), F.min("fit").alias("node_id"))
     return g.select("query", F.when(F.col("candidates") == 0, "not_found").when(F.col("candidates") == 1, "found").otherwise("ambiguous").alias("outcome"), F.when(F.col("candidates") == 1, F.col("node_id")).alias("node_id"), "candidates")
