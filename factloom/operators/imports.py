@@ -140,10 +140,13 @@ def import_rows(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFra
     ``files(node_id, file_id)`` is the enclosing file of each node.
     """
     d = nodes.join(files, "node_id").select("node_id", "name", F.col("file_id").alias("dst"))
-    i = edges.where("kind = 'imports'").select(F.col("src").alias("importer"), "dst", "label", "seq")
-    met = d.join(i, "dst").where((F.col("label") == "*") | label_mentions(F.col("label"), F.col("name"))).where("importer <> dst")
-    first = F.row_number().over(Window.partitionBy("node_id", "importer").orderBy("seq"))
-    return met.withColumn("n", first).where("n = 1").select("node_id", "name", F.col("importer").alias("file_id"), "label")
+    i = edges.where("kind = 'imports' and src <> dst").select(F.col("src").alias("importer"), "dst", "label", "seq")
+    # Of each importing file only its first import that names a name counts, and its first of the whole file.
+    first = F.min(F.struct("seq", "label")).alias("first")
+    whole = i.where("label = '*'").groupBy("dst", "importer").agg(first)
+    named = i.select("importer", "dst", "label", "seq", F.explode(F.array_distinct(F.transform(bound_names(F.col("label")), lambda x: x["exported"]))).alias("name")).groupBy("dst", "name", "importer").agg(first)
+    met = d.join(whole, "dst").select("node_id", "name", "importer", "first").unionByName(d.join(named, ["dst", "name"]).select("node_id", "name", "importer", "first"))
+    return met.groupBy("node_id", "importer").agg(F.min(F.struct("first", "name")).alias("x")).select("node_id", "x.name", F.col("importer").alias("file_id"), "x.first.label")
 
 
 def merged_exports(rows: DataFrame) -> DataFrame:
