@@ -1,6 +1,7 @@
 """What a query does grows with its input: no step makes many more rows than come in or go out."""
 
-from factloom.operators import imports, symbols
+from factloom.operators import imports, symbols, walks
+from factloom.queries import QUERIES
 
 
 def most_rows(df) -> int:
@@ -38,3 +39,18 @@ def test_imports_meet_the_names_that_they_bind(spark):
     assert most_rows(out) < 5_000
     got = {(r.node_id, r.file_id): r.label for r in out.collect()}
     assert len(got) == 600 and got[4, 9] == "{ d4 as x, other }" and got[5, 9] == "d5" and got[4, 8] == "*"
+
+
+def test_a_report_of_over_12_mib_is_whole(spark, tmp_path):
+    spark.range(500_000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "n")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    out = QUERIES["render_report"](spark, str(tmp_path))
+    assert out.selectExpr("count(*)", "max(place)", "sum(octet_length(line)) > 12 << 20").first() == (500_006, 500_006, True)
+
+
+def test_a_chain_of_over_16_links_has_no_gap(spark):
+    """As its SQL has it: a gap is a base that isn't there. That the chain goes on is told apart."""
+    rows = [(f"k{i}", f"k{i - 1}" if i else None, "v" if i == 0 else None) for i in range(20)] + [("lost", "none", None), ("round", "round", None)]
+    got = {r.config: (r.value, r.gap, r.too_deep) for r in walks.config_chain(spark.createDataFrame(rows, "config string, base string, value string")).collect()}
+    assert got["k15"] == ("v", None, False) and got["k16"] == ("v", None, False) and got["k17"] == (None, None, True)
+    assert got["lost"] == (None, "none", False) and got["round"] == (None, None, True)
