@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import jsonc
 from factloom.operators import journal, linking, symbols
+from factloom.plans.stages import written
 from factloom.queries.inputs import FNV
 from factloom.queries.relational import query
 from factloom.sources import code
@@ -16,7 +17,8 @@ N = "c_custkey"
 
 
 def _events(cu: DataFrame, source: Column, language: str) -> DataFrame:
-    return code.events(cu.select(c(N).cast("string").alias("path"), source.alias("source"), F.lit(language).alias("language")))
+    """Written, as all of linking reads events several times."""
+    return written(code.events(cu.select(c(N).cast("string").alias("path"), source.alias("source"), F.lit(language).alias("language"))))
 
 
 def _project(cu: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from factloom.operators import imports, symbols, walks
 from factloom.queries import QUERIES
+from factloom.sources import code
 
 
 def most_rows(df) -> int:
@@ -54,3 +55,12 @@ def test_a_chain_of_over_16_links_has_no_gap(spark):
     got = {r.config: (r.value, r.gap, r.too_deep) for r in walks.config_chain(spark.createDataFrame(rows, "config string, base string, value string")).collect()}
     assert got["k15"] == ("v", None, False) and got["k16"] == ("v", None, False) and got["k17"] == (None, None, True)
     assert got["lost"] == (None, "none", False) and got["round"] == (None, None, True)
+
+
+def test_files_are_scanned_once_and_by_all_cores(spark, sf):
+    files = spark.createDataFrame([(f"{i}.ts", "function f() { return 1; }", "typescript") for i in range(50)], "path string, source string, language string").coalesce(1)
+    assert code.events(files).rdd.getNumPartitions() > 4
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan(code.literal_returns(code.events(files)))
+    for name in ("re_exports", "registry_exports", "provider_tables", "rust_impls", "linked_uses"):
+        assert "MapInArrow" not in plan(QUERIES[name](spark, sf))
