@@ -2,6 +2,7 @@
 
 from factloom.operators import imports, symbols, walks
 from factloom.queries import QUERIES
+from factloom.queries.inputs import load, view_sql
 from factloom.sources import code
 
 
@@ -64,3 +65,10 @@ def test_files_are_scanned_once_and_by_all_cores(spark, sf):
     assert "MapInArrow" not in plan(code.literal_returns(code.events(files)))
     for name in ("re_exports", "registry_exports", "provider_tables", "rust_impls", "linked_uses"):
         assert "MapInArrow" not in plan(QUERIES[name](spark, sf))
+
+
+def test_the_journal_is_numbered_by_ranges(spark, sf):
+    j = load(spark, sf, "journal")
+    assert "windowspecdefinition(ts" not in j._jdf.queryExecution().optimizedPlan().toString()
+    told = spark.sql(view_sql("journal", "spark").replace("FROM events", f"FROM parquet.`{sf}/events.parquet`"))
+    assert j.schema.simpleString() == told.schema.simpleString() and j.exceptAll(told).isEmpty() and told.exceptAll(j).isEmpty()
