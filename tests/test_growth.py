@@ -72,3 +72,13 @@ def test_the_journal_is_numbered_by_ranges(spark, sf):
     assert "windowspecdefinition(ts" not in j._jdf.queryExecution().optimizedPlan().toString()
     told = spark.sql(view_sql("journal", "spark").replace("FROM events", f"FROM parquet.`{sf}/events.parquet`"))
     assert j.schema.simpleString() == told.schema.simpleString() and j.exceptAll(told).isEmpty() and told.exceptAll(j).isEmpty()
+
+
+def test_possible_loads_are_not_shuffled(spark):
+    files = [(f"f{i}", "./a/x${n}.ts") for i in range(200)] + [("two", "./a/x${n}.ts"), ("two", "./a/${n}.ts"), ("./a/x1.ts", "./a/x${n}.ts"), (None, "./a/x${n}.ts"), ("none", "./a/${a}/${b}")]
+    targets = [(f"./a/x{i}.ts", v) for i in range(100) for v in (f"./a/x{i}.ts", f"./a/x{i}.js")] + [("./a/y.ts", "./a/y.ts"), ("./b/x1.ts", "./b/x1.ts")]
+    out = symbols.possible_loads(spark.createDataFrame(files, "file string, specifier string"), spark.createDataFrame(targets, "target string, variant string"))
+    want = [(f"f{i}", f"./a/x{j}.ts") for i in range(200) for j in range(100)] + [("two", f"./a/x{j}.ts") for j in range(100)] + [("two", "./a/y.ts")] + [("./a/x1.ts", f"./a/x{j}.ts") for j in range(100) if j != 1]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Union")
