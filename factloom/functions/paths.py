@@ -98,7 +98,9 @@ def _fold(parts: Column) -> Column:
     """struct(hops, parts) of components with ``..`` taken back where there is something to take back."""
     start = F.struct(F.lit(0).alias("hops"), F.array().cast("array<string>").alias("parts"))
     back = lambda a: F.when(F.size(a["parts"]) > 0, F.struct(a["hops"].alias("hops"), F.slice(a["parts"], 1, F.greatest(F.size(a["parts"]) - 1, F.lit(0))).alias("parts"))).otherwise(F.struct((a["hops"] + 1).alias("hops"), a["parts"].alias("parts")))
-    return F.aggregate(parts, start, lambda a, s: F.when(s.isin("", "."), a).when(s == "..", back(a)).otherwise(F.struct(a["hops"].alias("hops"), F.concat(a["parts"], F.array(s)).alias("parts"))))
+    steps = F.aggregate(parts, start, lambda a, s: F.when(s.isin("", "."), a).when(s == "..", back(a)).otherwise(F.struct(a["hops"].alias("hops"), F.concat(a["parts"], F.array(s)).alias("parts"))))
+    # Most paths take nothing back, and need no steps.
+    return F.when(~F.array_contains(parts, ".."), F.struct(F.lit(0).alias("hops"), F.array_remove(F.array_remove(parts, ""), ".").alias("parts"))).otherwise(steps)
 
 
 def normalize(path: Column) -> Column:

@@ -52,6 +52,10 @@ def from_file(raw: Column) -> Column:
 
 
 def text(s: Column) -> Column:
+    return let(s, _text)
+
+
+def _text(s: Column) -> Column:
     return F.when(s["kind"] == "repo", ".").when(s["kind"] == "none", "none").when(s["kind"].isNotNull(), F.array_join(F.concat(F.array_repeat(F.lit(".."), s["hops"]), s["parts"]), "/"))
 
 
@@ -61,6 +65,15 @@ def _prefix(a: Column, b: Column) -> Column:
 
 def overlaps(a: Column, b: Column) -> Column:
     """Symmetric. Null if either can't be read."""
+    return _of(_overlaps, a, b)
+
+
+def covers(a: Column, b: Column) -> Column:
+    """Whether permission ``a`` includes ``b``. Null if either can't be read."""
+    return _of(_covers, a, b)
+
+
+def _overlaps(a: Column, b: Column) -> Column:
     either = lambda k: (a["kind"] == k) | (b["kind"] == k)
     met = _prefix(a["parts"], b["parts"]) | _prefix(b["parts"], a["parts"])
     return (
@@ -69,8 +82,7 @@ def overlaps(a: Column, b: Column) -> Column:
     )
 
 
-def covers(a: Column, b: Column) -> Column:
-    """Whether permission ``a`` includes ``b``. Null if either can't be read."""
+def _covers(a: Column, b: Column) -> Column:
     inside = _prefix(a["parts"], b["parts"])
     return (
         F.when(a.isNull() | b.isNull(), None).when((a["kind"] == "none") | (b["kind"] == "none"), False).when(a["kind"] == "repo", b["kind"] != "cross").when(b["kind"] == "repo", False)
@@ -84,11 +96,11 @@ def _of(test: Callable[[Column, Column], Column], a: Column, b: Column) -> Colum
 
 def claims_overlap(a: Column, b: Column) -> Column:
     """Of raw claims: one that can't be read is a conflict."""
-    return F.coalesce(_of(overlaps, parse(a), parse(b)), F.lit(True))
+    return F.coalesce(_of(_overlaps, parse(a), parse(b)), F.lit(True))
 
 
 def overlap_if_readable(a: Column, b: Column) -> Column:
-    return F.coalesce(_of(overlaps, parse(a), parse(b)), F.lit(False))
+    return F.coalesce(_of(_overlaps, parse(a), parse(b)), F.lit(False))
 
 
 def overlap_fail_closed(a: Column, b: Column) -> Column:
@@ -98,11 +110,11 @@ def overlap_fail_closed(a: Column, b: Column) -> Column:
 
 
 def grants(claim: Column, path: Column) -> Column:
-    return F.coalesce(_of(covers, parse(claim), from_file(path)), F.lit(False))
+    return F.coalesce(_of(_covers, parse(claim), from_file(path)), F.lit(False))
 
 
 def touches(claim: Column, path: Column) -> Column:
-    return F.coalesce(_of(covers, parse(claim), from_file(path)), F.lit(True))
+    return F.coalesce(_of(_covers, parse(claim), from_file(path)), F.lit(True))
 
 
 def normalized(claims: Column) -> Column:
@@ -114,7 +126,7 @@ def normalized(claims: Column) -> Column:
 def allows(have: Column, want: Column) -> Column:
     """Arrays of claims: every wanted scope but no-write is covered by one that is had."""
     own, wanted = F.transform(have, parse), F.filter(F.transform(want, parse), lambda c: F.coalesce(c["kind"] != "none", F.lit(True)))
-    return let(own, lambda h: F.forall(wanted, lambda r: F.exists(h, lambda a: F.coalesce(covers(a, r), F.lit(False)))))
+    return let(own, lambda h: F.forall(wanted, lambda r: F.exists(h, lambda a: F.coalesce(_covers(a, r), F.lit(False)))))
 
 
 def writes_nothing(claims: Column) -> Column:
@@ -130,5 +142,5 @@ def crosses(claims: Column) -> Column:
 def first_overlap(left: Column, right: Column) -> Column:
     """struct(left, right): the first pair of readable claims that overlap, in the order of the left ones, then the right; else null."""
     read = lambda claims: F.transform(claims, lambda c: F.struct(c.alias("claim"), parse(c).alias("scope")))
-    hit = let(read(right), lambda r: F.flatten(F.transform(read(left), lambda a: F.transform(F.filter(r, lambda b: F.coalesce(overlaps(a["scope"], b["scope"]), F.lit(False))), lambda b: F.struct(a["claim"].alias("left"), b["claim"].alias("right"))))))
+    hit = let(read(right), lambda r: F.flatten(F.transform(read(left), lambda a: F.transform(F.filter(r, lambda b: F.coalesce(_overlaps(a["scope"], b["scope"]), F.lit(False))), lambda b: F.struct(a["claim"].alias("left"), b["claim"].alias("right"))))))
     return F.get(hit, F.lit(0))

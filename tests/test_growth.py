@@ -1,5 +1,8 @@
 """What a query does grows with its input: no step makes many more rows than come in or go out."""
 
+from pyspark.sql import functions as F
+
+from factloom.functions import scope
 from factloom.operators import imports, symbols, walks
 from factloom.queries import QUERIES
 from factloom.queries.inputs import load, view_sql
@@ -82,3 +85,15 @@ def test_possible_loads_are_not_shuffled(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert plan[0].startswith("Union")
+
+
+def test_claims_are_parsed_once(spark):
+    d = spark.createDataFrame([("src/./a//b", "src/a/../a"), ("../x", "../../x"), (None, "")], "a string, b string")
+    a, b = scope.parse(F.col("a")), scope.parse(F.col("b"))
+    out = {"covers": scope.covers(a, b), "overlaps": scope.overlaps(a, b), "text": scope.text(a), "normalized": scope.normalized(F.array("a", "b"))}
+    for k, v in out.items():
+        plan = d.select(v.alias(k))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lambdafunction(") < 20, k
+    got = d.select(*[v.alias(k) for k, v in out.items()]).collect()
+    assert [(r.covers, r.overlaps, r.text) for r in got] == [(False, True, "src/a/b"), (False, True, "../x"), (None, None, None)]
+    assert got[0].normalized == ["src/a/b", "src/a"] and got[1].normalized == ["../x", "../../x"]
