@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.stages import computed
+
 
 def overlaps(a: DataFrame, b: DataFrame, bucket: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (file, a_id, b_id, a_start, b_start) of half-open spans of one file that intersect; ``carry`` names more columns to bring along.
@@ -174,10 +176,9 @@ def scope_gaps(writes: DataFrame, claims: DataFrame, touches: DataFrame, hashes:
     """
     from factloom.functions import scope
 
-    parts = scope.from_file(F.col("file"))["parts"]
-    w = writes.select("intent_id", "file", F.explode(F.transform(F.sequence(F.lit(0), F.coalesce(F.size(parts), F.lit(0))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("prefix"))
-    s = scope.parse(F.col("claim"))
-    c = claims.where(s["kind"].isin("repo", "path")).select("intent_id", F.array_join(s["parts"], "/").alias("prefix")).distinct()
+    prefixes = lambda p: F.transform(F.sequence(F.lit(0), F.coalesce(F.size(p), F.lit(0))), lambda n: F.array_join(F.slice(p, 1, n), "/"))
+    w = writes.select("intent_id", "file", F.explode(scope.let(scope.from_file(F.col("file"))["parts"], prefixes)).alias("prefix"))
+    c = computed(claims, s=scope.parse(F.col("claim"))).where(F.col("s.kind").isin("repo", "path")).select("intent_id", F.array_join("s.parts", "/").alias("prefix")).distinct()
     granted = w.join(c, ["intent_id", "prefix"]).select("intent_id", "file").distinct().withColumn("claimed", F.lit(True))
     t, h = touches.select("intent_id", "file").distinct().withColumn("touched", F.lit(True)), hashes.select("intent_id", "file").distinct().withColumn("hashed", F.lit(True))
     d = writes.select("intent_id", "file").join(granted, ["intent_id", "file"], "left").join(t, ["intent_id", "file"], "left").join(h, ["intent_id", "file"], "left")
