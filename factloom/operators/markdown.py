@@ -15,6 +15,8 @@ STATES = "line_no int, start bigint, text string, state string"
 FENCE = re.compile(r"(`{3,})[^`]*$|(~{3,})")
 #: An escaped character, a whole code span, or a run of backticks that closes nothing.
 HIDDEN = re.compile(r"\\.|(`+)(?!`)(?:.*?[^`])\1(?!`)|`+")
+SHOWN = re.compile(HIDDEN.pattern + "|<")
+INDENT = re.compile(r"\s*")
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)(?=[\s>/]|$)")
 RAW = re.compile(r"</(?:pre|script|style|textarea)>", re.I)
 AUTOLINK = re.compile(
@@ -24,16 +26,18 @@ BLANK = "a blank line"  # ends the block; other ends are texts or RAW
 
 
 def html_opens(line: str, offset: int) -> tuple[int, str | re.Pattern] | None:
-    """Where raw HTML starts at or after ``offset``, and what ends it."""
-    shown = HIDDEN.sub(lambda m: m[0] if m[0].strip("`") == "" else "x" * len(m[0]), line[offset:])
-    for m in re.finditer("<", shown):
-        at = offset + m.start()
+    """Where raw HTML starts at or after ``offset``, and what ends it. Looks no further than there: a line may hold many tags."""
+    indent = INDENT.match(line).end()
+    for m in SHOWN.finditer(line, offset):
+        if m[0] != "<":
+            continue
+        at = m.start()
         for opener, end in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"), ("<!", ">")):
             if line.startswith(opener, at):
                 return at, end
         if AUTOLINK.match(line, at):
             continue
-        first = not line[:at].strip()
+        first = at <= indent
         if tag := TAG.match(line, at):
             if first and line[at + 1] != "/" and tag[1].lower() in ("pre", "script", "style", "textarea"):
                 return at, RAW

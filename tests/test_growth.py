@@ -1,9 +1,11 @@
 """What a query does grows with its input: no step makes many more rows than come in or go out."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from factloom.functions import scope
-from factloom.operators import imports, symbols, walks
+from factloom.operators import imports, markdown, symbols, walks
 from factloom.queries import QUERIES
 from factloom.queries.inputs import load, view_sql
 from factloom.sources import code
@@ -97,3 +99,10 @@ def test_claims_are_parsed_once(spark):
     got = d.select(*[v.alias(k) for k, v in out.items()]).collect()
     assert [(r.covers, r.overlaps, r.text) for r in got] == [(False, True, "src/a/b"), (False, True, "../x"), (None, None, None)]
     assert got[0].normalized == ["src/a/b", "src/a"] and got[1].normalized == ["../x", "../../x"]
+
+
+def test_a_line_of_many_tags_is_scanned_once():
+    line = "z" + "<p>x</p>y" * 8_000
+    began = time.process_time()
+    assert [s[3] for s in markdown.states(line + "\n`<p>` \\<p>\n")] == ["html", "text"]
+    assert time.process_time() - began < 3
