@@ -106,3 +106,14 @@ def test_a_line_of_many_tags_is_scanned_once():
     began = time.process_time()
     assert [s[3] for s in markdown.states(line + "\n`<p>` \\<p>\n")] == ["html", "text"]
     assert time.process_time() - began < 3
+
+
+def test_a_walk_writes_one_table_a_round(spark, monkeypatch):
+    """And ends where a circle's places are met again."""
+    n, kept = [0], walks.written
+    monkeypatch.setattr(walks, "written", lambda df: n.__setitem__(0, n[0] + 1) or kept(df))
+    commits = [(i, p) for i in range(41) for p in (i - 1, i - 2) if p >= 0] + [(100 + i, 100 + (i + d) % 5) for i in range(5) for d in (1, 2)] + [(200, None)]
+    out = walks.change_order(spark.createDataFrame([(1, 40, 1), (2, 3, 17), (3, 100, 40), (4, 102, 101), (5, 200, 40), (6, 7, 999)], "pair_id long, section long, reference long"), spark.createDataFrame(commits, "commit long, parent long"))
+    assert n[0] < 45
+    got = dict(map(tuple, out.collect()))
+    assert got == {1: "reference_before_section", 2: "section_before_reference", 3: "diverged", 4: "section_before_reference", 5: "diverged", 6: "unknown"}
